@@ -12,7 +12,7 @@ Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
 CHECKS: dict[str, str] = {}
 
-_MODULES = ("scans", "rows", "joins", "aggregates", "windows", "ordering", "sets", "scalars")
+_MODULES = ("scans", "rows", "joins", "aggregates", "windows", "ordering", "sets", "scalars", "vectors")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
