@@ -12,7 +12,10 @@ Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
 CHECKS: dict[str, str] = {}
 
-_MODULES = ("scans", "rows", "joins", "aggregates", "windows", "ordering", "sets", "scalars", "vectors")
+_MODULES = (
+    "scans", "rows", "joins", "aggregates", "windows", "ordering", "sets", "scalars", "frames", "vectors", "learning",
+    "dataflows",
+)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windowlark.functions.text import track_number
+from windowlark.operators.aggregates import count_by
+from windowlark.operators.knn import knn_exact
+from windowlark.operators.ordered import assign_row_id
+from windowlark.operators.windows import top_per_group
+from windowlark.session import materialize
 
 
 def annotate_tracks(windows: DataFrame, labels: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
@@ -47,3 +52,29 @@ def label_profile(metadata: DataFrame, secondary: str = "secondary", file: str =
         .withColumn("xc_id", track_number(file))
     )
     return freq, multi
+
+
+def build_neighbor_table(
+    intervals: DataFrame, embeddings: DataFrame, metadata: DataFrame, on: Sequence[str], track: str, order: Sequence[str], vec: str, k: int = 50
+) -> DataFrame:
+    """Intervals, vectors and metadata joined, numbered, with their neighbour lists (M3).
+
+    The numbered table is written once before the graph is built: the graph and the result both read it.
+    """
+    joined = intervals.join(embeddings, list(on)).join(metadata, track)
+    numbered = materialize(assign_row_id(joined, order))
+    return numbered.join(knn_exact(numbered, "id", vec, k), "id")
+
+
+def best_window_subset(
+    df: DataFrame, by: Sequence[str], best: Sequence[Column], order: Sequence[str], vec: str, k: int = 20
+) -> DataFrame:
+    """Best window per group, renumbered, with neighbours among themselves (M4)."""
+    numbered = materialize(assign_row_id(top_per_group(df, by, best), order))
+    return numbered.join(knn_exact(numbered, "id", vec, k), "id")
+
+
+def fixture_subset(df: DataFrame, label: str, order: Sequence[str], classes: int = 3, rows: int = 9) -> DataFrame:
+    """First rows of the least frequent classes (M27); the broadcast holds ``classes`` rows."""
+    rare = count_by(df, [label], "_n").orderBy("_n", label).limit(classes).select(label)
+    return top_per_group(df.join(F.broadcast(rare), label, "left_semi"), [label], [F.asc(c) for c in order], rows)

@@ -81,7 +81,46 @@ def track_meta(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def tracks(spark: SparkSession, folder: str) -> DataFrame:
+    """Longer recordings: three channels of twenty seconds, text labels, ``no_call`` for some windows."""
+    v = F.col("vec_id")
+    stem = _whole(F.floor(v / 60))
+    kind = F.when(v % 3 == 0, "original").when(v % 3 == 1, "source0").otherwise("source1")
+    own, seen = F.concat(F.lit("s"), (stem % 3).cast("string")), F.concat(F.lit("s"), F.col("label").cast("string"))
+    called = F.when((v * 31) % 10 < 4, own).when((v * 31) % 10 < 7, seen).otherwise("no_call")
+    return table(spark, folder, "embeddings").select(
+        "vec_id",
+        F.concat(F.lit("XC"), stem.cast("string")).alias("stem"),
+        kind.alias("track_type"),
+        _whole(F.floor((v % 60) / 3)).alias("start_time"),
+        own.alias("species"),
+        called.alias("prediction"),
+        (((v * 7919 + 13) % 1000).cast("double") / 1000).alias("probability"),
+        "embedding",
+        F.col("embedding").alias("prediction_vec"),
+    )
+
+
+def track_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata of ``tracks``: file, primary label, secondary labels as a printed list."""
+    stem = table(spark, folder, "embeddings").select(_whole(F.floor(F.col("vec_id") / 60)).alias("s")).distinct()
+    second = F.format_string("['s%d', 's9']", (F.col("s") + 1) % 3)
+    return stem.select(
+        F.format_string("a/XC%d.ogg", "s").alias("filename"),
+        F.format_string("s%d", F.col("s") % 3).alias("primary_label"),
+        F.when(F.col("s") % 2 == 0, second).otherwise("[]").alias("secondary_labels"),
+    )
+
+
 VIEW_SQL = {
+    "tracks": """SELECT vec_id, concat('XC', CAST(FLOOR(vec_id / 60) AS BIGINT)) AS stem,
+        CASE vec_id % 3 WHEN 0 THEN 'original' WHEN 1 THEN 'source0' ELSE 'source1' END AS track_type,
+        CAST(FLOOR((vec_id % 60) / 3) AS BIGINT) AS start_time, concat('s', CAST(FLOOR(vec_id / 60) AS BIGINT) % 3) AS species,
+        CASE WHEN (vec_id * 31) % 10 < 4 THEN concat('s', CAST(FLOOR(vec_id / 60) AS BIGINT) % 3) WHEN (vec_id * 31) % 10 < 7 THEN concat('s', label) ELSE 'no_call' END AS prediction,
+        CAST((vec_id * 7919 + 13) % 1000 AS DOUBLE) / 1000 AS probability, embedding, embedding AS prediction_vec FROM embeddings""",
+    "track_files": """SELECT concat('a/XC', s, '.ogg') AS filename, concat('s', s % 3) AS primary_label,
+        CASE WHEN s % 2 = 0 THEN concat('[''s', (s + 1) % 3, ''', ''s9'']') ELSE '[]' END AS secondary_labels
+        FROM (SELECT DISTINCT CAST(FLOOR(vec_id / 60) AS BIGINT) AS s FROM embeddings)""",
     "vecs": """SELECT vec_id AS id, embedding AS emb, label AS truth,
         CASE WHEN vec_id % 4 = 0 THEN (label + 1) % 10 ELSE label END AS guess FROM embeddings""",
     "clips": """SELECT vec_id, CAST(FLOOR(vec_id / 30) AS BIGINT) AS stem,
