@@ -20,12 +20,13 @@ directory, whose size is bounded by ``MAX_BLOCKS`` and ``MAX_PIVOTS``.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,16 +48,8 @@ _QUERY = (
 )
 
 
-@dataclass(frozen=True)
-class Directory:
-    """Pivots and the ring of every base block."""
-
-    pivots: np.ndarray
-    block: np.ndarray
-    cell: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    n: np.ndarray
+# the task helpers below travel with the job, so executors need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _matrix(flat: pa.ListScalar | np.ndarray, n: int) -> np.ndarray:
@@ -202,16 +195,16 @@ _BLOCK_ARROW = pa.schema(
 )
 
 
-def _directory(blocks: DataFrame, pivots: np.ndarray) -> Directory:
-    """The block directory on the driver: a few numbers per block, at most ``MAX_BLOCKS`` blocks."""
+def _directory(blocks: DataFrame, pivots: np.ndarray) -> SimpleNamespace:
+    """Pivots and the ring of every block: a few numbers per block, at most ``MAX_BLOCKS`` blocks."""
     pdf = blocks.select("block", "cell", "low", "high", "n").limit(MAX_BLOCKS + 1).toPandas()
     if len(pdf) > MAX_BLOCKS:
         raise ValueError("too many blocks; give a larger block size")
     pdf = pdf.sort_values("block")
-    return Directory(pivots, *(pdf[c].to_numpy() for c in ("block", "cell", "low", "high", "n")))
+    return SimpleNamespace(pivots=pivots, **{c: pdf[c].to_numpy() for c in pdf.columns})
 
 
-def _lower_bounds(far: np.ndarray, book: Directory) -> np.ndarray:
+def _lower_bounds(far: np.ndarray, book: SimpleNamespace) -> np.ndarray:
     """Least possible distance from each query (rows of ``far``) to each block's ring."""
     d = far[:, book.cell]
     return np.maximum(0.0, np.maximum(d - book.high, book.low - d))
