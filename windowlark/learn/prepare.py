@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from windowlark.functions.vector import binarize
 from windowlark.operators.aggregates import count_by
-from windowlark.operators.ordered import assign_row_id, join_back
+from windowlark.operators.ordered import assign_row_id, join_classes
 
 MAX_CLASSES = 100_000
 
@@ -17,7 +17,7 @@ MAX_CLASSES = 100_000
 def encode_labels(df: DataFrame, col: str, name: str = "code") -> DataFrame:
     """Alphabetical 0-based code per label (L1)."""
     codes = assign_row_id(df.select(col).where(F.col(col).isNotNull()).distinct(), [col], name, start=0)
-    return df.join(codes, col)
+    return join_classes(df, codes, [col])
 
 
 def binarize_labels(df: DataFrame, labels: str, classes: Sequence, name: str = "binary") -> DataFrame:
@@ -30,7 +30,7 @@ def balanced_weight(df: DataFrame, label: str, name: str = "weight") -> DataFram
     counts = count_by(df, [label], "_n")
     total, classes = counts.agg(F.sum("_n")).scalar(), counts.agg(F.count("*")).scalar()
     weights = counts.select(label, (total / (classes * F.col("_n"))).alias(name))
-    return join_back(df, weights, [label])
+    return join_classes(df, weights, [label])
 
 
 def prior_scaled(df: DataFrame, score: str, prior: DataFrame, keep: Sequence[str]) -> DataFrame:

@@ -83,6 +83,11 @@ def summarize(df: DataFrame, col: str) -> DataFrame:
     )
 
 
+def mean_of(vec: str) -> Column:
+    """Aggregate: element-wise mean of an array column."""
+    return vector_to_array(Summarizer.mean(array_to_vector(F.col(vec).cast("array<double>"))))
+
+
 def mean_vector(
     df: DataFrame, by: Sequence[str], vec: str, name: str | None = None, distinct: bool = False
 ) -> DataFrame:
@@ -94,8 +99,7 @@ def mean_vector(
     rows = df.select(*by, vec)
     if distinct:
         rows = rows.distinct()
-    mean = Summarizer.mean(array_to_vector(F.col(vec).cast("array<double>")))
-    return rows.groupBy(*by).agg(vector_to_array(mean).alias(name or vec))
+    return rows.groupBy(*by).agg(mean_of(vec).alias(name or vec))
 
 
 def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:

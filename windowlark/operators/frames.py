@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windowlark.functions import vector as V
-from windowlark.operators.aggregates import count_by, mean_vector
+from windowlark.operators.aggregates import count_by, mean_of, mean_vector
 from windowlark.operators.ordered import join_back
 from windowlark.operators.rows import align_frames
 from windowlark.operators.windows import lead_or_self, top_per_group
@@ -163,9 +163,8 @@ def frame_vectors(
 
 def sequence_vectors(df: DataFrame, by: Sequence[str], start: str, vec: str) -> DataFrame:
     """Mean of the distinct window vectors of each (track, ``seq_id``), and its first second."""
-    means = mean_vector(df, [*by, "seq_id"], vec, "embedding", distinct=True)
-    starts = df.groupBy(*by, "seq_id").agg(F.min(start).alias("start_time"))
-    return join_back(means, starts, [*by, "seq_id"])
+    once = df.groupBy(*by, "seq_id", vec).agg(F.min(start).alias("_start"))
+    return once.groupBy(*by, "seq_id").agg(mean_of(vec).alias("embedding"), F.min("_start").alias("start_time"))
 
 
 def context_vectors(frames: DataFrame, by: Sequence[str], vec: str = "embedding") -> DataFrame:

@@ -31,7 +31,6 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from windowlark.operators.ordered import same_keys
 from windowlark.session import materialize
 
 MAX_BLOCKS = 20_000
@@ -65,13 +64,16 @@ def _lists(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Exact distances of rows to pivots, a pivot at a time (no expansion, so no lost digits)."""
-    out = np.empty((len(x), len(pivots)))
-    for j, p in enumerate(pivots):
-        d = x - p
-        out[:, j] = np.sqrt(np.einsum("ij,ij->i", d, d))
-    return out
+def _squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one matrix product, and a bound on their rounding error per row."""
+    xx, yy = np.einsum("ij,ij->i", x, x)[:, None], np.einsum("ij,ij->i", y, y)
+    return xx + yy - 2.0 * (x @ y.T), 1e-10 * (xx + yy.max() + 1.0)
+
+
+def _pivot_range(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the distances of rows to pivots."""
+    square, error = _squares(x, pivots)
+    return np.sqrt(np.maximum(square - error, 0.0)), np.sqrt(np.maximum(square + error, 0.0))
 
 
 def _nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray | None):
@@ -87,9 +89,7 @@ def _nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, bound: np.nd
 
 def _nearest_slice(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray | None):
     """The matrix product only preselects; what is near the cut is measured again by differences."""
-    qq, xx = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", x, x)
-    approx = qq[:, None] + xx[None, :] - 2.0 * (q @ x.T)
-    room = 1e-10 * (qq[:, None] + xx.max() + 1.0)
+    approx, room = _squares(q, x)
     k = min(k, len(x))
     cut = np.partition(approx, k - 1, axis=1)[:, k - 1 : k]
     if bound is not None:
@@ -107,17 +107,24 @@ def fold_equal(df: DataFrame, id_col: str, vec: str, keep: int) -> DataFrame:
     """One row per distinct vector: ``rep`` (its smallest id), ``vec``, ``same`` (its ``keep`` smallest ids).
 
     More than ``keep`` equal vectors cannot all be among the nearest, so the rest is not needed as a
-    base. The row limit is applied map-side, before the shuffle.
+    base. The row limit is applied map-side, before the shuffle, so a vector that a third of the rows
+    share sends ``keep`` rows per task.
     """
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
-    keyed = rows.withColumn("h", F.xxhash64("vec"))
-    place = F.row_number().over(Window.partitionBy("h", "vec").orderBy("id"))
-    few = keyed.withColumn("place", place).where(F.col("place") <= keep)
-    return few.groupBy("h", "vec").agg(F.array_sort(F.collect_list("id")).alias("same")).select(
-        F.array_min("same").alias("rep"), "vec", "same"
+    place = F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))
+    few = _keyed(df, id_col, vec).withColumn("place", place).where(F.col("place") <= keep)
+    same = F.array_sort(F.collect_list("id"))
+    return few.groupBy("h", "g").agg(same.alias("same"), F.any_value("vec").alias("vec")).select(
+        F.array_min("same").alias("rep"), "vec", "same", "h", "g"
     )
 
 
+def _keyed(df: DataFrame, id_col: str, vec: str) -> DataFrame:
+    """(id, vec, h, g): two differently seeded 64-bit hashes stand for the vector as a key, so that
+    vectors are neither compared nor shuffled to find equal ones."""
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    return rows.where("vec is not null").withColumns({"h": F.xxhash64("vec"), "g": F.xxhash64(F.lit(1), "vec")})
+
+
 def _choose_pivots(base: DataFrame, count: int, block: int) -> np.ndarray:
     """A hash-ordered sample, small enough for the driver by ``MAX_PIVOTS``."""
     wanted = max(1, min(MAX_PIVOTS, math.ceil(count / (2 * block)), 4 * math.isqrt(count) + 1))
@@ -133,14 +140,16 @@ def _cut_blocks(df: DataFrame, pivots: Broadcast, block: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False)
-            far = _to_pivots(_matrix(flat, batch.num_rows), pivots.value)
-            cell = far.argmin(axis=1)
+            x = _matrix(flat, batch.num_rows)
+            # a near tie may go to either pivot; the distance to the chosen one is exact
+            cell = _squares(x, pivots.value)[0].argmin(axis=1)
+            d = x - pivots.value[cell]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("rep"),
                     batch.column("vec"),
                     pa.array(cell.astype(np.int32)),
-                    pa.array(far[np.arange(len(cell)), cell]),
+                    pa.array(np.sqrt(np.einsum("ij,ij->i", d, d))),
                 ],
                 ["rep", "vec", "cell", "r"],
             )
@@ -204,10 +213,21 @@ def _directory(blocks: DataFrame, pivots: np.ndarray) -> SimpleNamespace:
     return SimpleNamespace(pivots=pivots, **{c: pdf[c].to_numpy() for c in pdf.columns})
 
 
-def _lower_bounds(far: np.ndarray, book: SimpleNamespace) -> np.ndarray:
-    """Least possible distance from each query (rows of ``far``) to each block's ring."""
-    d = far[:, book.cell]
-    return np.maximum(0.0, np.maximum(d - book.high, book.low - d))
+def _lower_bounds(q: np.ndarray, book: SimpleNamespace) -> np.ndarray:
+    """Least possible distance from each query to each block's ring."""
+    near, far = _pivot_range(q, book.pivots)
+    return np.maximum(0.0, np.maximum(near[:, book.cell] - book.high, book.low - far[:, book.cell]))
+
+
+def _reachable(q: np.ndarray, bound: np.ndarray, book: SimpleNamespace) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks that may hold a vector within the bound of some query, and their mean lower bound."""
+    hit, total = np.zeros(len(book.block), bool), np.zeros(len(book.block))
+    step = max(1, MATRIX_CELLS // len(book.block))
+    for a in range(0, len(q), step):
+        low = _lower_bounds(q[a : a + step], book)
+        hit |= (low <= bound[a : a + step, None]).any(axis=0)
+        total += low.sum(axis=0)
+    return hit, total / len(q)
 
 
 def _search(
@@ -225,10 +245,10 @@ def _search(
         for batch in batches:
             picks = []
             for ids, flat in zip(_lists(batch.column("ids")), _lists(batch.column("flat")), strict=True):
-                far = _to_pivots(_matrix(flat, len(ids)).mean(axis=0, keepdims=True), dirs.pivots)
-                low = _lower_bounds(far, dirs)[0]
+                centre = _matrix(flat, len(ids)).mean(axis=0, keepdims=True)
+                far = _pivot_range(centre, dirs.pivots)[1][0, dirs.cell]
                 full = dirs.n >= min(k, int(dirs.n.max()))
-                order = np.lexsort((far[0, dirs.cell], low, ~full))
+                order = np.lexsort((far, _lower_bounds(centre, dirs)[0], ~full))
                 picks.append(int(dirs.block[order[0]]))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in ("block", "cell", "ids", "flat")], pa.array(picks, pa.int64())],
@@ -250,11 +270,10 @@ def _search(
                 bound = np.full(len(ids), np.inf)
                 if len(b_ids) >= k:
                     bound = dist.reshape(len(ids), k)[:, -1] * (1 + SLACK) + SLACK
-                low = _lower_bounds(_to_pivots(q, dirs.pivots), dirs)
-                open_ = (low <= bound[:, None]).any(axis=0) & (dirs.block != seen[i])
-                todo = np.flatnonzero(open_)
+                hit, mean_low = _reachable(q, bound, dirs)
+                todo = np.flatnonzero(hit & (dirs.block != seen[i]))
                 if probes is not None and len(todo) > probes:
-                    todo = todo[np.argsort(low[:, todo].mean(axis=0), kind="stable")[:probes]]
+                    todo = todo[np.argsort(mean_low[todo], kind="stable")[:probes]]
                 empty_i, empty_f = np.empty(0, np.int64), np.empty(0)
                 yield _query_batch(block, cells[i], ids[rows], empty_f, empty_f, b_ids[near], dist, -1)
                 for b in dirs.block[todo]:
@@ -273,8 +292,8 @@ def _search(
                 ids, b_ids, bound = cols["ids"][i], cols["b_ids"][i], cols["bound"][i]
                 q, x = _matrix(cols["flat"][i], len(ids)), _matrix(cols["b_flat"][i], len(b_ids))
                 j = place[target]
-                to_pivot = _to_pivots(q, dirs.pivots[dirs.cell[j]][None, :])[:, 0]
-                low = np.maximum(to_pivot - dirs.high[j], dirs.low[j] - to_pivot)
+                near, far = (d[:, 0] for d in _pivot_range(q, dirs.pivots[dirs.cell[j]][None, :]))
+                low = np.maximum(near - dirs.high[j], dirs.low[j] - far)
                 live = np.flatnonzero(low <= bound)
                 if not len(live):
                     continue
@@ -353,27 +372,25 @@ def _neighbors(
     lists = edges.groupBy("rep").agg(
         F.array_sort(F.collect_list(F.struct("distance", "neighbor_id"))).alias("near")
     )
-    # back from distinct vectors to rows
-    hashed = queries.select(
-        F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("vec")
-    )
-    owners = folded.select("rep", F.col("vec").alias("_vec"), F.xxhash64("vec").alias("_h"))
-    owned = owners.join(lists, "rep")
-    keyed = hashed.withColumn("h", F.xxhash64("vec"))
-    rows = keyed.join(owned, same_keys(keyed, owned, [("h", "_h"), ("vec", "_vec")])).select("id", "near")
+    # back from distinct vectors to rows, by key only
+    owned = folded.select("rep", "h", "g").join(lists, "rep")
+    rows = _keyed(queries, id_col, vec).drop("vec").join(owned, ["h", "g"]).select("id", "near")
     if alone and not include_self:
         rows = rows.withColumn("near", F.filter("near", lambda e: e["neighbor_id"] != F.col("id")))
-    return rows.select(
-        "id",
-        F.slice(F.col("near.neighbor_id"), 1, k).alias("neighbors"),
-        F.slice(F.col("near.distance"), 1, k).alias("distances"),
+    # a graph is read several times (votes, distances, gaps) but must be searched once
+    return materialize(
+        rows.select(
+            "id",
+            F.slice(F.col("near.neighbor_id"), 1, k).alias("neighbors"),
+            F.slice(F.col("near.distance"), 1, k).alias("distances"),
+        )
     )
 
 
 def knn_exact(
     df: DataFrame, id_col: str, vec: str, k: int, include_self: bool = True, block: int = 1024
 ) -> DataFrame:
-    """(id, neighbors, distances): the k nearest rows by (distance, id), Euclidean, ids unique.
+    """(id, neighbors, distances): the k nearest rows by (distance, id), Euclidean, ids unique, as a written table.
 
     ``include_self`` lets a row be its own neighbour, as when an index is queried with its own points.
     """

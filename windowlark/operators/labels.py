@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windowlark.functions.vector import sigmoid
 from windowlark.operators.aggregates import count_by, percentiles
 from windowlark.operators.joins import attach_neighbor
 from windowlark.operators.rows import explode_classes
-from windowlark.operators.windows import share_of_group, top_per_group
+from windowlark.operators.ordered import join_classes
+from windowlark.operators.windows import top_per_group
 
 
 def knn_labels(
@@ -21,10 +22,16 @@ def knn_labels(
 
     Per node: winning label (ties to the smaller one), its votes, all votes, their ratio, distance
     percentiles, and the node's own labels. ``edges`` has (id, neighbor_id, distance).
+
+    Votes are partitioned by node once; the counts, the total, the winner, the percentiles and the joins
+    all keep that partitioning. A node has only as many votes as neighbours, so no partition runs hot.
     """
     votes = attach_neighbor(edges, nodes.select(node_id, F.col(label).alias("knn_label")), node_id=node_id)
-    counts = share_of_group(count_by(votes, [node_id, "knn_label"]), [node_id], "n", "score")
-    winner = top_per_group(counts, [node_id], [F.desc("n"), F.asc("knn_label")])
+    votes = votes.repartition(node_id)
+    node = Window.partitionBy(node_id)
+    place = F.row_number().over(node.orderBy(F.desc("n"), F.asc("knn_label")))
+    counts = count_by(votes, [node_id, "knn_label"]).withColumns({"total": F.sum("n").over(node), "_place": place})
+    winner = counts.where("_place = 1").drop("_place").withColumn("score", F.col("n") / F.col("total"))
     spread = percentiles(votes, "distance", [0.05, 0.5, 0.95], [node_id])
     ego = nodes.select(node_id, F.col(truth).alias("ego_truth"), F.col(label).alias("ego_label"))
     return winner.join(spread, node_id).join(ego, node_id)
@@ -79,14 +86,14 @@ def class_threshold(
     """Adds ``threshold``, chosen by the size of the row's class."""
     rows = df if counted is None else df.where(counted)
     frequent = count_by(rows, [by], "_n").where(F.col("_n") >= min_count).select(by, F.lit(common).alias("_t"))
-    joined = df.join(frequent, by, "left")
+    joined = join_classes(df, frequent, [by], "left")
     return joined.withColumn("threshold", F.coalesce("_t", F.lit(rare))).drop("_t")
 
 
 def underrepresented(df: DataFrame, by: str, limit: int = 50) -> DataFrame:
     """Rows of classes with fewer than ``limit`` rows."""
     rare = count_by(df, [by], "_n").where(F.col("_n") < limit).select(by)
-    return df.join(rare, by, "left_semi")
+    return join_classes(df, rare, [by], "left_semi")
 
 
 def noise_negatives(

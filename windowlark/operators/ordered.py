@@ -29,13 +29,21 @@ def join_back(df: DataFrame, totals: DataFrame, by: Sequence[str], how: str = "i
     Used in place of an aggregate over ``Window.partitionBy``: the aggregate combines map-side and the
     join lets adaptive execution broadcast the totals or split a hot key.
     """
-    renamed = totals.select(
-        *[F.col(c).alias(f"_k_{c}") for c in by], *[c for c in totals.columns if c not in by]
-    )
+    renamed = totals.withColumnsRenamed({c: f"_k_{c}" for c in by})
     joined = df.join(renamed, same_keys(df, renamed, [(c, f"_k_{c}") for c in by]), how)
     return joined.drop(*[f"_k_{c}" for c in by])
 
 
+def join_classes(df: DataFrame, classes: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a per-class aggregate to its rows without shuffling the rows when the classes are few.
+
+    The aggregate is written first, so the planner sees its true size: it broadcasts it below
+    ``spark.sql.autoBroadcastJoinThreshold`` and sort-merges (with skew handling) above.
+    """
+    settled = materialize(classes)
+    return df.join(settled, list(by), how) if how in ("left_semi", "left_anti") else join_back(df, settled, by, how)
+
+
 def lay_out(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """Range-partition and sort by ``order``; adds ``_seg`` (partition) and ``_off`` (0-based row in it)."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -66,19 +74,23 @@ def assign_row_id(
 def running_totals(
     df: DataFrame, by: Sequence[str], order: Sequence[Column | str], sums: dict[str, Column]
 ) -> DataFrame:
-    """Inclusive running sums within each group; a hot group spans many segments."""
+    """Inclusive running sums within each group; a hot group spans many segments.
+
+    Groups are contiguous in the sort order, so only the first group of a segment can continue from
+    earlier ones: at most one carry per segment, which bounds the broadcast by the partition count.
+    """
     step = {f"_v{i}": c for i, c in enumerate(sums.values())}
     laid = lay_out(df.withColumns(step), [*by, *order])
     totals = laid.groupBy(*by, "_seg").agg(*[F.sum(v).alias(v) for v in step])
     before = Window.partitionBy(*by).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *by, "_seg", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}c") for v in step]
-    )
+        *by, "_seg", F.count("*").over(before).alias("_earlier"), *[F.sum(v).over(before).alias(f"{v}c") for v in step]
+    ).where("_earlier > 0")
+    joined = join_back(laid, F.broadcast(carry.drop("_earlier")), [*by, "_seg"], "left")
     inside = Window.partitionBy("_seg", *by).orderBy("_off")
-    joined = join_back(laid, carry, [*by, "_seg"])
     return joined.withColumns(
         {
-            name: F.sum(v).over(inside) + F.col(f"{v}c")
+            name: F.sum(v).over(inside) + F.coalesce(F.col(f"{v}c"), F.lit(0))
             for name, v in zip(sums, step, strict=True)
         }
     ).drop("_seg", "_off", *step, *[f"{v}c" for v in step])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from windowlark.functions.vector import unit_hash
 from windowlark.operators.aggregates import count_by
-from windowlark.operators.ordered import assign_row_id, group_position, join_back
+from windowlark.operators.ordered import assign_row_id, group_position, join_classes
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
@@ -55,7 +55,7 @@ def split_stratified(
     """Adds ``is_train``: the first ``floor(frac * n)`` rows of each class in hash order."""
     order = order or [F.xxhash64(*key, F.lit(seed)), *[F.col(k) for k in key]]
     placed = group_position(df, [by], order, "_pos")
-    sized = join_back(placed, count_by(df, [by], "_n"), [by])
+    sized = join_classes(placed, count_by(df, [by], "_n"), [by])
     return sized.withColumn("is_train", F.col("_pos") <= F.floor(F.col("_n") * frac)).drop("_pos", "_n")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windowlark.operators.ordered import group_position, join_back, same_keys, with_halo
+from windowlark.operators.ordered import group_position, join_classes, same_keys, with_halo
 
 # Spark prunes a row_number() <= k filter before the shuffle up to this k
 PRUNED_LIMIT = 1000
@@ -35,7 +35,7 @@ def best_with_ties(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def with_group_total(df: DataFrame, by: Sequence[str], total: Column, name: str) -> DataFrame:
     """An aggregate of the group beside each row."""
-    return join_back(df, df.groupBy(*by).agg(total.alias(name)), by)
+    return join_classes(df, df.groupBy(*by).agg(total.alias(name)), by)
 
 
 def with_group_size(df: DataFrame, by: Sequence[str], name: str = "group_size") -> DataFrame:
@@ -59,20 +59,22 @@ def lead_or_self(
     """Value of the next row in the group, or the row's own when it is the last.
 
     ``order`` is an integer that is unique in its group. Groups are cut into blocks of ``width`` order
-    values; the last row of a block takes the first value of the next block, found among block heads
-    (one row per block), so a long recording is spread over many tasks.
+    values, and the first row of each block is copied to the end of the block before it, found among
+    block heads (one row per block). A long recording is so spread over many tasks in one shuffle.
     """
     block = F.floor(F.col(order) / width).cast("bigint")
     cut = df.withColumn("_block", block)
-    heads = cut.groupBy(*by, "_block").agg(F.min_by(F.struct(F.col(col).alias("v")), order).alias("_head"))
-    following = F.lead("_head").over(Window.partitionBy(*by).orderBy("_block"))
-    after = heads.select(*by, "_block", following.alias("_after"))
+    heads = cut.groupBy(*by, "_block").agg(
+        F.min(order).alias(order), F.min_by(F.struct(F.col(col).alias("v")), order).alias("_head")
+    )
+    before = F.lag("_block").over(Window.partitionBy(*by).orderBy("_block"))
+    copies = heads.withColumn("_before", before).where("_before is not null").select(
+        *by, F.col("_before").alias("_block"), order, F.col("_head.v").alias(col), F.lit(True).alias("_copy")
+    )
+    wide = cut.withColumn("_copy", F.lit(False)).unionByName(copies, allowMissingColumns=True)
     inside = Window.partitionBy(*by, "_block").orderBy(order)
-    near = cut.withColumn("_near", F.lead(F.struct(F.col(col).alias("v"))).over(inside))
-    joined = join_back(near, after, [*by, "_block"])
-    found = F.coalesce("_near", "_after")
-    value = F.when(found.isNotNull() & found["v"].isNotNull(), found["v"]).otherwise(F.col(col))
-    return joined.withColumn(name, value).drop("_block", "_near", "_after")
+    value = F.coalesce(F.lead(col).over(inside), F.col(col))
+    return wide.withColumn(name, value).where(~F.col("_copy")).drop("_block", "_copy")
 
 
 def moving_avg(
@@ -91,4 +93,4 @@ def busiest_group(df: DataFrame, by: Sequence[str], size: Column) -> DataFrame:
     """Rows of the group (or tied groups) with the largest total (E10): groups first, then their rows."""
     totals = df.groupBy(*by).agg(F.sum(size).alias("total"))
     top = totals.where(F.col("total") == totals.agg(F.max("total")).scalar())
-    return join_back(df, top, by)
+    return join_classes(df, top, by)

@@ -19,7 +19,7 @@ from windowlark.operators import frames as fr
 from windowlark.operators.aggregates import collect_distinct, collect_ordered, cooccurrence, mean_vector
 from windowlark.operators.joins import pair_with_slots, random_partner
 from windowlark.operators.labels import class_threshold, noise_negatives, representative_source
-from windowlark.operators.ordered import assign_row_id, join_back
+from windowlark.operators.ordered import assign_row_id, join_classes
 from windowlark.operators.rows import align_frames, vector_to_columns
 from windowlark.operators.sampling import sample_strata, shuffle_rows
 from windowlark.operators.sets import union_aligned
@@ -104,7 +104,7 @@ def restrict_labels(df: DataFrame, known: DataFrame) -> DataFrame:
     allowed = F.array_union("together", F.array(F.lit(NO_CALL)))
     kept = F.array_intersect("predicted_species", allowed)
     filled = F.when(F.size(kept) == 0, F.array("primary_label")).otherwise(kept)
-    return join_back(df, together, ["primary_label"]).withColumn("predicted_species", F.array_remove(filled, NO_CALL)).drop("together")
+    return join_classes(df, together, ["primary_label"]).withColumn("predicted_species", F.array_remove(filled, NO_CALL)).drop("together")
 
 
 def quiet_windows(windows: DataFrame, key: Sequence[str], limit: float = 0.01, pool: int = 1000) -> DataFrame:
