@@ -11,6 +11,7 @@ from windowlark.operators.sampling import top_k
 from windowlark.operators.windows import top_per_group
 from windowlark.plans import reports, training
 from windowlark.plans import views as v
+from windowlark.session import materialize
 
 
 @query(
@@ -206,7 +207,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    base = training.training_v5_base(v.tracks(spark, folder), _meta(spark, folder))
+    base = materialize(training.training_v5_base(v.tracks(spark, folder), _meta(spark, folder)))
     return training.restrict_labels(base, base).select("stem", "seq_id", _joined("predicted_species"))
 
 
@@ -259,7 +260,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    base = training.training_v7_base(v.tracks(spark, folder), _meta(spark, folder))
+    base = materialize(training.training_v7_base(v.tracks(spark, folder), _meta(spark, folder)))
     rows = training.training_v7(base).select("stem", "track_type", "start_time", "species", F.posexplode("prediction_vec").alias("dim", "x"))
     return rows.select("stem", "track_type", "start_time", "species", "dim", F.round("x", 6).alias("score"))
 
@@ -275,7 +276,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    base = training.training_v6(v.tracks(spark, folder), _meta(spark, folder))
+    base = materialize(training.training_v6(v.tracks(spark, folder), _meta(spark, folder)))
     first = F.round(F.get("embedding", F.lit(0)), 6).alias("x0")
     return training.relabel_v6(base).select("stem", "start_time", "species", first, "species_count")
 
@@ -308,7 +309,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    base = training.training_v6(v.tracks(spark, folder), _meta(spark, folder))
+    base = materialize(training.training_v6(v.tracks(spark, folder), _meta(spark, folder)))
     return count_by(training.augment_v6(base), ["primary_label"])
 
 

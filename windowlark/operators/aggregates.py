@@ -132,7 +132,9 @@ def frequent_itemsets(
     df: DataFrame, items: str, support: float = 0.001, confidence: float = 0.01, min_size: int = 2
 ) -> DataFrame:
     """Item sets of at least ``min_size`` by frequency, from parallel FP-growth."""
-    model = FPGrowth(itemsCol=items, minSupport=support, minConfidence=confidence).fit(df)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    growth = FPGrowth(itemsCol=items, minSupport=support, minConfidence=confidence, numPartitions=parts)
+    model = growth.fit(df.select(items))
     return model.freqItemsets.where(F.size("items") >= min_size).withColumn("items", F.array_sort("items"))
 
 

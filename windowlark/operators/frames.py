@@ -12,6 +12,7 @@ from windowlark.operators.aggregates import count_by, mean_of, mean_vector
 from windowlark.operators.ordered import join_back
 from windowlark.operators.rows import align_frames
 from windowlark.operators.windows import lead_or_self, top_per_group
+from windowlark.session import materialize
 
 
 def slice_windows(
@@ -141,8 +142,11 @@ def frame_vectors(
 
     The pair is taken as the first and last window of the frame, and only frames of exactly two windows
     count, so nothing is collected. Optionally the mean of a score vector and the best probability.
+
+    The frame key gets an exchange of its own: a join by track before this step may then be split by
+    adaptive execution when one track is hot, which it could not if the aggregate reused its partitioning.
     """
-    aligned = align_frames(df, start)
+    aligned = align_frames(df, start).repartition(*by, "seq_id")
     order = F.struct(start, vec)
     aggs = [
         F.count("*").alias("_n"),
@@ -168,7 +172,11 @@ def sequence_vectors(df: DataFrame, by: Sequence[str], start: str, vec: str) ->
 
 
 def context_vectors(frames: DataFrame, by: Sequence[str], vec: str = "embedding") -> DataFrame:
-    """Adds the next frame's vector and the mean over the whole track."""
+    """Adds the next frame's vector and the mean over the whole track.
+
+    The frames are read three times (rows, block heads, means), so they are written once.
+    """
+    frames = materialize(frames)
     following = lead_or_self(frames, by, "seq_id", vec, "next_embedding")
     whole = mean_vector(frames, by, vec, "track_embedding", distinct=True)
     return join_back(following, whole, by)

@@ -1,7 +1,8 @@
 """Training tables assembled from window tables.
 
 The variants differ in which windows they align, which labels they trust and which vectors they keep.
-Column names: ``stem`` (recording), ``track_type`` (channel), ``start_time``, ``embedding``,
+Where a later step reads a table several times (``base``), the table is written first, as a user of
+separate steps would do. Column names: ``stem`` (recording), ``track_type`` (channel), ``start_time``, ``embedding``,
 ``prediction``, ``probability``; metadata has ``primary_label``, ``metadata_species`` and ``xc_id``.
 """
 
@@ -24,6 +25,7 @@ from windowlark.operators.rows import align_frames, vector_to_columns
 from windowlark.operators.sampling import sample_strata, shuffle_rows
 from windowlark.operators.sets import union_aligned
 from windowlark.operators.windows import sample_per_group, top_per_group, with_group_size
+from windowlark.session import materialize
 
 NO_CALL = "no_call"
 
@@ -135,7 +137,7 @@ def augment_with_noise(
 
 def training_v3(windows: DataFrame, labels: DataFrame, window_key: Sequence[str], how: Augment = Augment()) -> DataFrame:
     """v2 plus noise-blended copies."""
-    base = training_v2(windows, labels)
+    base = materialize(training_v2(windows, labels))
     noise = quiet_windows(windows, window_key).select(F.col("embedding").alias("noise_embedding"), *window_key)
     extra = augment_with_noise(
         base, F.get("metadata_species", F.lit(0)), ["stem", "start_time"], noise, window_key,
@@ -148,7 +150,7 @@ def training_v5(
     windows: DataFrame, labels: DataFrame, window_key: Sequence[str], how: Augment = Augment(weight=0.9)
 ) -> DataFrame:
     """v5: label sets, augmentation of called rows, labels restricted to co-occurring ones."""
-    base = training_v5_base(windows, labels)
+    base = materialize(training_v5_base(windows, labels))
     called = base.where((F.get("predicted_species", F.lit(0)) != NO_CALL) & F.col("embedding").isNotNull())
     noise = quiet_windows(windows, window_key).select(F.col("embedding").alias("noise_embedding"), *window_key)
     extra = augment_with_noise(
@@ -159,7 +161,11 @@ def training_v5(
 
 
 def usable_channels(windows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(stem, track_type) of the original channel and of the representative separated one."""
+    """(stem, track_type) of the original channel and of the representative separated one.
+
+    Channels are chosen before the frames are built: next and track vectors never look across channels, so
+    this only drops wide rows early.
+    """
     labelled = with_track_labels(windows.select("stem", "track_type", "prediction"), labels.select("xc_id", "primary_label"))
     best = representative_source(labelled, "stem", "track_type", "primary_label", "prediction").select("stem", "track_type")
     return best.union(windows.select("stem", F.lit("original").alias("track_type")).distinct())
@@ -168,9 +174,9 @@ def usable_channels(windows: DataFrame, labels: DataFrame) -> DataFrame:
 def training_v6(windows: DataFrame, labels: DataFrame) -> DataFrame:
     """Complete frames of usable channels with next and track vectors."""
     by = ["stem", "track_type"]
-    frames = fr.frame_vectors(windows, by, "start_time", "embedding", probability="probability")
-    channels = usable_channels(align_frames(windows, "start_time"), labels)
-    context = fr.context_vectors(frames, by).join(channels, by)
+    kept = join_classes(windows, usable_channels(align_frames(windows, "start_time"), labels), by, "left_semi")
+    frames = fr.frame_vectors(kept, by, "start_time", "embedding", probability="probability")
+    context = fr.context_vectors(frames, by)
     return with_track_labels(context, labels).select(
         *by, "start_time", "primary_label", "metadata_species", "probability", "embedding", "next_embedding", "track_embedding"
     )
@@ -191,9 +197,9 @@ def augment_v6(base: DataFrame, how: Augment = Augment(weight=0.9)) -> DataFrame
 def training_v7_base(windows: DataFrame, labels: DataFrame, score_vec: str = "prediction_vec") -> DataFrame:
     """Complete frames of usable channels with the mean score vector."""
     by = ["stem", "track_type"]
-    frames = fr.frame_vectors(windows, by, "start_time", "embedding", score_vec, "probability")
-    channels = usable_channels(align_frames(windows, "start_time"), labels)
-    return with_track_labels(frames.join(channels, by), labels).select(
+    kept = join_classes(windows, usable_channels(align_frames(windows, "start_time"), labels), by, "left_semi")
+    frames = fr.frame_vectors(kept, by, "start_time", "embedding", score_vec, "probability")
+    return with_track_labels(frames, labels).select(
         *by, "start_time", "primary_label", "metadata_species", "probability", "embedding", "prediction_vec"
     )
 
