@@ -9,9 +9,10 @@ Shape of the job:
    a pivot and a ring of distances. A pivot that attracts a third of the data just gets more blocks.
 3. Each query block first meets the base block nearest to it, which bounds the k-th distance of its
    queries. By the triangle inequality a ring can only hold a closer vector if its lower bound is
-   within that distance; only those (query block, base block) pairs are joined.
-4. A pair is one NumPy matrix product and a local top k; only candidates within the bound are sent on,
-   and a pruned ``row_number`` merges them.
+   within that distance; only those (query block, base block) pairs are routed.
+4. The routed base blocks stream past their query block, nearest first. A pair is one NumPy matrix
+   product; the best k so far tighten the bound, and later blocks are skipped query by query. Long routes
+   are cut into parts of ``VISITS`` blocks, and a pruned ``row_number`` merges the parts.
 
 No cross join is planned and no pair of vectors is materialised. What is broadcast is the block
 directory, whose size is bounded by ``MAX_BLOCKS`` and ``MAX_PIVOTS``.
@@ -35,18 +36,13 @@ from windowlark.session import materialize
 
 MAX_BLOCKS = 20_000
 MAX_PIVOTS = 1024
+# base blocks that one task streams past a query block
+VISITS = 256
 # entries of one distance matrix in a task (32 MB of doubles)
 MATRIX_CELLS = 4_000_000
 # relative slack that covers rounding in the distance bounds and in the matrix product
 SLACK = 1e-9
 
-_BLOCK = "block bigint, cell int, low double, high double, n int, ids array<bigint>, flat array<double>"
-_QUERY = (
-    "block bigint, cell int, ids array<bigint>, flat array<double>, bound array<double>, "
-    "cand array<bigint>, dist array<double>, visit bigint"
-)
-
-
 # the task helpers below travel with the job, so executors need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -76,31 +72,57 @@ def _pivot_range(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.sqrt(np.maximum(square - error, 0.0)), np.sqrt(np.maximum(square + error, 0.0))
 
 
-def _nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray | None):
-    """(query row, base row, exact distance) of the k nearest by (distance, id), a slice of queries at a time."""
-    step = max(1, MATRIX_CELLS // max(1, len(x)))
-    parts = [
-        _nearest_slice(q[a : a + step], x, ids, k, None if bound is None else bound[a : a + step])
-        for a in range(0, len(q), step)
-    ]
-    rows = np.concatenate([p[0] + i * step for i, p in enumerate(parts)])
-    return rows, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-
-
-def _nearest_slice(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray | None):
-    """The matrix product only preselects; what is near the cut is measured again by differences."""
-    approx, room = _squares(q, x)
-    k = min(k, len(x))
-    cut = np.partition(approx, k - 1, axis=1)[:, k - 1 : k]
-    if bound is not None:
-        cut = np.minimum(cut, np.square(bound)[:, None])
-    rows, cols = np.nonzero(approx <= cut + room)
-    d = q[rows] - x[cols]
-    dist = np.sqrt(np.einsum("ij,ij->i", d, d))
-    order = np.lexsort((ids[cols], dist, rows))
-    rows, cols, dist = rows[order], cols[order], dist[order]
-    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-    return rows[keep], cols[keep], dist[keep]
+class _Best:
+    """The k nearest base vectors so far for every query of a block."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, bound: np.ndarray):
+        self.ids, self.q, self.k = ids, q, k
+        self.bound = bound.copy()
+        self.dist = np.full((len(ids), k), np.inf)
+        self.near = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def meet(self, b_ids: np.ndarray, x: np.ndarray, live: np.ndarray) -> None:
+        """Search a base block for the queries in ``live``, a slice at a time."""
+        step = max(1, MATRIX_CELLS // len(x))
+        for a in range(0, len(live), step):
+            self._meet(b_ids, x, live[a : a + step])
+
+    def _meet(self, b_ids: np.ndarray, x: np.ndarray, live: np.ndarray) -> None:
+        # the matrix product only preselects; what is near the cut is measured again by differences
+        q = self.q[live]
+        square, room = _squares(q, x)
+        cut = np.square(self.bound[live])[:, None]
+        hit = square <= cut + room
+        if len(x) > self.k and hit.sum() > 4 * self.k * len(live):
+            kth = np.partition(square, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            hit &= square <= kth + 2 * room
+        at = np.flatnonzero(hit)
+        if not len(at):
+            return
+        rows, cols = at // len(x), at % len(x)
+        d = q[rows] - x[cols]
+        dist = np.sqrt(np.einsum("ij,ij->i", d, d))
+        keep = dist <= self.bound[live][rows]
+        rows, cols, dist = rows[keep], cols[keep], dist[keep]
+        touched, slot = np.unique(rows, return_inverse=True)
+        if not len(touched):
+            return
+        own = live[touched]
+        row = np.concatenate([slot, np.repeat(np.arange(len(own)), self.k)])
+        dist = np.concatenate([dist, self.dist[own].ravel()])
+        near = np.concatenate([b_ids[cols], self.near[own].ravel()])
+        order = np.lexsort((near, dist, row))
+        row, dist, near = row[order], dist[order], near[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+        self.dist[own] = dist[first].reshape(len(own), self.k)
+        self.near[own] = near[first].reshape(len(own), self.k)
+        self.bound[own] = np.minimum(self.bound[own], self.dist[own, -1])
+
+    def edges(self) -> pa.RecordBatch:
+        found = np.isfinite(self.dist)
+        reps = np.repeat(self.ids, found.sum(axis=1))
+        columns = [pa.array(reps, pa.int64()), pa.array(self.near[found]), pa.array(self.dist[found])]
+        return pa.RecordBatch.from_arrays(columns, ["rep", "base_rep", "distance"])
 
 
 def fold_equal(df: DataFrame, id_col: str, vec: str, keep: int) -> DataFrame:
@@ -121,19 +143,27 @@ def fold_equal(df: DataFrame, id_col: str, vec: str, keep: int) -> DataFrame:
 def _keyed(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     """(id, vec, h, g): two differently seeded 64-bit hashes stand for the vector as a key, so that
     vectors are neither compared nor shuffled to find equal ones."""
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).alias("vec"))
     return rows.where("vec is not null").withColumns({"h": F.xxhash64("vec"), "g": F.xxhash64(F.lit(1), "vec")})
 
 
 def _choose_pivots(base: DataFrame, count: int, block: int) -> np.ndarray:
     """A hash-ordered sample, small enough for the driver by ``MAX_PIVOTS``."""
-    wanted = max(1, min(MAX_PIVOTS, math.ceil(count / (2 * block)), 4 * math.isqrt(count) + 1))
+    wanted = max(1, min(MAX_PIVOTS, math.ceil(4 * count / block), 4 * math.isqrt(count) + 1))
     rows = base.select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(wanted).collect()
     return np.array([r["vec"] for r in rows], dtype=np.float64)
 
 
 def _cut_blocks(df: DataFrame, pivots: Broadcast, block: int) -> DataFrame:
-    """(rep, vec) rows to blocks of one pivot and one ring of distances."""
+    """(rep, vec) rows to blocks of one pivot and one ring of distances; entries keep their type."""
+    kind = dict(df.dtypes)["vec"]
+    entry = pa.float32() if kind == "array<float>" else pa.float64()
+    layout = pa.schema(
+        [
+            ("block", pa.int64()), ("cell", pa.int32()), ("low", pa.float64()), ("high", pa.float64()),
+            ("n", pa.int32()), ("ids", pa.list_(pa.int64())), ("flat", pa.list_(entry)),
+        ]
+    )
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +198,7 @@ def _cut_blocks(df: DataFrame, pivots: Broadcast, block: int) -> DataFrame:
                 "n": [len(ids)], "ids": [ids], "flat": [flat],
             }
             made, held, size = made + 1, [], 0
-            return pa.RecordBatch.from_pydict(row, schema=_BLOCK_ARROW)
+            return pa.RecordBatch.from_pydict(row, schema=layout)
 
         for batch in batches:
             if not batch.num_rows:
@@ -176,7 +206,7 @@ def _cut_blocks(df: DataFrame, pivots: Broadcast, block: int) -> DataFrame:
             cells = batch.column("cell").to_numpy(zero_copy_only=False)
             ids = batch.column("rep").to_numpy(zero_copy_only=False)
             r = batch.column("r").to_numpy(zero_copy_only=False)
-            x = _matrix(batch.column("vec").flatten().to_numpy(zero_copy_only=False), batch.num_rows)
+            x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             at = 0
             while at < len(ids):
                 if held and held[0][0] != int(cells[at]):
@@ -191,17 +221,13 @@ def _cut_blocks(df: DataFrame, pivots: Broadcast, block: int) -> DataFrame:
         if held:
             yield flush()
 
-    placed = df.select("rep", "vec").mapInArrow(assign, "rep bigint, vec array<double>, cell int, r double")
+    placed = df.select("rep", "vec").mapInArrow(assign, f"rep bigint, vec {kind}, cell int, r double")
     ranged = placed.repartitionByRange("cell", "r", "rep").sortWithinPartitions("cell", "r", "rep")
-    return materialize(ranged.mapInArrow(pack, _BLOCK))
-
-
-_BLOCK_ARROW = pa.schema(
-    [
-        ("block", pa.int64()), ("cell", pa.int32()), ("low", pa.float64()), ("high", pa.float64()),
-        ("n", pa.int32()), ("ids", pa.list_(pa.int64())), ("flat", pa.list_(pa.float64())),
-    ]
-)
+    return materialize(
+        ranged.mapInArrow(
+            pack, f"block bigint, cell int, low double, high double, n int, ids array<bigint>, flat {kind}"
+        )
+    )
 
 
 def _directory(blocks: DataFrame, pivots: np.ndarray) -> SimpleNamespace:
@@ -250,89 +276,77 @@ def _search(
                 full = dirs.n >= min(k, int(dirs.n.max()))
                 order = np.lexsort((far, _lower_bounds(centre, dirs)[0], ~full))
                 picks.append(int(dirs.block[order[0]]))
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("block", "cell", "ids", "flat")], pa.array(picks, pa.int64())],
-                ["block", "cell", "ids", "flat", "visit"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(picks, pa.int64())], ["block", "visit"])
 
-    def bound_and_route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Search the first block, then one row per block still to visit and one with the candidates found."""
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bound from the first block; then one row per part with the bounds, and one per block to visit."""
         dirs = book.value
         for batch in batches:
             cols = {c: _lists(batch.column(c)) for c in ("ids", "flat", "b_ids", "b_flat")}
-            heads = batch.column("block").to_pylist()
             seen = batch.column("visit").to_pylist()
-            cells = batch.column("cell").to_pylist()
-            for i, block in enumerate(heads):
+            for i, block in enumerate(batch.column("block").to_pylist()):
                 ids, b_ids = cols["ids"][i], cols["b_ids"][i]
                 q, x = _matrix(cols["flat"][i], len(ids)), _matrix(cols["b_flat"][i], len(b_ids))
-                rows, near, dist = _nearest(q, x, b_ids, k, None)
-                bound = np.full(len(ids), np.inf)
-                if len(b_ids) >= k:
-                    bound = dist.reshape(len(ids), k)[:, -1] * (1 + SLACK) + SLACK
+                best = _Best(ids, q, k, np.full(len(ids), np.inf))
+                best.meet(b_ids, x, np.arange(len(ids)))
+                bound = best.bound * (1 + SLACK) + SLACK
                 hit, mean_low = _reachable(q, bound, dirs)
-                todo = np.flatnonzero(hit & (dirs.block != seen[i]))
-                if probes is not None and len(todo) > probes:
-                    todo = todo[np.argsort(mean_low[todo], kind="stable")[:probes]]
-                empty_i, empty_f = np.empty(0, np.int64), np.empty(0)
-                yield _query_batch(block, cells[i], ids[rows], empty_f, empty_f, b_ids[near], dist, -1)
-                for b in dirs.block[todo]:
-                    yield _query_batch(block, cells[i], ids, cols["flat"][i], bound, empty_i, empty_f, int(b))
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                own = dirs.block == seen[i]
+                mean_low[own] = -1.0
+                todo = np.flatnonzero(hit | own)
+                todo = todo[np.argsort(mean_low[todo], kind="stable")]
+                todo = todo if probes is None else todo[: probes + 1]
+                parts = np.arange(len(todo)) // VISITS
+                heads = np.arange(parts[-1] + 1)
+                total = len(todo) + len(heads)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(total, block), pa.int64()),
+                        pa.array(np.concatenate([parts, heads]).astype(np.int32)),
+                        pa.array(np.concatenate([dirs.block[todo], np.full(len(heads), -1)]), pa.int64()),
+                        pa.array(np.concatenate([mean_low[todo], np.zeros(len(heads))])),
+                        pa.array([[]] * len(todo) + [bound] * len(heads), pa.list_(pa.float64())),
+                    ],
+                    ["block", "part", "visit", "gap", "bound"],
+                )
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A query block, then its base blocks nearest first, then the next query block."""
         dirs = book.value
-        place = {int(b): i for i, b in enumerate(dirs.block)}
+        best: _Best | None = None
         for batch in batches:
-            names = ("ids", "flat", "bound", "cand", "dist", "b_ids", "b_flat")
-            cols = {c: _lists(batch.column(c).fill_null([])) for c in names}
-            for i, target in enumerate(batch.column("visit").to_pylist()):
+            cols = {c: _lists(batch.column(c)) for c in ("ids", "flat", "bound")}
+            rings = [batch.column(c).to_pylist() for c in ("visit", "cell", "low", "high")]
+            for i, (target, cell, low, high) in enumerate(zip(*rings, strict=True)):
+                ids = cols["ids"][i]
+                x = _matrix(cols["flat"][i], len(ids))
                 if target < 0:
-                    yield _edge_batch(cols["ids"][i], cols["cand"][i], cols["dist"][i])
-                    continue
-                ids, b_ids, bound = cols["ids"][i], cols["b_ids"][i], cols["bound"][i]
-                q, x = _matrix(cols["flat"][i], len(ids)), _matrix(cols["b_flat"][i], len(b_ids))
-                j = place[target]
-                near, far = (d[:, 0] for d in _pivot_range(q, dirs.pivots[dirs.cell[j]][None, :]))
-                low = np.maximum(near - dirs.high[j], dirs.low[j] - far)
-                live = np.flatnonzero(low <= bound)
-                if not len(live):
+                    if best is not None:
+                        yield best.edges()
+                    best = _Best(ids, x, k, cols["bound"][i])
                     continue
-                rows, near, dist = _nearest(q[live], x, b_ids, k, bound[live])
-                inside = dist <= bound[live][rows]
-                yield _edge_batch(ids[live][rows[inside]], b_ids[near[inside]], dist[inside])
-
-    rings = base.select(
-        F.col("block").alias("visit"), F.col("ids").alias("b_ids"), F.col("flat").alias("b_flat")
-    )
-    opened = queries.mapInArrow(
-        first_block, "block bigint, cell int, ids array<bigint>, flat array<double>, visit bigint"
-    )
-    routed = opened.join(rings, "visit").mapInArrow(bound_and_route, _QUERY)
-    return routed.join(rings, "visit", "left").mapInArrow(visit, "rep bigint, base_rep bigint, distance double")
-
-
-def _query_batch(block, cell, ids, flat, bound, cand, dist, visit) -> pa.RecordBatch:
-    data = {
-        "block": [block], "cell": [cell], "ids": [ids], "flat": [flat], "bound": [bound], "cand": [cand],
-        "dist": [dist], "visit": [visit],
-    }
-    return pa.RecordBatch.from_pydict(data, schema=_QUERY_ARROW)
-
-
-def _edge_batch(rep, base_rep, distance) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rep, pa.int64()), pa.array(base_rep, pa.int64()), pa.array(distance, pa.float64())],
-        ["rep", "base_rep", "distance"],
+                near, far = (d[:, 0] for d in _pivot_range(best.q, dirs.pivots[cell][None, :]))
+                live = np.flatnonzero(np.maximum(near - high, low - far) <= best.bound)
+                if len(live):
+                    best.meet(ids, x, live)
+        if best is not None:
+            yield best.edges()
+
+    first = queries.select("block", "ids", "flat").mapInArrow(first_block, "block bigint, visit bigint")
+    asked = queries.select("block", "ids", "flat")
+    payload = base.select(F.col("block").alias("visit"), "cell", "low", "high", "ids", "flat")
+    seeds = payload.select("visit", F.col("ids").alias("b_ids"), F.col("flat").alias("b_flat"))
+    routes = materialize(
+        first.join(asked, "block")
+        .join(seeds, "visit")
+        .mapInArrow(route, "block bigint, part int, visit bigint, gap double, bound array<double>")
     )
-
-
-_QUERY_ARROW = pa.schema(
-    [
-        ("block", pa.int64()), ("cell", pa.int32()), ("ids", pa.list_(pa.int64())), ("flat", pa.list_(pa.float64())),
-        ("bound", pa.list_(pa.float64())), ("cand", pa.list_(pa.int64())), ("dist", pa.list_(pa.float64())),
-        ("visit", pa.int64()),
-    ]
-)
+    heads = routes.where("visit < 0").join(asked, "block")
+    visits = routes.where("visit >= 0").join(payload, "visit")
+    rows = heads.unionByName(visits, allowMissingColumns=True)
+    # a route part is at most VISITS blocks, so no task holds an unbounded one
+    ordered = rows.repartition("block", "part").sortWithinPartitions("block", "part", F.col("visit") >= 0, "gap", "visit")
+    return ordered.mapInArrow(stream, "rep bigint, base_rep bigint, distance double")
 
 
 def _neighbors(
