@@ -50,8 +50,8 @@ def test_build_intervals(spark, tmp_path):
         (tmp_path / bird / "XC7.tool.csv").write_text(head + "0.0,3.0,X y,Robin,0.9\n3.0,6.0,X z,Ghost,0.4\n")
     taxonomy = spark.createDataFrame([("Robin", "rob1")], "PRIMARY_COM_NAME string, SPECIES_CODE string")
     out = readers.build_intervals(spark, f"{tmp_path}/*/*.csv", taxonomy)
-    assert out.columns == ["start_sec", "end_sec", "confidence", "birdnet_label", "birdnet_common_name", "filename"]
-    got = {(r.filename, r.birdnet_common_name, r.birdnet_label, r.confidence) for r in out.collect()}
+    assert out.columns == ["start_sec", "end_sec", "confidence", "label", "common_name", "filename"]
+    got = {(r.filename, r.common_name, r.label, r.confidence) for r in out.collect()}
     assert got == {
         ("abe/XC7.ogg", "Robin", "rob1", 0.9), ("abe/XC7.ogg", "Ghost", "unknown", 0.4),
         ("zed/XC7.ogg", "Robin", "rob1", 0.9), ("zed/XC7.ogg", "Ghost", "unknown", 0.4),
@@ -70,7 +70,7 @@ def test_json_records(spark, tmp_path):
     assert sorted(tuple(r) for r in df.collect()) == [("x", 1), ("y", 2)]
     writers.write_records(df, str(tmp_path / "out"))
     assert len(list((tmp_path / "out").glob("*.json"))) == 1
-    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    assert readers.read_records(spark, str(tmp_path / "out"), lines=True).count() == 2
 
 
 def test_from_rows(spark):
@@ -164,3 +164,11 @@ def test_ingest_new(spark, tmp_path):
     assert ingest_new(spark, source, schema, target, mark, keep) == 6
     assert ingest_new(spark, source, schema, target, mark, keep) == 0
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == list(range(0, 16, 2))
+
+
+def test_wav_with_extra_chunk(spark, tmp_path):
+    _wav(tmp_path / "a" / "x.wav", 2)
+    raw = (tmp_path / "a" / "x.wav").read_bytes()
+    extra = b"LIST" + struct.pack("<I", 10) + b"INFOabcdef"
+    (tmp_path / "a" / "y.wav").write_bytes(raw[:36] + extra + raw[36:])
+    assert {r.duration for r in media.media_inventory(spark, f"{tmp_path}/a/*.wav").collect()} == {2.0}

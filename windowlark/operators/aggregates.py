@@ -34,6 +34,12 @@ def percentiles(df: DataFrame, col: str, ps: Sequence[float], by: Sequence[str])
     return sketch.select(*by, *[F.get("_q", F.lit(i)).alias(f"{col}_p{round(p * 100):02d}") for i, p in enumerate(ps)])
 
 
+def distinct_count(df: DataFrame, col: str, by: Sequence[str], approx: bool = False, name: str = "n") -> DataFrame:
+    """Distinct values per group, exact or by sketch."""
+    count = F.approx_count_distinct(col) if approx else F.count_distinct(col)
+    return df.groupBy(*by).agg(count.alias(name))
+
+
 def collect_distinct(df: DataFrame, by: Sequence[str], col: str, name: str) -> DataFrame:
     """Sorted set per group. The set is bounded by the label vocabulary, and duplicates go map-side."""
     return df.groupBy(*by).agg(F.array_sort(F.collect_set(col)).alias(name))

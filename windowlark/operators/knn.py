@@ -38,6 +38,8 @@ MAX_BLOCKS = 20_000
 MAX_PIVOTS = 1024
 # base blocks that one task streams past a query block
 VISITS = 256
+# pivots for each block that the base rows fill: more give tighter rings but smaller blocks
+PIVOTS_PER_BLOCK = 4
 # entries of one distance matrix in a task (32 MB of doubles)
 MATRIX_CELLS = 4_000_000
 # relative slack that covers rounding in the distance bounds and in the matrix product
@@ -149,7 +151,7 @@ def _keyed(df: DataFrame, id_col: str, vec: str) -> DataFrame:
 
 def _choose_pivots(base: DataFrame, count: int, block: int) -> np.ndarray:
     """A hash-ordered sample, small enough for the driver by ``MAX_PIVOTS``."""
-    wanted = max(1, min(MAX_PIVOTS, math.ceil(4 * count / block), 4 * math.isqrt(count) + 1))
+    wanted = max(1, min(MAX_PIVOTS, math.ceil(PIVOTS_PER_BLOCK * count / block), 4 * math.isqrt(count) + 1))
     rows = base.select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(wanted).collect()
     return np.array([r["vec"] for r in rows], dtype=np.float64)
 
@@ -402,7 +404,7 @@ def _neighbors(
 
 
 def knn_exact(
-    df: DataFrame, id_col: str, vec: str, k: int, include_self: bool = True, block: int = 1024
+    df: DataFrame, id_col: str, vec: str, k: int, include_self: bool = True, block: int = 2048
 ) -> DataFrame:
     """(id, neighbors, distances): the k nearest rows by (distance, id), Euclidean, ids unique, as a written table.
 
@@ -412,14 +414,14 @@ def knn_exact(
 
 
 def knn_probe(
-    df: DataFrame, id_col: str, vec: str, k: int, probes: int = 8, include_self: bool = True, block: int = 1024
+    df: DataFrame, id_col: str, vec: str, k: int, probes: int = 8, include_self: bool = True, block: int = 2048
 ) -> DataFrame:
     """Approximate variant for large tables: each query block visits at most ``probes`` further blocks."""
     return _neighbors(df, None, id_col, vec, k, include_self, block, probes)
 
 
 def knn_between(
-    queries: DataFrame, base: DataFrame, id_col: str, vec: str, k: int, block: int = 1024
+    queries: DataFrame, base: DataFrame, id_col: str, vec: str, k: int, block: int = 2048
 ) -> DataFrame:
     """Nearest rows of ``base`` for each row of ``queries``."""
     return _neighbors(queries, base, id_col, vec, k, True, block, None)

@@ -52,7 +52,9 @@ def track_labels(metadata: DataFrame, secondary: str = "secondary_labels", file:
 
 
 def with_track_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
-    return df.withColumn("xc_id", tx.track_number("stem")).join(labels, "xc_id").drop("xc_id")
+    """Metadata by track number; rows without a number have no metadata and drop out."""
+    numbered = df.withColumn("xc_id", tx.track_number("stem")).where("xc_id <> ''")
+    return numbered.join(labels, "xc_id").drop("xc_id")
 
 
 def training_v2(windows: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -8,27 +8,36 @@ from pyspark.sql import functions as F
 from windowlark.sources.readers import with_path_columns
 
 
-def _little_endian(content: Column, start: int, size: int) -> Column:
+# a chunk list longer than this leaves the duration null
+HEADER_BYTES = 4096
+
+
+def _little_endian(content: Column, start: Column, size: int = 4) -> Column:
     """Unsigned integer from ``size`` bytes at 1-based ``start``."""
-    digits = [F.hex(F.substring(content, start + i, 1)) for i in reversed(range(size))]
+    digits = [F.hex(F.substring(content, start + i, F.lit(1))) for i in reversed(range(size))]
     return F.conv(F.concat(*digits), 16, 10).cast("bigint")
 
 
+def _chunk(head: Column, name: bytes) -> Column:
+    """1-based byte position of a chunk's name; null when it is not there."""
+    place = F.instr(F.hex(head), name.hex().upper())
+    return F.when(place % 2 == 1, F.floor(place / 2).cast("int") + 1)
+
+
 def media_inventory(spark: SparkSession, pattern: str) -> DataFrame:
-    """One row per PCM WAV file: name, KB, seconds. A pattern that matches nothing raises."""
+    """One row per PCM WAV file: name, KB, seconds (data bytes by bytes per second). No match raises."""
     files = spark.read.format("binaryFile").load(pattern)
-    head = F.substring(F.col("content"), 1, 44)
-    byte_rate = _little_endian(head, 29, 4)
-    data_size = _little_endian(head, 41, 4)
-    # a plain 44-byte header has the data chunk right after the format chunk
-    plain = (F.substring(head, 1, 4) == F.lit(b"RIFF")) & (F.substring(head, 37, 4) == F.lit(b"data"))
+    head = F.substring(F.col("content"), 1, HEADER_BYTES)
+    riff = F.substring(head, 1, 4) == F.lit(b"RIFF")
+    byte_rate = _little_endian(head, _chunk(head, b"fmt ") + 16)
+    data_size = _little_endian(head, _chunk(head, b"data") + 4)
     return (
         with_path_columns(files, ".wav", path=F.col("path"))
         .select(
             "filename",
             F.col("parent").alias("species"),
             (F.col("length") / 1024).alias("size_kb"),
-            F.when(plain, data_size / byte_rate).alias("duration"),
+            F.when(riff, data_size / byte_rate).alias("duration"),
         )
     )
 

@@ -41,10 +41,12 @@ def read_tsv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=ddl)
 
 
-def read_records(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
-    """JSON: an array of objects per file, or one object per line."""
+def read_records(
+    spark: SparkSession, path: str, schema: str | StructType | None = None, lines: bool = False
+) -> DataFrame:
+    """JSON: an array of objects per file, or (``lines``) one object per line, which can be split."""
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.json(path, multiLine=True)
+    return reader.json(path, multiLine=not lines)
 
 
 def from_rows(
@@ -98,8 +100,8 @@ def build_intervals(spark: SparkSession, pattern: str, taxonomy: DataFrame) -> D
         "start_sec",
         "end_sec",
         "confidence",
-        F.coalesce("code", F.lit("unknown")).alias("birdnet_label"),
-        F.col("common_name").alias("birdnet_common_name"),
+        F.coalesce("code", F.lit("unknown")).alias("label"),
+        "common_name",
         "filename",
     )
 
