@@ -12,3 +12,13 @@ def spark():
     from compare import test_session
 
     return test_session()
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Keep small shuffles in all their partitions, so that order-based operators see several segments."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, before)

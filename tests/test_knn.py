@@ -5,6 +5,8 @@ import pytest
 
 from windowlark.operators import knn, labels
 
+pytestmark = pytest.mark.usefixtures("many_parts")
+
 
 def frame(spark, x, ids=None):
     ids = range(len(x)) if ids is None else ids

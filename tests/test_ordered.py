@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from windowlark.operators import ordered, sampling, windows
+from windowlark.operators import joins, ordered, sampling, windows
 from windowlark.operators.aggregates import histogram, lump_top_n, reduce_frames, summarize
 
+pytestmark = pytest.mark.usefixtures("many_parts")
+
 
 @pytest.fixture(scope="module")
 def skewed(spark):
@@ -105,6 +107,21 @@ def test_monotonic_id_is_unique(skewed):
     assert ids.select("uid").distinct().count() == 3000
 
 
+def test_random_partner_and_slots(skewed):
+    other = ordered.assign_row_id(skewed.select(F.col("id").alias("other")), ["other"], "index", start=0).where("index < 1500")
+    drawn = joins.random_partner(skewed.select("id"), other, ["id"], 3000, seed=2)
+    again = joins.random_partner(skewed.select("id").repartition(5), other, ["id"], 3000, seed=2)
+    # every row draws once; half of the indices have no partner
+    assert drawn.select("id").distinct().count() == drawn.count() and 1350 < drawn.count() < 1650
+    assert rows(drawn, "id", "other") == rows(again, "id", "other")
+    few = skewed.select(F.col("v").alias("w"), F.col("id").alias("j"))
+    pairs = joins.pair_with_slots(skewed.select("id"), few, 4, ["w", "j"])
+    best = [(r.w, r.j) for r in few.orderBy("w", "j").limit(4).collect()]
+    assert pairs.count() == 12000 and {(r.w, r.j) for r in pairs.select("w", "j").distinct().collect()} == set(best)
+    short = joins.pair_with_slots(skewed.select("id"), few.limit(2), 4, ["w", "j"])
+    assert short.count() == 6000
+
+
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(float(x),) for x in [0, 1, 2, 10, None] if x is not None], "x double")
     got = {r.bin: r.n for r in histogram(df, F.col("x"), 5).collect()}
@@ -118,3 +135,9 @@ def test_lump_and_summary(spark):
     assert {(r.lump, r["count"]) for r in lump_top_n(df, "x", 2).groupBy("lump").count().collect()} == {("a", 5), ("b", 3), ("other", 2)}
     s = summarize(spark.createDataFrame([(float(i),) for i in range(1, 6)], "x double"), "x").first()
     assert (s.n, s.mean, s.min, s.p25, s.p50, s.p75, s.max) == (5, 3.0, 1.0, 2.0, 3.0, 4.0, 5.0)
+
+
+def test_segments_are_many(skewed):
+    laid = ordered.lay_out(skewed, ["k", "v", "id"])
+    sizes = [r["count"] for r in laid.groupBy("_seg").count().collect()]
+    assert len(sizes) > 3 and max(sizes) < 1500

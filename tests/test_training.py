@@ -8,6 +8,8 @@ from windowlark.operators import labels
 from windowlark.plans import reports, training
 from windowlark.plans.training import Augment
 
+pytestmark = pytest.mark.usefixtures("many_parts")
+
 
 @pytest.fixture(scope="module")
 def windows(spark):

@@ -259,11 +259,11 @@ def _reachable(q: np.ndarray, bound: np.ndarray, book: SimpleNamespace) -> tuple
 
 
 def _search(
-    queries: DataFrame, base: DataFrame, pivots: np.ndarray, k: int, probes: int | None
+    queries: DataFrame, base: DataFrame, pivots: np.ndarray, k: int, budget: int | None
 ) -> DataFrame:
     """(rep, base_rep, distance): at least the k nearest distinct base vectors of every query vector.
 
-    With ``probes`` only that many nearest blocks are visited after the first one (approximate).
+    With a ``budget`` only the nearest blocks that hold so many rows are visited (approximate).
     """
     sc = queries.sparkSession.sparkContext
     book = sc.broadcast(_directory(base, pivots))
@@ -297,7 +297,8 @@ def _search(
                 mean_low[own] = -1.0
                 todo = np.flatnonzero(hit | own)
                 todo = todo[np.argsort(mean_low[todo], kind="stable")]
-                todo = todo if probes is None else todo[: probes + 1]
+                if budget is not None:
+                    todo = todo[: np.searchsorted(dirs.n[todo].cumsum(), budget) + 1]
                 parts = np.arange(len(todo)) // VISITS
                 heads = np.arange(parts[-1] + 1)
                 total = len(todo) + len(heads)
@@ -376,7 +377,8 @@ def _neighbors(
     else:
         folded = materialize(fold_equal(queries, id_col, vec, 1))
         query_blocks = _cut_blocks(folded, shared, block)
-    pairs = _search(query_blocks, base_blocks, pivots, want, probes)
+    budget = None if probes is None else (probes + 1) * block
+    pairs = _search(query_blocks, base_blocks, pivots, want, budget)
 
     nearest = Window.partitionBy("rep").orderBy("distance", "base_rep")
     few = pairs.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= want)
@@ -416,7 +418,8 @@ def knn_exact(
 def knn_probe(
     df: DataFrame, id_col: str, vec: str, k: int, probes: int = 8, include_self: bool = True, block: int = 2048
 ) -> DataFrame:
-    """Approximate variant for large tables: each query block visits at most ``probes`` further blocks."""
+    """Approximate variant for large tables: each query block visits the nearest blocks that hold about
+    ``probes + 1`` full blocks of rows, its own included."""
     return _neighbors(df, None, id_col, vec, k, include_self, block, probes)
 
 

@@ -56,6 +56,12 @@ def from_rows(
     return spark.createDataFrame(rows if isinstance(rows, pd.DataFrame) else list(rows), schema)
 
 
+def register(df: DataFrame, name: str) -> DataFrame:
+    """Make a table visible to ``spark.sql`` text under a name."""
+    df.createOrReplaceTempView(name)
+    return df
+
+
 def with_path_columns(
     df: DataFrame, extension: str = ".ogg", name: str = "filename", path: Column | None = None
 ) -> DataFrame:
