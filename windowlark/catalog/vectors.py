@@ -6,7 +6,6 @@ from windowlark.catalog import query
 from windowlark.functions import vector as vec
 from windowlark.operators import features, knn, labels
 from windowlark.operators.aggregates import histogram
-from windowlark.operators.windows import top_per_group
 from windowlark.plans import views as v
 
 # rank by the full-precision distance, then id: the same order on both sides
