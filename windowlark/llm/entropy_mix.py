@@ -9,7 +9,7 @@ convex with one unknown per source, and a document of ``size`` tokens has the ra
 an exponential tilt that saturates at the bound (rate(0) = 1). Newton steps on all lambdas run together as Spark
 jobs over (source, size, count), a sufficient summary made map-side; a step that leaves the bracket of the
 root is replaced by bisection. Rates become whole copies by a hashed offset per document; a three-level radix
-selection then finds, per source, the one offset shift that brings the copies closest to the target.
+selection then finds, per source, which documents to round the other way to come closest to the target.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ MOST = 3
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Radix digits of the shift: three passes of 2**10 bins each.
 DIGIT_BITS, DIGITS = 10, 3
+#: After the shift, so many rounds fill what one more document would overshoot.
+FILL_ROUNDS = 3
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -105,12 +107,12 @@ def solve_dual(sizes: DataFrame, targets: DataFrame, most: int = MOST, steps: in
     return state.select("source", "lam", "mean")
 
 
-def _closest_shift(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, cut): the number of leading documents, by ``flip``, that take one more copy, as a bound on flip.
+def _largest_cut(rows: DataFrame, sources: DataFrame, nearest: bool) -> DataFrame:
+    """(source, gap, cut): leading documents, in order of ``flip``, whose sizes add up to at most ``gap``.
 
-    ``rows`` has source, size, flip (0 to 2**30): a document takes its next copy when the cut is above its
-    flip. ``sources`` has source and ``gap``, the tokens still wanted. Each pass bins one digit of flip,
-    so no order of all documents is needed.
+    ``rows`` has source, size and flip (0 to 2**30); ``sources`` has source and gap. Documents with flip below the
+    cut are taken and the gap returned is what they leave. Each pass bins one digit of flip, so documents are
+    never put in order. ``nearest`` takes one bin more if that ends closer to the gap.
     """
     state = sources.select("source", F.col("gap").cast("double").alias("gap"), F.lit(0).cast("bigint").alias("cut"))
     for digit in range(DIGITS):
@@ -124,23 +126,20 @@ def _closest_shift(rows: DataFrame, sources: DataFrame) -> DataFrame:
             .agg(F.sum("size").alias("tokens"))
         )
         run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        bins = materialize(bins.withColumn("upto", F.sum("tokens").over(run)))
-        joined = state.join(bins.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
-        last = digit == DIGITS - 1
-        # whole bins that fit; in the last pass the next bin too if it ends nearer to the target
+        bins = bins.withColumn("upto", F.sum("tokens").over(run)).withColumnRenamed("source", "s")
+        joined = state.join(bins, F.col("source").eqNullSafe(F.col("s")), "left")
         fits = F.col("upto") <= F.col("gap")
-        if last:
+        if nearest and digit == DIGITS - 1:
             fits = fits | (2 * F.col("upto") - F.col("tokens") <= 2 * F.col("gap"))
         taken = F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0))
-        passed = F.coalesce(F.max(F.when(fits, F.col("bin") + 1)), F.lit(0))
-        # empty bins after the last that fits hold nothing: stand at the first bin that does not fit
-        stands = F.coalesce(F.min(F.when(~fits, F.col("bin"))), passed)
+        # stand at the first bin that does not fit; if all do, at the end of this digit's range
+        stands = F.coalesce(F.min(F.when(~fits, F.col("bin"))), F.lit(1 << DIGIT_BITS))
         state = materialize(
             joined.groupBy("source", "gap", "cut")
             .agg(taken.alias("taken"), stands.alias("stands"))
             .select("source", (F.col("gap") - F.col("taken")).alias("gap"), (F.col("cut") + F.col("stands") * width).alias("cut"))
         )
-    return state.select("source", "cut")
+    return state
 
 
 def mix_sources(
@@ -184,22 +183,35 @@ def mix_sources(
         )
     )
     sums = rated.groupBy("source", "target").agg(F.sum(F.col("base") * F.col("size")).alias("now"))
-    gaps = materialize(sums.withColumn("gap", F.col("target") - F.col("now")))
-    # a source that is short raises documents with the least way up; one that is over lowers those with the least way down
-    short = _closest_shift(
-        rated.where((F.col("base") < most) & (F.col("size") > 0)).select("source", "size", F.col("up").alias("flip")),
-        gaps.where("gap > 0"),
-    ).withColumn("way", F.lit(1))
-    over = _closest_shift(
-        rated.where("base > 0 AND size > 0").select("source", "size", (F.lit(span - 1) - F.col("up")).alias("flip")),
-        gaps.where("gap < 0").withColumn("gap", -F.col("gap")),
-    ).withColumn("way", F.lit(-1))
-    shifts = materialize(short.unionAll(over).withColumnRenamed("source", "s"))
-    final = rated.join(shifts, F.col("source").eqNullSafe(F.col("s")), "left")
-    raised = (F.col("way") == 1) & (F.col("base") < most) & (F.col("up") < F.col("cut"))
-    lowered = (F.col("way") == -1) & (F.col("base") > 0) & (F.lit(span - 1) - F.col("up") < F.col("cut"))
-    changed = F.when(F.col("size") == 0, 0).when(raised, 1).when(lowered, -1).otherwise(0)
-    out = final.withColumn("copies", F.col("base") + changed)
+    wanted = materialize(sums.select("source", (F.col("target") - F.col("now")).alias("gap")))
+    # a source that is short gives one more copy to documents with the least way up; one that is over takes one
+    # back from those with the least way down; later rounds fill what is left with documents that still fit
+    final = rated.join(
+        wanted.select(F.col("source").alias("s"), F.signum("gap").cast("int").alias("way")), F.col("source").eqNullSafe(F.col("s"))
+    ).drop("s")
+    can = (F.col("size") > 0) & F.when(F.col("way") > 0, F.col("base") < most).otherwise((F.col("way") < 0) & (F.col("base") > 0))
+    final = final.withColumns(
+        {"flip": F.when(F.col("way") > 0, F.col("up")).otherwise(span - 1 - F.col("up")), "can": can, "moved": F.lit(False)}
+    )
+    gaps = wanted.select("source", F.abs("gap").alias("gap"))
+    for round_ in range(FILL_ROUNDS):
+        last = round_ == FILL_ROUNDS - 1
+        fitting = F.col("size") <= F.col("room") * (2 if last else 1)
+        limit = gaps.select(F.col("source").alias("s"), F.col("gap").alias("room"))
+        free = final.join(limit, F.col("source").eqNullSafe(F.col("s"))).where(F.col("can") & ~F.col("moved") & fitting)
+        cuts = _largest_cut(free.select("source", "size", "flip"), gaps, nearest=last)
+        step = gaps.select(F.col("source").alias("s"), F.col("gap").alias("room")).join(
+            cuts.select(F.col("source").alias("s2"), "cut"), F.col("s").eqNullSafe(F.col("s2"))
+        ).drop("s2")
+        now = F.col("can") & fitting & (F.col("flip") < F.col("cut"))
+        final = (
+            final.join(step, F.col("source").eqNullSafe(F.col("s")), "left")
+            .withColumn("moved", F.col("moved") | F.coalesce(now, F.lit(False)))
+            .drop("s", "room", "cut")
+        )
+        gaps = cuts.select("source", "gap")
+    changed = F.when(F.col("moved"), F.col("way")).otherwise(0)
+    out = final.withColumn("copies", (F.col("base") + changed).cast("bigint"))
     return out.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "copies",
         (F.col("copies") * F.col("size")).alias("taken"),
