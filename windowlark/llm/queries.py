@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from windowlark.llm import bloom_dedup, entropy_mix, url_rules
+from windowlark.llm import bloom_dedup, bpe, entropy_mix, url_rules
 from windowlark.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +25,23 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query("op4_bpe")
+def _(spark, folder):
+    ranks = bpe.read_ranks(VOCABULARY)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ids = bpe.bpe_encode(docs, "text", ranks, public_tokenizers.PATTERN, carry=["doc_id"])
+    decoded = bpe.bpe_decode(ids, "ids", ranks)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 _SQUEEZED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
 
