@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowlark.llm import bloom_dedup, bpe, entropy_mix, url_rules
+from windowlark.llm import bloom_dedup, bpe, entropy_mix, language_svm, url_rules
 from windowlark.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,15 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op3_language_svm")
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = language_svm.fit_languages(docs.where(third != 1))
+    held = F.coalesce(third == 1, F.lit(False))
+    return language_svm.predict_languages(docs.select("doc_id", "text", held.alias("held_out")), model).drop("text")
+
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
