@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowlark.llm import bloom_dedup, bpe, entropy_mix, language_svm, url_rules
+from windowlark.llm import bloom_dedup, bpe, entropy_mix, language_svm, projected_search, url_rules
 from windowlark.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,11 @@ def _(spark, folder):
     return url_rules.judge_urls(table(spark, folder, "pages"), rules)
 
 
+@query("op8_projected_search")
+def _(spark, folder):
+    return projected_search.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op9_entropy_mix")
 def _(spark, folder):
     return entropy_mix.mix_sources(table(spark, folder, "documents"))
