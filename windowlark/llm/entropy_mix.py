@@ -14,12 +14,12 @@ selection then finds, per source, which documents to round the other way to come
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windowlark.llm.support import whole
+from windowlark.llm.support import small_enough, whole
 from windowlark.session import materialize
 
 MOST = 3
@@ -29,6 +29,8 @@ DIGIT_BITS, DIGITS = 10, 3
 #: After the shift, so many rounds fill what one more document would overshoot.
 FILL_ROUNDS = 3
 
+SOURCE_ROW_BYTES = 256
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -107,7 +109,7 @@ def solve_dual(sizes: DataFrame, targets: DataFrame, most: int = MOST, steps: in
     return state.select("source", "lam", "mean")
 
 
-def _largest_cut(rows: DataFrame, sources: DataFrame, nearest: bool) -> DataFrame:
+def _largest_cut(rows: DataFrame, sources: DataFrame, nearest: bool, send: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(source, gap, cut): leading documents, in order of ``flip``, whose sizes add up to at most ``gap``.
 
     ``rows`` has source, size and flip (0 to 2**30); ``sources`` has source and gap. Documents with flip below the
@@ -120,7 +122,7 @@ def _largest_cut(rows: DataFrame, sources: DataFrame, nearest: bool) -> DataFram
         at = state.withColumnsRenamed({"source": "s"})
         inside = (F.col("flip") >= F.col("cut")) & (F.col("flip") < F.col("cut") + width * (1 << DIGIT_BITS))
         bins = (
-            rows.join(at, F.col("source").eqNullSafe(F.col("s")))
+            rows.join(send(at), F.col("source").eqNullSafe(F.col("s")))
             .where(inside)
             .groupBy("source", F.floor((F.col("flip") - F.col("cut")) / width).alias("bin"))
             .agg(F.sum("size").alias("tokens"))
@@ -165,6 +167,12 @@ def mix_sources(
     per_source = materialize(
         targets.join(dual.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     )
+    few = small_enough(per_source, SOURCE_ROW_BYTES)
+
+    def send(table: DataFrame) -> DataFrame:
+        """Per-source tables go to every executor if the sources, by their count, stay under the bound."""
+        return F.broadcast(table) if few else table
+
     full = F.col("target") >= F.col("source_size") * most * (1 - 1e-12)
     tilted = _rate(F.col("lam") * F.col("size") / F.col("mean"), most)
     rate = F.when(F.col("size") == 0, F.lit(1.0)).when(full, F.lit(float(most))).otherwise(tilted)
@@ -173,8 +181,7 @@ def mix_sources(
     offset = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(span)) / F.lit(float(span))
     lifted = F.col("rate") + offset
     rated = materialize(
-        narrow.join(F.broadcast(per_source.withColumnRenamed("source", "s")) if per_source.count() * 64 <= 32 << 20
-                    else per_source.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+        narrow.join(send(per_source.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
         .withColumn("rate", rate)
         .select(
             "id", "source", "size", "source_size", "target", "rate",
@@ -187,7 +194,7 @@ def mix_sources(
     # a source that is short gives one more copy to documents with the least way up; one that is over takes one
     # back from those with the least way down; later rounds fill what is left with documents that still fit
     final = rated.join(
-        wanted.select(F.col("source").alias("s"), F.signum("gap").cast("int").alias("way")), F.col("source").eqNullSafe(F.col("s"))
+        send(wanted.select(F.col("source").alias("s"), F.signum("gap").cast("int").alias("way"))), F.col("source").eqNullSafe(F.col("s"))
     ).drop("s")
     can = (F.col("size") > 0) & F.when(F.col("way") > 0, F.col("base") < most).otherwise((F.col("way") < 0) & (F.col("base") > 0))
     final = final.withColumns(
@@ -198,14 +205,14 @@ def mix_sources(
         last = round_ == FILL_ROUNDS - 1
         fitting = F.col("size") <= F.col("room") * (2 if last else 1)
         limit = gaps.select(F.col("source").alias("s"), F.col("gap").alias("room"))
-        free = final.join(limit, F.col("source").eqNullSafe(F.col("s"))).where(F.col("can") & ~F.col("moved") & fitting)
-        cuts = _largest_cut(free.select("source", "size", "flip"), gaps, nearest=last)
+        free = final.join(send(limit), F.col("source").eqNullSafe(F.col("s"))).where(F.col("can") & ~F.col("moved") & fitting)
+        cuts = _largest_cut(free.select("source", "size", "flip"), gaps, last, send)
         step = gaps.select(F.col("source").alias("s"), F.col("gap").alias("room")).join(
             cuts.select(F.col("source").alias("s2"), "cut"), F.col("s").eqNullSafe(F.col("s2"))
         ).drop("s2")
         now = F.col("can") & fitting & (F.col("flip") < F.col("cut"))
         final = (
-            final.join(step, F.col("source").eqNullSafe(F.col("s")), "left")
+            final.join(send(step), F.col("source").eqNullSafe(F.col("s")), "left")
             .withColumn("moved", F.col("moved") | F.coalesce(now, F.lit(False)))
             .drop("s", "room", "cut")
         )
