@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowlark.llm import bloom_dedup, bpe, entropy_mix, language_svm, projected_search, url_rules
+from windowlark.llm import bloom_dedup, bpe, entropy_mix, language_svm, projected_search, url_rules, warc
 from windowlark.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,14 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_warc")
+def _(spark, folder):
+    manifest = warc.archive_pages(table(spark, folder, "pages"))
+    return warc.read_archives(manifest, payload=False).where("last").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query("op3_language_svm")
 def _(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
