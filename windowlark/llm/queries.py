@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowlark.llm import bloom_dedup, bpe, entropy_mix, language_svm, projected_search, url_rules, warc
+from windowlark.llm import bloom_dedup, bpe, entropy_mix, language_svm, line_templates, projected_search, url_rules, warc
 from windowlark.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,36 @@ def _(spark, folder):
     return url_rules.judge_urls(table(spark, folder, "pages"), rules)
 
 
+_FOLDED = r"regexp_replace(line, '[\x09-\x0D]', ' ', 'g')"
+
+#: Oracle of the template tree, with token strings for hashes; also used by the pipeline.
+TEMPLATE_SQL = rf"""
+lines AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                 generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM docs),
+filled AS (SELECT *, regexp_split_to_array(trim({_FOLDED}), ' +') AS tokens FROM lines WHERE trim({_FOLDED}) <> ''),
+seen AS (SELECT *, (len(tokens), list_transform(tokens[1:3], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END)) AS leaf FROM filled),
+wordings AS (SELECT leaf, line, any_value(tokens) AS tokens, count(DISTINCT (doc_id, text)) AS docs FROM seen GROUP BY leaf, line),
+placed AS (SELECT leaf, line, docs, len(tokens) AS size, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM wordings
+           WHERE leaf IN (SELECT leaf FROM wordings GROUP BY leaf HAVING sum(docs) >= 10)),
+constants AS (SELECT leaf, place, token FROM placed WHERE NOT regexp_matches(token, '[0-9]') GROUP BY ALL HAVING sum(docs) >= 10),
+templates AS (SELECT leaf, line, list((place, token) ORDER BY place) AS template FROM placed SEMI JOIN constants USING (leaf, place, token)
+              GROUP BY leaf, line, size HAVING count(*) >= size * 0.8),
+hits AS (SELECT leaf, template, doc_id, text, line_no FROM seen JOIN templates USING (leaf, line)),
+recurring AS (SELECT leaf, template, min((doc_id, line_no)) AS first FROM hits GROUP BY leaf, template HAVING count(DISTINCT (doc_id, text)) >= 10),
+gone AS (SELECT doc_id, text, list(line_no) AS lines FROM (SELECT DISTINCT doc_id, text, line_no FROM hits JOIN recurring USING (leaf, template)
+         WHERE (doc_id, line_no) <> first) GROUP BY doc_id, text),
+cleaned AS (SELECT d.doc_id, CASE WHEN g.lines IS NULL THEN d.text ELSE
+              array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(g.lines, i)), chr(10)) END AS text,
+              d.lang, d.source, d.n_chars, len(string_split(coalesce(d.text, ''), chr(10))) AS n_lines, coalesce(len(g.lines), 0) AS n_dropped
+            FROM docs d LEFT JOIN gone g ON d.doc_id = g.doc_id AND d.text = g.text)"""
+
+
+@query("op7_line_templates", f"WITH docs AS (SELECT * FROM documents), {TEMPLATE_SQL} SELECT doc_id, text, n_lines, n_dropped FROM cleaned")
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring_lines(docs, counts=True)
+
+
 @query("op8_projected_search")
 def _(spark, folder):
     return projected_search.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
