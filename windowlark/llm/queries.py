@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowlark.llm import bloom_dedup, bpe, entropy_mix, language_svm, line_templates, projected_search, url_rules, warc
+from windowlark.llm import bloom_dedup, bpe, entropy_mix, language_svm, line_templates, order_minhash, projected_search, url_rules, warc
 from windowlark.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def _(spark, folder):
     )
 
 
+@query("op2_order_minhash")
+def _(spark, folder):
+    return order_minhash.near_duplicates(table(spark, folder, "documents")).drop("rk")
+
+
 @query("op3_language_svm")
 def _(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
