@@ -144,6 +144,43 @@ def _largest_cut(rows: DataFrame, sources: DataFrame, nearest: bool, send: Calla
     return state
 
 
+_S, _ID, _SIZE = "_m_source", "_m_id", "_m_size"
+_SPAN = 1 << DIGIT_BITS * DIGITS
+
+
+def _by_source(df: DataFrame, table: DataFrame, how: str = "left") -> DataFrame:
+    """Join a per-source table (its key named s) to rows that carry the source."""
+    return df.join(table, F.col(_S).eqNullSafe(F.col("s")), how).drop("s")
+
+
+def _start(df: DataFrame, per_source: DataFrame, most: int) -> DataFrame:
+    """Adds the rate, the copies below it after a hashed offset, and how far the next copy is."""
+    full = F.col("target") >= F.col("source_size") * most * (1 - 1e-12)
+    tilted = _rate(F.col("lam") * F.col(_SIZE) / F.col("mean"), most)
+    rate = F.when(F.col(_SIZE) == 0, F.lit(1.0)).when(full, F.lit(float(most))).otherwise(tilted)
+    # a uniform offset per document: rounding down after it takes `rate` copies on average
+    lifted = F.col("rate") + F.pmod(F.xxhash64(_ID, F.lit(9)), F.lit(_SPAN)) / F.lit(float(_SPAN))
+    up = F.least(F.floor((1 - (lifted - F.floor(lifted))) * _SPAN), F.lit(_SPAN - 1))
+    return (
+        _by_source(df, per_source)
+        .withColumn("rate", rate)
+        .withColumns({"_m_base": F.least(F.floor(lifted), F.lit(most)).cast("bigint"), "_m_up": up.cast("bigint")})
+    )
+
+
+def _turn(df: DataFrame, ways: DataFrame, most: int) -> DataFrame:
+    """Adds the way a source has to move (1, 0, -1), which documents can follow, and in which order."""
+    can = F.when(F.col("way") > 0, F.col("_m_base") < most).otherwise((F.col("way") < 0) & (F.col("_m_base") > 0))
+    flip = F.when(F.col("way") > 0, F.col("_m_up")).otherwise(_SPAN - 1 - F.col("_m_up"))
+    return _by_source(df, ways).withColumns({"_m_flip": flip, "_m_can": can & (F.col(_SIZE) > 0), "_m_moved": F.lit(False)})
+
+
+def _fill(df: DataFrame, step: DataFrame, fitting: Column) -> DataFrame:
+    """Marks the documents that one fill round moves; ``step`` has s, room and cut."""
+    now = F.col("_m_can") & fitting & (F.col("_m_flip") < F.col("cut"))
+    return _by_source(df, step).withColumn("_m_moved", F.col("_m_moved") | F.coalesce(now, F.lit(False))).drop("room", "cut")
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -151,21 +188,23 @@ def mix_sources(
     source_col: str = "source",
     weights: Sequence[float] = WEIGHTS,
     most: int = MOST,
-    keep: Sequence[str] = (),
+    carry: bool = False,
 ) -> DataFrame:
-    """One row per document: id, the columns in ``keep``, size, source_size, target, rate, copies, taken.
+    """One row per document: id, source, size, source_size, target, rate, copies, taken; all columns with ``carry``.
 
     ``taken`` is copies times size. A null text has size 0 and is taken with rate 1; a null source is a source of its own,
     last in order. Rows that repeat an id get the same copies if their size and source agree. Choices are hashes
-    of the id, so reruns agree. Other columns are not read; an empty table gives an empty result. All
-    jobs after the first read a written table of (id, source, size).
+    of the id, so reruns agree. Without ``carry`` other columns are not read; with it, columns of ``docs`` named
+    like a result are replaced. An empty table gives an empty result. Every job but the first reads a written table of
+    (id, source, size); documents meet per-source tables only, so texts are not shuffled while these are small.
     """
-    narrow = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(text_col).alias("size")))
-    targets = materialize(source_targets(narrow, weights, most))
-    dual = solve_dual(narrow, targets, most)
-
+    keys = {_ID: F.col(id_col), _S: F.col(source_col), _SIZE: words_in(text_col)}
+    narrow = materialize(docs.select(*[c.alias(n) for n, c in keys.items()]))
+    sizes = narrow.select(F.col(_S).alias("source"), F.col(_SIZE).alias("size"))
+    targets = materialize(source_targets(sizes, weights, most))
+    dual = solve_dual(sizes, targets, most).withColumnRenamed("source", "s")
     per_source = materialize(
-        targets.join(dual.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        targets.join(dual, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "s")
     )
     few = small_enough(per_source, SOURCE_ROW_BYTES)
 
@@ -173,53 +212,34 @@ def mix_sources(
         """Per-source tables go to every executor if the sources, by their count, stay under the bound."""
         return F.broadcast(table) if few else table
 
-    full = F.col("target") >= F.col("source_size") * most * (1 - 1e-12)
-    tilted = _rate(F.col("lam") * F.col("size") / F.col("mean"), most)
-    rate = F.when(F.col("size") == 0, F.lit(1.0)).when(full, F.lit(float(most))).otherwise(tilted)
-    span = 1 << DIGIT_BITS * DIGITS
-    # a uniform offset per document: rounding down after it takes `rate` copies on average
-    offset = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(span)) / F.lit(float(span))
-    lifted = F.col("rate") + offset
-    rated = materialize(
-        narrow.join(send(per_source.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("rate", rate)
-        .select(
-            "id", "source", "size", "source_size", "target", "rate",
-            F.least(F.floor(lifted), F.lit(most)).cast("bigint").alias("base"),
-            F.least(F.floor((1 - (lifted - F.floor(lifted))) * span), F.lit(span - 1)).cast("bigint").alias("up"),
-        )
-    )
-    sums = rated.groupBy("source", "target").agg(F.sum(F.col("base") * F.col("size")).alias("now"))
-    wanted = materialize(sums.select("source", (F.col("target") - F.col("now")).alias("gap")))
+    rated = materialize(_start(narrow, send(per_source), most).select(_ID, _S, _SIZE, "target", "_m_base", "_m_up"))
+    sums = rated.groupBy(_S, "target").agg(F.sum(F.col("_m_base") * F.col(_SIZE)).alias("now"))
+    wanted = materialize(sums.select(F.col(_S).alias("source"), (F.col("target") - F.col("now")).alias("gap")))
     # a source that is short gives one more copy to documents with the least way up; one that is over takes one
     # back from those with the least way down; later rounds fill what is left with documents that still fit
-    final = rated.join(
-        send(wanted.select(F.col("source").alias("s"), F.signum("gap").cast("int").alias("way"))), F.col("source").eqNullSafe(F.col("s"))
-    ).drop("s")
-    can = (F.col("size") > 0) & F.when(F.col("way") > 0, F.col("base") < most).otherwise((F.col("way") < 0) & (F.col("base") > 0))
-    final = final.withColumns(
-        {"flip": F.when(F.col("way") > 0, F.col("up")).otherwise(span - 1 - F.col("up")), "can": can, "moved": F.lit(False)}
-    )
+    ways = wanted.select(F.col("source").alias("s"), F.signum("gap").cast("int").alias("way"))
+    rows = _turn(rated, send(ways), most)
     gaps = wanted.select("source", F.abs("gap").alias("gap"))
+    steps = []
     for round_ in range(FILL_ROUNDS):
         last = round_ == FILL_ROUNDS - 1
-        fitting = F.col("size") <= F.col("room") * (2 if last else 1)
-        limit = gaps.select(F.col("source").alias("s"), F.col("gap").alias("room"))
-        free = final.join(send(limit), F.col("source").eqNullSafe(F.col("s"))).where(F.col("can") & ~F.col("moved") & fitting)
-        cuts = _largest_cut(free.select("source", "size", "flip"), gaps, last, send)
-        step = gaps.select(F.col("source").alias("s"), F.col("gap").alias("room")).join(
-            cuts.select(F.col("source").alias("s2"), "cut"), F.col("s").eqNullSafe(F.col("s2"))
-        ).drop("s2")
-        now = F.col("can") & fitting & (F.col("flip") < F.col("cut"))
-        final = (
-            final.join(send(step), F.col("source").eqNullSafe(F.col("s")), "left")
-            .withColumn("moved", F.col("moved") | F.coalesce(now, F.lit(False)))
-            .drop("s", "room", "cut")
-        )
+        fitting = F.col(_SIZE) <= F.col("room") * (2 if last else 1)
+        room = gaps.select(F.col("source").alias("s"), F.col("gap").alias("room"))
+        free = _by_source(rows, send(room), "inner").where(F.col("_m_can") & ~F.col("_m_moved") & fitting)
+        free = free.select(F.col(_S).alias("source"), F.col(_SIZE).alias("size"), F.col("_m_flip").alias("flip"))
+        cuts = _largest_cut(free, gaps, last, send)
+        cut = cuts.select(F.col("source").alias("s2"), "cut")
+        steps.append((materialize(room.join(cut, F.col("s").eqNullSafe(F.col("s2"))).drop("s2")), fitting))
+        rows = _fill(rows, send(steps[-1][0]), fitting)
         gaps = cuts.select("source", "gap")
-    changed = F.when(F.col("moved"), F.col("way")).otherwise(0)
-    out = final.withColumn("copies", (F.col("base") + changed).cast("bigint"))
-    return out.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"),
-    )
+
+    results = ["size", "source_size", "target", "rate", "copies", "taken"]
+    base = docs.withColumns(keys).drop(*results) if carry else narrow
+    out = _turn(_start(base, send(per_source), most), send(ways), most)
+    for step, fitting in steps:
+        out = _fill(out, send(step), fitting)
+    copies = F.col("_m_base") + F.when(F.col("_m_moved"), F.col("way")).otherwise(0)
+    out = out.withColumns({"copies": copies.cast("bigint"), "size": F.col(_SIZE)})
+    out = out.withColumn("taken", F.col("copies") * F.col("size"))
+    first = [c for c in docs.columns if c not in results] if carry else [F.col(_ID).alias(id_col), F.col(_S).alias(source_col)]
+    return out.select(*first, *results)

@@ -235,11 +235,13 @@ def fit_languages(
     return LanguageModel(families, duels, weights, matrix[-1])
 
 
-def predict_languages(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score to every row; reads the whole text and no other column.
+def predict_languages(
+    df: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """Adds the language and its score, under ``names``, to every row; reads the whole text and no other column.
 
     ``und`` and 0 if the text is null, empty or has no letter. The score, 0 to 1, is the product of the least sure
-    duels that the family and the language won. Columns named lang_pred or score are replaced.
+    duels that the family and the language won. Columns that have one of the names are replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -248,5 +250,6 @@ def predict_languages(df: DataFrame, model: LanguageModel, text_col: str = "text
         langs, scores = shared.value.predict([t if isinstance(t, str) else None for t in texts])
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
-    return df.select(*kept, guess(F.col(text_col)).alias("_guess")).select(*kept, "_guess.*")
+    kept = [c for c in df.columns if c not in names]
+    judged = df.select(*kept, guess(F.col(text_col)).alias("_guess"))
+    return judged.select(*kept, F.col("_guess.lang_pred").alias(names[0]), F.col("_guess.score").alias(names[1]))
