@@ -148,7 +148,7 @@ class Encoder:
     """Encodes whole texts by a perfect hash and a pre-token pattern."""
 
     def __init__(self, table: PerfectHash, pattern: str):
-        self.table, self.find = table, regex.compile(pattern).findall
+        self.table, self.pattern, self.find = table, pattern, regex.compile(pattern).findall
         self.merges = dict(zip(table.key, table.rank, strict=True))
         self.words = _Memo(self._word)
         self.pieces = _Memo(self._piece)
@@ -196,16 +196,14 @@ class _Memo(dict):
         return value
 
 
-_encoders: dict[tuple, Encoder] = {}
+_held: list = [None, None]
 
 
 def encoder_of(shared, pattern: str) -> Encoder:
-    """One encoder per Python worker for a broadcast table, kept between tasks."""
-    key = (shared.value.n, hash(tuple(shared.value.shift[:64])), pattern)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(shared.value, pattern)
-    return _encoders[key]
+    """The encoder of a broadcast table, kept by a Python worker between tasks."""
+    if _held[0] is not shared or _held[1].pattern != pattern:
+        _held[:] = shared, Encoder(shared.value, pattern)
+    return _held[1]
 
 
 def _with_column(batch: pa.RecordBatch, carry: list[int], name: str, values: pa.Array) -> pa.RecordBatch:

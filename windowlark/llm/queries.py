@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowlark.llm import bloom_dedup, bpe, entropy_mix, language_svm, line_templates, order_minhash, projected_search, url_rules, warc
+from windowlark.llm import bloom_dedup, bpe, entropy_mix, language_svm, line_templates, order_minhash, projected_search, training_order, url_rules, warc
 from windowlark.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,12 @@ def _(spark, folder):
 @query("op9_entropy_mix")
 def _(spark, folder):
     return entropy_mix.mix_sources(table(spark, folder, "documents"))
+
+
+@query("op10_training_order")
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    manifest, facts = training_order.materialise_order(docs, bpe.read_ranks(VOCABULARY), public_tokenizers.PATTERN)
+    read = training_order.read_slots(manifest, facts)
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return read.select("slot", "sequence", "shard", "offset", F.sha2(ids, 256).alias("ids_sha256"))
