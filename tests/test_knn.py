@@ -66,6 +66,20 @@ def test_probe_recall(spark, clustered):
     assert hits / 4800 > 0.9
 
 
+def test_probing_every_block_is_exact(spark, clustered):
+    x = clustered[:300]
+    near = got(knn.knn_probe(frame(spark, x), "id", "emb", 6, probes=10_000, block=8))
+    assert near == brute(x, range(300), x, range(300), 6)
+
+
+def test_busy_blocks_are_copied(spark, clustered, monkeypatch):
+    """Many queries on few blocks: copies of a block serve them, results stay the same."""
+    monkeypatch.setattr(knn, "VISITS", 7)
+    monkeypatch.setattr(knn, "TOGETHER", 5)
+    x = clustered[:200]
+    assert got(knn.knn_exact(frame(spark, x), "id", "emb", 5, block=16)) == brute(x, range(200), x, range(200), 5)
+
+
 def test_long_and_nested(spark, clustered):
     graph = knn.knn_exact(frame(spark, clustered[:50]), "id", "emb", 3)
     assert got(knn.edges_nested(knn.edges_long(graph))) == got(graph)

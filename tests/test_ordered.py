@@ -114,6 +114,9 @@ def test_random_partner_and_slots(skewed):
     # every row draws once; half of the indices have no partner
     assert drawn.select("id").distinct().count() == drawn.count() and 1350 < drawn.count() < 1650
     assert rows(drawn, "id", "other") == rows(again, "id", "other")
+    whole = ordered.assign_row_id(skewed.select(F.col("id").alias("other")), ["other"], "index", start=0)
+    # over the true size of the table nobody is lost
+    assert joins.random_partner(skewed.select("id"), whole, ["id"], seed=3).count() == 3000
     few = skewed.select(F.col("v").alias("w"), F.col("id").alias("j"))
     pairs = joins.pair_with_slots(skewed.select("id"), few, 4, ["w", "j"])
     best = [(r.w, r.j) for r in few.orderBy("w", "j").limit(4).collect()]

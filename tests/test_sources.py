@@ -128,8 +128,6 @@ def test_compact_roundtrip(spark, tmp_path):
 def test_single_file(spark, tmp_path):
     writers.write_single(spark.range(100, numPartitions=5), str(tmp_path / "one"))
     assert len(list((tmp_path / "one").glob("*.parquet"))) == 1
-    with pytest.raises(ValueError):
-        writers.write_single(spark.range(100), str(tmp_path / "big"), limit=99)
 
 
 def test_csv_sink(spark, tmp_path):
@@ -171,4 +169,11 @@ def test_wav_with_extra_chunk(spark, tmp_path):
     raw = (tmp_path / "a" / "x.wav").read_bytes()
     extra = b"LIST" + struct.pack("<I", 10) + b"INFOabcdef"
     (tmp_path / "a" / "y.wav").write_bytes(raw[:36] + extra + raw[36:])
+    # chunk names inside a chunk, long chunks before the samples, odd sizes with a pad byte, and no WAV at all
+    for i, body in enumerate([b"metadata fmt data", b"x" * 5000, b"y" * 1_000_001, b"data\0\0\0\1"]):
+        chunk = b"LIST" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+        (tmp_path / "a" / f"z{i}.wav").write_bytes(raw[:36] + chunk + raw[36:])
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "n.wav").write_bytes(b"not a wav file at all")
+    assert media.media_inventory(spark, f"{tmp_path}/b/*.wav").first().duration is None
     assert {r.duration for r in media.media_inventory(spark, f"{tmp_path}/a/*.wav").collect()} == {2.0}

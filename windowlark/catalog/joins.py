@@ -8,7 +8,6 @@ from windowlark.operators.aggregates import count_by
 from windowlark.operators.ordered import assign_row_id, join_back
 from windowlark.plans import views as v
 
-MIX = "(vec_id * 7919 + 13) % 1000"
 
 
 @query(
@@ -128,8 +127,9 @@ def _(spark, folder):
 
 @query(
     "partner_pairs",
-    f"""WITH dense AS (SELECT vec_id AS other_id, label AS other_label, row_number() OVER (ORDER BY label, vec_id) - 1 AS "index" FROM embeddings)
-        SELECT e.vec_id, d.other_id, e.label + d.other_label AS label_sum FROM embeddings e JOIN dense d ON {MIX} = d."index" """,
+    """WITH dense AS (SELECT vec_id AS other_id, label AS other_label, row_number() OVER (ORDER BY label, vec_id) - 1 AS "index" FROM embeddings)
+        SELECT e.vec_id, d.other_id, e.label + d.other_label AS label_sum FROM embeddings e
+        JOIN dense d ON (vec_id * 7919 + 13) % (SELECT count(*) FROM embeddings) = d."index" """,
 )
 def _(spark, folder):
     e = v.table(spark, folder, "embeddings").select("vec_id", "label")
@@ -139,7 +139,7 @@ def _(spark, folder):
         "index",
         start=0,
     )
-    drawn = e.withColumn("index", F.expr(MIX)).join(dense, "index")
+    drawn = joins.random_partner(e, dense, ["vec_id"], bucket=F.expr("vec_id * 7919 + 13"))
     return drawn.select("vec_id", "other_id", (F.col("label") + F.col("other_label")).alias("label_sum"))
 
 

@@ -52,7 +52,7 @@ def _(spark, folder):
 def _(spark, folder):
     u = F.expr("(event_id * 7919 + 13) % 1000") / 1000
     rate = F.when(F.col("event_type") == "click", 0.6).when(F.col("event_type") == "view", 0.1).otherwise(0.3)
-    return v.table(spark, folder, "events").select("event_id", "event_type").where(u < rate)
+    return smp.sample_strata(v.table(spark, folder, "events").select("event_id", "event_type"), ["event_id"], rate, bucket=u)
 
 
 @query(

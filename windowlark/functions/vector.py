@@ -61,8 +61,8 @@ def concat_vectors(*vecs: Column | str) -> Column:
 
 def unit_hash(*keys: Column | str, seed: int = 0) -> Column:
     """Deterministic uniform number in [0, 1) from key columns; stands in for an unseeded random."""
-    buckets = 1 << 30
-    return F.pmod(F.xxhash64(*[_c(k) for k in keys], F.lit(seed)), F.lit(buckets)) / buckets
+    # all 53 bits that a double can hold
+    return F.shiftrightunsigned(F.xxhash64(*[_c(k) for k in keys], F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
 def mask_vectors(vec: Column | str, key: Column | str, p: float = 0.15, seed: int = 0) -> tuple[Column, Column]:
@@ -124,10 +124,10 @@ def binarize(labels: Column | str, classes: Sequence) -> Column:
 
 
 def duration_parts(duration: Column | str, longest: float) -> Column:
-    """Number of equal parts after halving until a part is at most ``longest``."""
+    """Number of equal parts after halving until a part is at most ``longest``; 2**62 if that is not enough."""
     d = _c(duration)
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(60)),
+        F.sequence(F.lit(1), F.lit(62)),
         F.lit(1).cast("bigint"),
         lambda parts, _: F.when(d / parts > longest, parts * 2).otherwise(parts),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windowlark.operators.ordered import running_totals
+from windowlark.session import materialize
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -28,7 +29,10 @@ def _scores(counts: DataFrame, key: str) -> DataFrame:
 
 def class_metrics(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """(label, support, precision, recall, f1) over the labels of either side."""
-    counts = df.groupBy(truth, pred).agg(F.count("*").alias("n"))
+    return _class_metrics(df.groupBy(truth, pred).agg(F.count("*").alias("n")), truth, pred)
+
+
+def _class_metrics(counts: DataFrame, truth: str, pred: str) -> DataFrame:
     hit = F.when(F.col(truth) == F.col(pred), F.col("n")).otherwise(0)
     zero = F.lit(0).cast("bigint")
     sides = F.array(
@@ -45,18 +49,25 @@ def macro(per_class: DataFrame) -> DataFrame:
 
 def classification_metrics(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """One row: accuracy and macro precision, recall, F1."""
-    accuracy = df.agg(F.avg((F.col(truth) == F.col(pred)).cast("int"))).scalar()
-    return macro(class_metrics(df, truth, pred)).select(accuracy.alias("accuracy"), "precision", "recall", "f1")
+    # one scan: the confusion counts, written, hold the accuracy too
+    counts = materialize(df.groupBy(truth, pred).agg(F.count("*").alias("n")))
+    same = F.col(truth) == F.col(pred)
+    accuracy = counts.agg(F.sum(F.when(same, F.col("n")).when(~same, 0)) / F.sum(F.when(same.isNotNull(), F.col("n")))).scalar()
+    return macro(_class_metrics(counts, truth, pred)).select(accuracy.alias("accuracy"), "precision", "recall", "f1")
 
 
 def multilabel_class_metrics(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    rows = df.select(F.explode(F.array_union(truth, pred)).alias("label"), truth, pred)
-    in_truth, in_pred = F.array_contains(truth, F.col("label")), F.array_contains(pred, F.col("label"))
+    # membership is settled in the row, so that exploded rows carry two flags and not the arrays
+    item = F.transform(
+        F.array_union(truth, pred),
+        lambda x: F.struct(x.alias("label"), F.array_contains(truth, x).alias("in_truth"), F.array_contains(pred, x).alias("in_pred")),
+    )
+    rows = df.select(F.inline(item))
     return _scores(
         rows.groupBy("label").agg(
-            F.count_if(in_truth & in_pred).alias("tp"),
-            F.count_if(in_truth).alias("support"),
-            F.count_if(in_pred).alias("predicted"),
+            F.count_if(F.col("in_truth") & F.col("in_pred")).alias("tp"),
+            F.count_if("in_truth").alias("support"),
+            F.count_if("in_pred").alias("predicted"),
         ),
         "label",
     )

@@ -11,8 +11,6 @@ from windowlark.functions.vector import binarize
 from windowlark.operators.aggregates import count_by
 from windowlark.operators.ordered import assign_row_id, join_classes
 
-MAX_CLASSES = 100_000
-
 
 def encode_labels(df: DataFrame, col: str, name: str = "code") -> DataFrame:
     """Alphabetical 0-based code per label (L1)."""
@@ -36,11 +34,9 @@ def balanced_weight(df: DataFrame, label: str, name: str = "weight") -> DataFram
 def prior_scaled(df: DataFrame, score: str, prior: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Score of a row times the prior share of every class: (keep, label, scaled).
 
-    The prior has one row per class; it becomes one constant array, so no product of tables is planned.
-    A vocabulary beyond ``MAX_CLASSES`` is refused.
+    The prior has one row per class; it becomes one constant array, so no product of tables is planned and
+    no job runs until the result is read.
     """
-    if prior.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
-        raise ValueError("the prior has too many classes for one array")
     packed = prior.agg(F.array_sort(F.collect_list(F.struct("label", "share")))).scalar()
     rows = df.select(*keep, score, F.inline(packed))
     return rows.select(*keep, "label", (F.col(score) * F.col("share")).alias("scaled"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.fpm import FPGrowth
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windowlark.operators.ordered import group_position
@@ -63,10 +63,10 @@ def freq_of_freq(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First row per key in the given order, as a map-side combined minimum."""
+    """First row per key in the given order (D10); each task sends one row per key."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(*keys).agg(first.alias("_r")).select(*keys, "_r.*")
+    return df.withColumn("_place", place).where(F.col("_place") <= 1).select(*keys, *rest)
 
 
 def coverage_pct(df: DataFrame, part: Column, name: str = "pct") -> DataFrame:
@@ -100,19 +100,19 @@ def mean_vector(
     """Element-wise mean of vectors per group.
 
     The summarizer keeps one running mean per group and map task, so vectors are neither exploded nor
-    collected. ``distinct`` drops repeated vectors of a group first.
+    collected. ``distinct`` drops repeated vectors of a group first, by two hashes of the vector.
     """
     rows = df.select(*by, vec)
     if distinct:
-        rows = rows.distinct()
+        rows = rows.groupBy(*by, F.xxhash64(vec).alias("_h"), F.xxhash64(F.lit(1), vec).alias("_g")).agg(F.any_value(vec).alias(vec))
     return rows.groupBy(*by).agg(mean_of(vec).alias(name or vec))
 
 
 def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
     """Equi-width bins between minimum and maximum, the last one closed; empty bins are left out."""
     values = df.select(value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    low, high = values.agg(F.min("_v")).scalar(), values.agg(F.max("_v")).scalar()
-    spread = F.nullif(high - low, F.lit(0.0))
+    ends = values.agg(F.struct(F.min("_v").alias("low"), F.max("_v").alias("high"))).scalar()
+    low, spread = ends["low"], F.nullif(ends["high"] - ends["low"], F.lit(0.0))
     place = F.coalesce(F.floor((F.col("_v") - low) / spread * bins), F.lit(0)).cast("bigint")
     return values.groupBy(F.least(place, F.lit(bins - 1).cast("bigint")).alias("bin")).agg(F.count("*").alias("n"))
 

@@ -28,7 +28,8 @@ def slice_windows(
     padded = F.ceil(F.size(series) / hop).cast("int") * hop
     starts = F.when(padded >= size, F.sequence(F.lit(0), padded - size, F.lit(hop)))
     rows = df.select(*keep, series, F.posexplode(starts).alias("index", "_at"))
-    part = F.slice(F.col(series).cast("array<double>"), F.col("_at") + 1, F.lit(size))
+    # slice first: a cast before it would convert the whole series for every window
+    part = F.slice(F.col(series), F.col("_at") + 1, F.lit(size)).cast("array<double>")
     full = F.concat(part, F.array_repeat(F.lit(0.0), F.lit(size) - F.size(part)))
     return rows.select(
         *keep,

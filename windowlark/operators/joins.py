@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windowlark.functions.vector import unit_hash
+from windowlark.session import materialize
 from windowlark.operators.ordered import assign_row_id
 
-MAX_SLOTS = 10_000
 
 
 def attach_neighbor(edges: DataFrame, nodes: DataFrame, key: str = "neighbor_id", node_id: str = "id") -> DataFrame:
@@ -49,18 +48,22 @@ def pair_with_slots(df: DataFrame, small: DataFrame, n: int, order: Sequence[Col
     """Every row beside each of the first ``n`` rows of ``small``.
 
     Rows expand to slot numbers and meet the numbered small side in an equi-join, so no nested-loop
-    product is planned; ``n`` bounds the broadcast.
+    product is planned. The chosen rows are written, so the planner broadcasts them by their true size.
     """
-    if n > MAX_SLOTS:
-        raise ValueError(f"at most {MAX_SLOTS} slots")
     chosen = assign_row_id(small.orderBy(*order).limit(n), order, "_slot", start=0)
     slots = df.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
-    return slots.join(F.broadcast(chosen), "_slot").drop("_slot")
+    return slots.join(materialize(chosen), "_slot").drop("_slot")
 
 
 def random_partner(
-    df: DataFrame, other: DataFrame, key: Sequence[str], n: int, seed: int = 0, index: str = "index"
+    df: DataFrame, other: DataFrame, key: Sequence[str], n: int | None = None, seed: int = 0, index: str = "index",
+    bucket: Column | None = None,
 ) -> DataFrame:
-    """Each row draws an index in [0, n) from its key; a draw that ``other`` lacks drops the row."""
-    draw = F.floor(unit_hash(*key, seed=seed) * n).cast("bigint")
-    return df.withColumn(index, draw).join(other, index).drop(index)
+    """Each row draws one of the indices of ``other``, dense from 0, by hash of its key; no row is lost.
+
+    ``n`` draws from [0, n) instead: a draw that ``other`` lacks then drops its row. ``bucket`` is an integer column
+    that stands in for the hash.
+    """
+    size = F.lit(n) if n is not None else other.agg(F.count("*")).scalar()
+    draw = F.pmod(F.xxhash64(*key, F.lit(seed)) if bucket is None else bucket.cast("bigint"), size)
+    return df.withColumn(index, draw.cast("bigint")).join(other, index).drop(index)

@@ -1,21 +1,21 @@
-"""Nearest neighbours by blocks, exact with pruning or bounded by probes (K1, K6).
+"""Nearest neighbours by routing queries to blocks, exact with pruning or bounded by probes (K1, K6).
 
 Shape of the job:
 
 1. Equal vectors are folded into one, keeping only the ids that can still be among the nearest
    (ties go to the smaller id), so copies of a vector cost nothing extra.
-2. Every distinct vector is assigned to its nearest pivot, and the table is range-partitioned by
-   (pivot, distance to pivot). Each partition is cut into blocks of at most ``block`` rows that share
-   a pivot and a ring of distances. A pivot that attracts a third of the data just gets more blocks.
-3. Each query block first meets the base block nearest to it, which bounds the k-th distance of its
-   queries. By the triangle inequality a ring can only hold a closer vector if its lower bound is
-   within that distance; only those (query block, base block) pairs are routed.
-4. The routed base blocks stream past their query block, nearest first. A pair is one NumPy matrix
-   product; the best k so far tighten the bound, and later blocks are skipped query by query. Long routes
-   are cut into parts of ``VISITS`` blocks, and a pruned ``row_number`` merges the parts.
-
-No cross join is planned and no pair of vectors is materialised. What is broadcast is the block
-directory, whose size is bounded by ``MAX_BLOCKS`` and ``MAX_PIVOTS``.
+2. Every distinct vector is assigned to a pivot, found over two levels of pivots, and the table is
+   range-partitioned by (pivot, distance to pivot). Each partition is cut into blocks of at most ``block`` rows that
+   share a pivot and a ring of distances. A pivot that attracts a third of the data just gets more blocks.
+3. Every query bounds its k-th distance twice: by the pivots whose cells together hold k vectors, then by searching
+   the one block whose ring it falls in.
+4. By the triangle inequality a cell, and in it a ring, can only hold a closer vector if its lower bound is within
+   that distance. The query, never a block, is sent to the blocks that pass; blocks are found by an equi-join on the
+   cell, so no list of blocks passes the driver and their number has no limit. A block that many queries visit
+   is copied once per ``VISITS`` of them.
+
+No cross join is planned and no pair of vectors is materialised. What is broadcast are pivots, at most ``PIVOT_BYTES``,
+and three numbers per pivot.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Iterator
-from types import SimpleNamespace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 
 from windowlark.session import materialize
 
-MAX_BLOCKS = 20_000
-MAX_PIVOTS = 1024
-# base blocks that one task streams past a query block
-VISITS = 256
+# pivots are a sample of base vectors that every task holds
+PIVOT_BYTES = 64 << 20
+# queries that one copy of a block serves
+VISITS = 4096
+# queries that meet a block in one matrix product
+TOGETHER = 512
 # pivots for each block that the base rows fill: more give tighter rings but smaller blocks
 PIVOTS_PER_BLOCK = 4
 # entries of one distance matrix in a task (32 MB of doubles)
@@ -150,12 +152,31 @@ def _keyed(df: DataFrame, id_col: str, vec: str) -> DataFrame:
 
 
 def _choose_pivots(base: DataFrame, count: int, block: int) -> np.ndarray:
-    """A hash-ordered sample, small enough for the driver by ``MAX_PIVOTS``."""
-    wanted = max(1, min(MAX_PIVOTS, math.ceil(PIVOTS_PER_BLOCK * count / block), 4 * math.isqrt(count) + 1))
+    """A hash-ordered sample, small enough for the driver and every task by ``PIVOT_BYTES``."""
+    width = max(1, base.select(F.size("vec")).first()[0]) if count else 1
+    wanted = max(1, min(PIVOT_BYTES // (8 * width), math.ceil(PIVOTS_PER_BLOCK * count / block), 4 * math.isqrt(count) + 1))
     rows = base.select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(wanted).collect()
     return np.array([r["vec"] for r in rows], dtype=np.float64)
 
 
+def _groups(pivots: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Two levels: the first pivots lead groups, every pivot belongs to its nearest leader."""
+    leaders = pivots[: math.isqrt(len(pivots)) + 1]
+    nearest = np.concatenate([_squares(pivots[i : i + 4096], leaders)[0].argmin(axis=1) for i in range(0, len(pivots), 4096)])
+    return leaders, [np.flatnonzero(nearest == g) for g in range(len(leaders))]
+
+
+def _assign(x: np.ndarray, pivots: np.ndarray, groups: tuple[np.ndarray, list[np.ndarray]]) -> np.ndarray:
+    """A near pivot of every row: the nearest in the group of the nearest leader. Any choice is correct."""
+    leaders, members = groups
+    lead = _squares(x, leaders)[0].argmin(axis=1)
+    cell = np.empty(len(x), dtype=np.int64)
+    for g in np.unique(lead):
+        at = np.flatnonzero(lead == g)
+        cell[at] = members[g][_squares(x[at], pivots[members[g]])[0].argmin(axis=1)]
+    return cell
+
+
 def _cut_blocks(df: DataFrame, pivots: Broadcast, block: int) -> DataFrame:
     """(rep, vec) rows to blocks of one pivot and one ring of distances; entries keep their type."""
     kind = dict(df.dtypes)["vec"]
@@ -168,13 +189,15 @@ def _cut_blocks(df: DataFrame, pivots: Broadcast, block: int) -> DataFrame:
     )
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = None
         for batch in batches:
+            groups = groups or _groups(pivots.value)
             if not batch.num_rows:
                 continue
             flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False)
             x = _matrix(flat, batch.num_rows)
             # a near tie may go to either pivot; the distance to the chosen one is exact
-            cell = _squares(x, pivots.value)[0].argmin(axis=1)
+            cell = _assign(x, pivots.value, groups)
             d = x - pivots.value[cell]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -232,124 +255,138 @@ def _cut_blocks(df: DataFrame, pivots: Broadcast, block: int) -> DataFrame:
     )
 
 
-def _directory(blocks: DataFrame, pivots: np.ndarray) -> SimpleNamespace:
-    """Pivots and the ring of every block: a few numbers per block, at most ``MAX_BLOCKS`` blocks."""
-    pdf = blocks.select("block", "cell", "low", "high", "n").limit(MAX_BLOCKS + 1).toPandas()
-    if len(pdf) > MAX_BLOCKS:
-        raise ValueError("too many blocks; give a larger block size")
-    pdf = pdf.sort_values("block")
-    return SimpleNamespace(pivots=pivots, **{c: pdf[c].to_numpy() for c in pdf.columns})
+@dataclass
+class _Cells:
+    """The pivots that have vectors, with the count and the distances of those: one row per pivot."""
+
+    cell: np.ndarray
+    pivots: np.ndarray
+    n: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def upper(self, far: np.ndarray, k: int) -> np.ndarray:
+        """For each query a distance within which cells hold k vectors; infinite if there are fewer."""
+        reach = far + self.high
+        order = np.argsort(reach, axis=1)
+        enough = np.take_along_axis(np.broadcast_to(self.n, reach.shape), order, axis=1).cumsum(axis=1) >= k
+        at = np.take_along_axis(order, enough.argmax(axis=1)[:, None], axis=1)
+        return np.where(enough[:, -1], np.take_along_axis(reach, at, axis=1)[:, 0], np.inf)
+
+
+def _cells(blocks: DataFrame, pivots: np.ndarray) -> _Cells:
+    """At most one row per pivot reaches the driver."""
+    rows = blocks.groupBy("cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).toPandas().sort_values("cell")
+    cell = rows["cell"].to_numpy(dtype=np.int64)
+    return _Cells(cell, pivots[cell], *[rows[c].to_numpy() for c in ("n", "low", "high")])
+
+
+def _visit(base: DataFrame, queries: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+    """(rep, base_rep, distance): per query and block in ``visits`` (rep, bound, block), at most k within the bound."""
+    load = materialize(visits.groupBy("block").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("parts")).cast("int")
+    asked = visits.join(load, "block").select("block", part.alias("part"), "rep", "bound").join(queries.select("rep", "vec"), "rep")
+    asked = asked.select("block", "part", F.lit(1).alias("kind"), F.array("rep").alias("ids"), F.col("vec").alias("flat"), "bound")
+    copies = base.join(load, "block").select(
+        "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "ids", "flat",
+        F.lit(0.0).alias("bound"),
+    )
 
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block, then the queries that visit it, a few hundred at once."""
+        b_ids = x = None
+        held: list[tuple] = []
 
-def _lower_bounds(q: np.ndarray, book: SimpleNamespace) -> np.ndarray:
-    """Least possible distance from each query to each block's ring."""
-    near, far = _pivot_range(q, book.pivots)
-    return np.maximum(0.0, np.maximum(near[:, book.cell] - book.high, book.low - far[:, book.cell]))
+        def search() -> pa.RecordBatch:
+            best = _Best(np.concatenate([h[0] for h in held]), np.array([h[1] for h in held], dtype=np.float64), k, np.array([h[2] for h in held]))
+            best.meet(b_ids, x, np.arange(len(held)))
+            held.clear()
+            return best.edges()
 
+        for batch in batches:
+            ids, flat = _lists(batch.column("ids")), _lists(batch.column("flat"))
+            kinds, bounds = batch.column("kind").to_pylist(), batch.column("bound").to_pylist()
+            for i, kind in enumerate(kinds):
+                if kind == 0:
+                    if held:
+                        yield search()
+                    b_ids, x = ids[i], _matrix(flat[i], len(ids[i]))
+                else:
+                    held.append((ids[i], flat[i], bounds[i]))
+                    if len(held) >= TOGETHER:
+                        yield search()
+        if held:
+            yield search()
 
-def _reachable(q: np.ndarray, bound: np.ndarray, book: SimpleNamespace) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks that may hold a vector within the bound of some query, and their mean lower bound."""
-    hit, total = np.zeros(len(book.block), bool), np.zeros(len(book.block))
-    step = max(1, MATRIX_CELLS // len(book.block))
-    for a in range(0, len(q), step):
-        low = _lower_bounds(q[a : a + step], book)
-        hit |= (low <= bound[a : a + step, None]).any(axis=0)
-        total += low.sum(axis=0)
-    return hit, total / len(q)
+    ordered = asked.unionByName(copies).repartition("block", "part").sortWithinPartitions("block", "part", "kind")
+    return ordered.mapInArrow(stream, "rep bigint, base_rep bigint, distance double")
 
 
-def _search(
-    queries: DataFrame, base: DataFrame, pivots: np.ndarray, k: int, budget: int | None
-) -> DataFrame:
+def _search(queries: DataFrame, base: DataFrame, pivots: np.ndarray, k: int, probes: int | None) -> DataFrame:
     """(rep, base_rep, distance): at least the k nearest distinct base vectors of every query vector.
 
-    With a ``budget`` only the nearest blocks that hold so many rows are visited (approximate).
+    With ``probes`` a query visits its home block and so many more, nearest ring first (approximate).
     """
-    sc = queries.sparkSession.sparkContext
-    book = sc.broadcast(_directory(base, pivots))
+    shared = queries.sparkSession.sparkContext.broadcast(_cells(base, pivots))
+    by_ring = Window.partitionBy("cell").orderBy("low", "block")
+    # rings of a cell, from -infinity to infinity without gaps: a row per block, never on the driver
+    rings = materialize(
+        base.select(
+            "block", "cell", "low", "high", F.when(F.row_number().over(by_ring) == 1, -1.0).otherwise(F.col("low")).alias("start"),
+            F.coalesce(F.lead("low").over(by_ring), F.lit(float("inf"))).alias("stop"),
+        )
+    )
 
-    def first_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dirs = book.value
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The nearest cell, the distance to its pivot, and the first bound."""
+        cells = shared.value
         for batch in batches:
-            picks = []
-            for ids, flat in zip(_lists(batch.column("ids")), _lists(batch.column("flat")), strict=True):
-                centre = _matrix(flat, len(ids)).mean(axis=0, keepdims=True)
-                far = _pivot_range(centre, dirs.pivots)[1][0, dirs.cell]
-                full = dirs.n >= min(k, int(dirs.n.max()))
-                order = np.lexsort((far, _lower_bounds(centre, dirs)[0], ~full))
-                picks.append(int(dirs.block[order[0]]))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(picks, pa.int64())], ["block", "visit"])
+            q = np.array(_lists(batch.column("vec")), dtype=np.float64)
+            step = max(1, MATRIX_CELLS // len(cells.cell))
+            out = []
+            for a in range(0, len(q), step):
+                near, far = _pivot_range(q[a : a + step], cells.pivots)
+                own = near.argmin(axis=1)
+                out.append((cells.cell[own], near[np.arange(len(own)), own], cells.upper(far, k) * (1 + SLACK) + SLACK))
+            if out:
+                cell, r, bound = (np.concatenate([o[i] for o in out]) for i in range(3))
+                columns = [batch.column("rep"), pa.array(cell.astype(np.int32)), pa.array(r), pa.array(bound)]
+                yield pa.RecordBatch.from_arrays(columns, ["rep", "cell", "r", "bound"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Bound from the first block; then one row per part with the bounds, and one per block to visit."""
-        dirs = book.value
+        """The cells that may hold a vector within the bound."""
+        cells = shared.value
+        names = ["rep", "bound", "home", "cell", "near", "far"]
         for batch in batches:
-            cols = {c: _lists(batch.column(c)) for c in ("ids", "flat", "b_ids", "b_flat")}
-            seen = batch.column("visit").to_pylist()
-            for i, block in enumerate(batch.column("block").to_pylist()):
-                ids, b_ids = cols["ids"][i], cols["b_ids"][i]
-                q, x = _matrix(cols["flat"][i], len(ids)), _matrix(cols["b_flat"][i], len(b_ids))
-                best = _Best(ids, q, k, np.full(len(ids), np.inf))
-                best.meet(b_ids, x, np.arange(len(ids)))
-                bound = best.bound * (1 + SLACK) + SLACK
-                hit, mean_low = _reachable(q, bound, dirs)
-                own = dirs.block == seen[i]
-                mean_low[own] = -1.0
-                todo = np.flatnonzero(hit | own)
-                todo = todo[np.argsort(mean_low[todo], kind="stable")]
-                if budget is not None:
-                    todo = todo[: np.searchsorted(dirs.n[todo].cumsum(), budget) + 1]
-                parts = np.arange(len(todo)) // VISITS
-                heads = np.arange(parts[-1] + 1)
-                total = len(todo) + len(heads)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(total, block), pa.int64()),
-                        pa.array(np.concatenate([parts, heads]).astype(np.int32)),
-                        pa.array(np.concatenate([dirs.block[todo], np.full(len(heads), -1)]), pa.int64()),
-                        pa.array(np.concatenate([mean_low[todo], np.zeros(len(heads))])),
-                        pa.array([[]] * len(todo) + [bound] * len(heads), pa.list_(pa.float64())),
-                    ],
-                    ["block", "part", "visit", "gap", "bound"],
-                )
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A query block, then its base blocks nearest first, then the next query block."""
-        dirs = book.value
-        best: _Best | None = None
-        for batch in batches:
-            cols = {c: _lists(batch.column(c)) for c in ("ids", "flat", "bound")}
-            rings = [batch.column(c).to_pylist() for c in ("visit", "cell", "low", "high")]
-            for i, (target, cell, low, high) in enumerate(zip(*rings, strict=True)):
-                ids = cols["ids"][i]
-                x = _matrix(cols["flat"][i], len(ids))
-                if target < 0:
-                    if best is not None:
-                        yield best.edges()
-                    best = _Best(ids, x, k, cols["bound"][i])
-                    continue
-                near, far = (d[:, 0] for d in _pivot_range(best.q, dirs.pivots[cell][None, :]))
-                live = np.flatnonzero(np.maximum(near - high, low - far) <= best.bound)
-                if len(live):
-                    best.meet(ids, x, live)
-        if best is not None:
-            yield best.edges()
-
-    first = queries.select("block", "ids", "flat").mapInArrow(first_block, "block bigint, visit bigint")
-    asked = queries.select("block", "ids", "flat")
-    payload = base.select(F.col("block").alias("visit"), "cell", "low", "high", "ids", "flat")
-    seeds = payload.select("visit", F.col("ids").alias("b_ids"), F.col("flat").alias("b_flat"))
-    routes = materialize(
-        first.join(asked, "block")
-        .join(seeds, "visit")
-        .mapInArrow(route, "block bigint, part int, visit bigint, gap double, bound array<double>")
+            q = np.array(_lists(batch.column("vec")), dtype=np.float64)
+            bound = batch.column("bound").to_numpy(zero_copy_only=False)
+            step = max(1, MATRIX_CELLS // len(cells.cell))
+            for a in range(0, len(q), step):
+                near, far = _pivot_range(q[a : a + step], cells.pivots)
+                low = np.maximum(near - cells.high, cells.low - far)
+                row, col = np.nonzero(low <= bound[a : a + step, None])
+                own = batch.select(["rep", "bound", "home"]).take(pa.array(row + a))
+                found = [pa.array(cells.cell[col].astype(np.int32)), pa.array(near[row, col]), pa.array(far[row, col])]
+                yield pa.RecordBatch.from_arrays([*own.columns, *found], names)
+
+    placed = queries.select("rep", "vec").mapInArrow(place, "rep bigint, cell int, r double, bound double")
+    inside = (F.col("r") >= F.col("start")) & (F.col("r") < F.col("stop"))
+    home = materialize(placed.join(rings.select("cell", "block", "start", "stop"), "cell").where(inside).select("rep", "bound", "block"))
+    first = materialize(_visit(base, queries, home, k))
+    # k found: the k-th distance bounds the rest
+    kth = first.groupBy("rep").agg(F.count("*").alias("found"), F.max("distance").alias("kth"))
+    tighter = F.when(F.col("found") >= k, F.least("bound", F.col("kth") * (1 + SLACK) + SLACK)).otherwise(F.col("bound"))
+    bounded = home.join(kth, "rep", "left").select("rep", tighter.alias("bound"), F.col("block").alias("home"))
+    reached = bounded.join(queries.select("rep", "vec"), "rep").mapInArrow(
+        route, "rep bigint, bound double, home bigint, cell int, near double, far double"
     )
-    heads = routes.where("visit < 0").join(asked, "block")
-    visits = routes.where("visit >= 0").join(payload, "visit")
-    rows = heads.unionByName(visits, allowMissingColumns=True)
-    # a route part is at most VISITS blocks, so no task holds an unbounded one
-    ordered = rows.repartition("block", "part").sortWithinPartitions("block", "part", F.col("visit") >= 0, "gap", "visit")
-    return ordered.mapInArrow(stream, "rep bigint, base_rep bigint, distance double")
+    gap = F.greatest(F.col("near") - F.col("high"), F.col("low") - F.col("far"))
+    more = reached.join(rings.select("cell", "block", "low", "high"), "cell").withColumn("gap", gap)
+    more = more.where((F.col("gap") <= F.col("bound")) & (F.col("block") != F.col("home")))
+    if probes is not None:
+        nearest = Window.partitionBy("rep").orderBy("gap", "block")
+        more = more.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= probes)
+    return first.unionByName(_visit(base, queries, materialize(more.select("rep", "bound", "block")), k))
 
 
 def _neighbors(
@@ -367,18 +404,13 @@ def _neighbors(
     want = k if include_self or not alone else k + 1
     folded_base = materialize(fold_equal(queries if alone else base, id_col, vec, want))
     count = folded_base.count()
-    # grow the blocks with the data so that the directory stays within its bound
-    block = max(block, math.ceil(count / (MAX_BLOCKS // 2)))
+    if not count:
+        return spark.createDataFrame([], "id bigint, neighbors array<bigint>, distances array<double>")
     pivots = _choose_pivots(folded_base, count, block)
     shared = spark.sparkContext.broadcast(pivots)
     base_blocks = _cut_blocks(folded_base, shared, block)
-    if alone:
-        folded, query_blocks = folded_base, base_blocks
-    else:
-        folded = materialize(fold_equal(queries, id_col, vec, 1))
-        query_blocks = _cut_blocks(folded, shared, block)
-    budget = None if probes is None else (probes + 1) * block
-    pairs = _search(query_blocks, base_blocks, pivots, want, budget)
+    folded = folded_base if alone else materialize(fold_equal(queries, id_col, vec, 1))
+    pairs = _search(folded, base_blocks, pivots, want, probes)
 
     nearest = Window.partitionBy("rep").orderBy("distance", "base_rep")
     few = pairs.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= want)
@@ -418,8 +450,8 @@ def knn_exact(
 def knn_probe(
     df: DataFrame, id_col: str, vec: str, k: int, probes: int = 8, include_self: bool = True, block: int = 2048
 ) -> DataFrame:
-    """Approximate variant for large tables: each query block visits the nearest blocks that hold about
-    ``probes + 1`` full blocks of rows, its own included."""
+    """Approximate variant for large tables: each vector visits its home block and at most ``probes`` more, the
+    nearest rings first. With as many probes as there are blocks the result is exact."""
     return _neighbors(df, None, id_col, vec, k, include_self, block, probes)
 
 

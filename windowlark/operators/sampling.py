@@ -29,10 +29,11 @@ def shuffle_rows(df: DataFrame, key: Sequence[str], seed: int = 0) -> DataFrame:
 
 
 def sample_strata(
-    df: DataFrame, key: Sequence[str], fraction: Column | float, seed: int = 0
+    df: DataFrame, key: Sequence[str], fraction: Column | float, seed: int = 0, bucket: Column | None = None
 ) -> DataFrame:
-    """Bernoulli sample by hash; the fraction may be a column that depends on the stratum."""
-    return df.where(unit_hash(*key, seed=seed) < fraction)
+    """Bernoulli sample by hash, or by ``bucket``, a uniform number per row; the fraction may be a column that
+    depends on the stratum (F5)."""
+    return df.where((unit_hash(*key, seed=seed) if bucket is None else bucket) < fraction)
 
 
 def split(df: DataFrame, key: Sequence[str], weights: Sequence[float], seed: int = 0, bucket: Column | None = None) -> DataFrame:

@@ -111,10 +111,11 @@ def restrict_labels(df: DataFrame, known: DataFrame) -> DataFrame:
     return join_classes(df, together, ["primary_label"]).withColumn("predicted_species", F.array_remove(filled, NO_CALL)).drop("together")
 
 
-def quiet_windows(windows: DataFrame, key: Sequence[str], limit: float = 0.01, pool: int = 1000) -> DataFrame:
-    """Quietest window of each track among the ``pool`` least likely calls."""
+def quiet_windows(windows: DataFrame, key: Sequence[str], limit: float = 0.01, pool: int | None = None) -> DataFrame:
+    """Quietest window of each track; ``pool`` keeps only the least likely calls of all tracks first."""
     low = windows.where((F.pmod("start_time", F.lit(3)) == 0) & (F.col("probability") < limit))
-    low = low.orderBy("probability", *key).limit(pool)
+    if pool is not None:
+        low = low.orderBy("probability", *key).limit(pool)
     return top_per_group(low, [key[0]], [F.asc("probability"), *[F.asc(k) for k in key]])
 
 
@@ -140,9 +141,9 @@ def augment_with_noise(
 def training_v3(windows: DataFrame, labels: DataFrame, window_key: Sequence[str], how: Augment = Augment()) -> DataFrame:
     """v2 plus noise-blended copies."""
     base = materialize(training_v2(windows, labels))
-    noise = quiet_windows(windows, window_key).select(F.col("embedding").alias("noise_embedding"), *window_key)
+    noise = quiet_windows(windows, window_key).select(F.col("embedding").alias("noise_embedding"), "probability", *window_key)
     extra = augment_with_noise(
-        base, F.get("metadata_species", F.lit(0)), ["stem", "start_time"], noise, window_key,
+        base, F.get("metadata_species", F.lit(0)), ["stem", "start_time"], noise, ["probability", *window_key],
         ["embedding", "next_embedding", "track_embedding"], how,
     )
     return extra.unionByName(base)
@@ -154,9 +155,9 @@ def training_v5(
     """v5: label sets, augmentation of called rows, labels restricted to co-occurring ones."""
     base = materialize(training_v5_base(windows, labels))
     called = base.where((F.get("predicted_species", F.lit(0)) != NO_CALL) & F.col("embedding").isNotNull())
-    noise = quiet_windows(windows, window_key).select(F.col("embedding").alias("noise_embedding"), *window_key)
+    noise = quiet_windows(windows, window_key).select(F.col("embedding").alias("noise_embedding"), "probability", *window_key)
     extra = augment_with_noise(
-        called, F.get("metadata_species", F.lit(0)), ["stem", "seq_id"], noise, window_key,
+        called, F.get("metadata_species", F.lit(0)), ["stem", "seq_id"], noise, ["probability", *window_key],
         ["embedding", "next_embedding", "track_embedding"], how,
     )
     return restrict_labels(extra.unionByName(base), base)
@@ -295,18 +296,16 @@ def training_v1(
         Augment(per_class=100, noise_rows=50 * len(soft_noise), keep=1000, weight=0.5, scale=1.0, seed=seed),
     )
     dense = _numbered(mixed, key)
-    drawn_from = labels.select("primary_label").distinct().count()
-
     def others(suffix: str) -> DataFrame:
         return dense.select(F.col("species").alias(f"species_{suffix}"), F.col("embedding").alias(f"embedding_{suffix}"), F.col("index"))
 
     row = ["index", "species"]
     one = sample_per_group(dense, ["species"], row, singles, seed + 2)
     two = sample_per_group(dense, ["species"], row, pairs, seed + 3).withColumnRenamed("index", "own")
-    two = random_partner(two, others("1"), ["own"], drawn_from * 500, seed + 4)
+    two = random_partner(two, others("1"), ["own"], seed=seed + 4)
     three = sample_per_group(dense, ["species"], row, triples, seed + 5).withColumnRenamed("index", "own")
-    three = random_partner(three, others("1"), ["own"], drawn_from * 1000, seed + 6)
-    three = random_partner(three, others("2"), ["own"], drawn_from * 1000, seed + 7)
+    three = random_partner(three, others("1"), ["own"], seed=seed + 6)
+    three = random_partner(three, others("2"), ["own"], seed=seed + 7)
 
     parts = [
         _single(shown), _single(negatives), _single(one),
@@ -329,4 +328,4 @@ def _single(df: DataFrame) -> DataFrame:
 def _numbered(mixed: DataFrame, key: Sequence[str]) -> DataFrame:
     """Dense index in hash order, so that a drawn index hits a random blend."""
     order = [F.xxhash64(*key, "embedding"), *[F.col(k) for k in key], F.col("embedding")]
-    return assign_row_id(mixed, order, "index", start=1).select("index", "species", "embedding")
+    return assign_row_id(mixed, order, "index", start=0).select("index", "species", "embedding")

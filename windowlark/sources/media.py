@@ -1,44 +1,60 @@
-"""Inventory of WAV files: size and duration from the header, without decoding."""
+"""Inventory of WAV files: size and duration from the chunk headers, without decoding or reading the samples."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windowlark.sources.readers import with_path_columns
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# a chunk list longer than this leaves the duration null
-HEADER_BYTES = 4096
 
+def wav_seconds(source, length: int) -> float | None:
+    """Data bytes by bytes per second, from ``read_at(size, offset)`` of chunk heads only; null if not a PCM WAV.
 
-def _little_endian(content: Column, start: Column, size: int = 4) -> Column:
-    """Unsigned integer from ``size`` bytes at 1-based ``start``."""
-    digits = [F.hex(F.substring(content, start + i, F.lit(1))) for i in reversed(range(size))]
-    return F.conv(F.concat(*digits), 16, 10).cast("bigint")
+    Chunks are walked by their sizes (odd ones are padded), so neither their number nor their length matters.
+    """
+    head = source.read_at(12, 0)
+    if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+        return None
+    at, rate = 12, None
+    while at + 8 <= length:
+        name = source.read_at(8, at)
+        size = int.from_bytes(name[4:8], "little")
+        if name[:4] == b"fmt " and size >= 12:
+            rate = int.from_bytes(source.read_at(4, at + 16), "little")
+        elif name[:4] == b"data":
+            return size / rate if rate else None
+        at += 8 + size + size % 2
+    return None
 
 
-def _chunk(head: Column, name: bytes) -> Column:
-    """1-based byte position of a chunk's name; null when it is not there."""
-    place = F.instr(F.hex(head), name.hex().upper())
-    return F.when(place % 2 == 1, F.floor(place / 2).cast("int") + 1)
+def _durations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seconds = []
+        for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+            where, name = fs.FileSystem.from_uri(path)
+            with where.open_input_file(name) as source:
+                seconds.append(wav_seconds(source, length))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seconds, pa.float64())], [*batch.schema.names, "duration"])
 
 
 def media_inventory(spark: SparkSession, pattern: str) -> DataFrame:
-    """One row per PCM WAV file: name, KB, seconds (data bytes by bytes per second). No match raises."""
-    files = spark.read.format("binaryFile").load(pattern)
-    head = F.substring(F.col("content"), 1, HEADER_BYTES)
-    riff = F.substring(head, 1, 4) == F.lit(b"RIFF")
-    byte_rate = _little_endian(head, _chunk(head, b"fmt ") + 16)
-    data_size = _little_endian(head, _chunk(head, b"data") + 4)
-    return (
-        with_path_columns(files, ".wav", path=F.col("path"))
-        .select(
-            "filename",
-            F.col("parent").alias("species"),
-            (F.col("length") / 1024).alias("size_kb"),
-            F.when(riff, data_size / byte_rate).alias("duration"),
-        )
+    """One row per WAV file: name, KB, seconds. No match raises; a file that is no PCM WAV has null seconds.
+
+    Only path and length are listed by Spark, which prunes the content; tasks read a few bytes per chunk.
+    """
+    files = spark.read.format("binaryFile").load(pattern).select("path", "length")
+    timed = files.mapInArrow(_durations, "path string, length long, duration double")
+    return with_path_columns(timed, ".wav", path=F.col("path")).select(
+        "filename", F.col("parent").alias("species"), (F.col("length") / 1024).alias("size_kb"), "duration"
     )
 
 

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from windowlark.operators.ordered import assign_row_id
 
-SMALL_RESULT = 1_000_000
-
 
 def write_table(
     df: DataFrame,
@@ -25,20 +23,14 @@ def write_table(
     (writer.option("compression", compression) if compression else writer).parquet(path)
 
 
-def _small(df: DataFrame, limit: int) -> DataFrame:
-    """One partition, for report-sized results only: a larger table is refused, not cut."""
-    if df.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} rows do not belong in one file; use write_table")
-    return df.coalesce(1)
-
-
-def write_single(df: DataFrame, path: str, limit: int = SMALL_RESULT) -> None:
-    _small(df, limit).write.mode("overwrite").parquet(path)
+def write_single(df: DataFrame, path: str) -> None:
+    """One Parquet file, streamed by one task after the plan has run in parallel; of any size."""
+    df.repartition(1).write.mode("overwrite").parquet(path)
 
 
-def write_records(df: DataFrame, path: str, limit: int = SMALL_RESULT) -> None:
-    """JSON lines in one file."""
-    _small(df, limit).write.mode("overwrite").json(path)
+def write_records(df: DataFrame, path: str) -> None:
+    """JSON lines in one file, streamed by one task after the plan has run in parallel."""
+    df.repartition(1).write.mode("overwrite").json(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
