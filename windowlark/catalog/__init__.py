@@ -14,7 +14,7 @@ CHECKS: dict[str, str] = {}
 
 _MODULES = (
     "scans", "rows", "joins", "aggregates", "windows", "ordering", "sets", "scalars", "frames", "vectors", "learning",
-    "dataflows",
+    "dataflows", "roundtrips", "learners",
 )
 
 

@@ -33,6 +33,22 @@ def _(spark, folder):
     return knn.edges_long(near).withColumn("distance", F.round("distance", 6))
 
 
+@query("knn_probe_all", v.with_views("vecs", NEAR + " SELECT id, CAST(pos AS INTEGER) AS pos, neighbor_id, round(distance, 6) AS distance FROM e"))
+def _(spark, folder):
+    """As many probes as blocks: exact."""
+    near = knn.knn_probe(v.vecs(spark, folder), "id", "emb", 10, probes=1 << 30, block=64)
+    return knn.edges_long(near).withColumn("distance", F.round("distance", 6))
+
+
+@query("knn_probe_recall", "SELECT true AS enough, CAST(count(*) * 10 AS BIGINT) AS edges FROM embeddings")
+def _(spark, folder):
+    """At least nine of ten true neighbours, and ten for every row."""
+    key = ["id", "neighbor_id"]
+    near = knn.edges_long(knn.knn_probe(v.vecs(spark, folder), "id", "emb", 10, probes=40, block=128)).select(*key)
+    hits = near.join(knn.edges_long(graph(spark, folder)).select(*key), key).agg(F.count("*")).scalar()
+    return near.agg((hits >= 0.9 * F.count("*")).alias("enough"), F.count("*").alias("edges"))
+
+
 @query(
     "knn_others",
     v.with_views(
