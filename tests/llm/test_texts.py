@@ -93,17 +93,17 @@ def words(rng, n):
 
 def test_near_duplicates_brute(spark, monkeypatch):
     """Chains, hot groups, shared passages, swapped halves and awkward texts; small buckets force every path."""
-    monkeypatch.setattr(order_minhash, "SMALL_BUCKET", 5)
+    monkeypatch.setattr(order_minhash, "CENTRES", 3)
     rng = random.Random(2)
     passage = words(rng, 60)
     rows = [(1, None), (2, ""), (3, " \n"), (4, "two words"), (5, "Two  words"), (6, "two other"), (None, "two words")]
     base = words(rng, 200)
-    for i in range(60):  # a hot group of near copies, each with two words changed
+    for i in range(30):  # a hot group of near copies, each with two words changed
         copy = list(base)
         for at in rng.sample(range(200), 2):
             copy[at] = f"new{i}{at}"
         rows.append((100 + i, " ".join(copy)))
-    rows += [(300 + i, " ".join(words(rng, 20) + passage + words(rng, 20))) for i in range(40)]
+    rows += [(300 + i, " ".join(words(rng, 20) + passage + words(rng, 20))) for i in range(16)]
     chain = words(rng, 300)
     for i in range(8):  # each link is near the one before only
         chain = chain[12:] + words(rng, 12)

@@ -11,9 +11,9 @@ shared shingles from below); the rest are aligned in the band that the similarit
 
 Equal texts are one class from the start. Within a bucket of candidates not all pairs are made: each member meets
 the bucket's first class; after the links found so far are closed into components, only buckets that still hold
-several components go on: small ones with the pairs between components, large ones cut finer by a further
-sketch and, after REFINE cuts, with one further centre a round until every cross pair is decided. No cap drops a
-candidate.
+several components go on. Members outside the largest one meet the members of all other components, which decides
+every pair that could still matter. Where they are many, the bucket is first cut finer by a further sketch, and
+after REFINE cuts they take turns, CENTRES a round, until all have met. No cap drops a candidate.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from windowlark.llm.components import components
@@ -34,9 +34,9 @@ from windowlark.session import materialize
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES, PICKS = 20, 3
-#: Buckets up to this size are finished by their cross pairs.
-SMALL_BUCKET = 48
-#: Further sketches that may cut a large bucket before it goes on round by round.
+#: Members outside a bucket's largest component that meet all others in one round; a bucket with no more is finished.
+CENTRES = 32
+#: Further sketches that may cut a bucket with more before it goes on round by round.
 REFINE = 2
 KEY_ROW_BYTES = 32
 
@@ -214,7 +214,7 @@ def _stars(buckets: DataFrame) -> DataFrame:
         buckets.groupBy("bucket").agg(first.alias("c"), F.count("*").alias("m")).where("m > 1").select("bucket", "c.key", "c.n")
     ).withColumnsRenamed({"bucket": "cb", "key": "a", "n": "an"})
     met = buckets.join(centres, F.col("bucket") == F.col("cb")).where("key <> a")
-    return met.select("a", F.col("key").alias("b"), "an", "n")
+    return met.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"), "an", "n")
 
 
 def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -247,33 +247,41 @@ def links(classes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
             state = state.withColumn("comp", F.coalesce("comp", "key"))
         else:
             state = state.withColumn("comp", F.col("key"))
-        # a bucket is done when it is one component, or when all its pairs were made: two members are always done
-        sizes = state.groupBy("bucket").agg(F.count("*").alias("m"), (F.min("comp") != F.max("comp")).alias("open"))
-        sizes = materialize(sizes.where("open AND m > 2").select(F.col("bucket").alias("sb"), "m"))
+        # per bucket: its size, its largest component, and how many members lie outside of it
+        parts = state.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+        sizes = parts.groupBy("bucket").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top"))
+        # one component, or two members that have met: nothing is left to decide
+        sizes = sizes.where("m > top.c AND m > 2").select(
+            F.col("bucket").alias("sb"), "m", F.col("top.comp").alias("main"), (F.col("m") - F.col("top.c")).alias("out")
+        )
+        sizes = materialize(sizes)
         if not sizes.head(1):
             return labels
         state = materialize(state.join(sizes, F.col("bucket") == F.col("sb")).drop("sb"))
-        small = state.where(F.col("m") <= SMALL_BUCKET)
-        other = small.select(F.col("bucket").alias("ob"), F.col("key").alias("a"), F.col("n").alias("an"), F.col("comp").alias("oc"), F.col("ord").alias("oo"))
-        cross = small.join(other, (F.col("bucket") == F.col("ob")) & (F.col("comp") != F.col("oc")) & (F.col("a") < F.col("key")))
-        pairs = cross.select("a", F.col("key").alias("b"), "an", "n")
-        big = state.where(F.col("m") > SMALL_BUCKET)
-        if depth < REFINE:
+        cut_more = depth < REFINE
+        # members outside the largest component meet all members of other components: then every cross pair is decided
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("ord", "key"))
+        outside = state.where(F.col("comp") != F.col("main"))
+        outside = outside.where(F.col("out") <= CENTRES) if cut_more else outside
+        served = outside.withColumn("place", place).where(F.col("place") <= CENTRES)
+        served = materialize(served.select(F.col("bucket").alias("ob"), F.col("key").alias("a"), F.col("n").alias("an"), F.col("comp").alias("oc")))
+        cross = state.join(served, (F.col("bucket") == F.col("ob")) & (F.col("comp") != F.col("oc")))
+        pairs = cross.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"), "an", "n")
+        big = state.where(F.col("out") > CENTRES)
+        if cut_more:
             cut = big.select("bucket", "key", "n", "ord", "last").join(sk, F.col("key") == F.col("k"))
             cut = cut.select("bucket", "key", "n", "ord", F.col("last").alias("was"), F.posexplode("sk").alias("last", "v")).where("last > was")
             buckets = materialize(cut.select(F.xxhash64("bucket", "last", "v").alias("bucket"), "key", "n", "ord", "last"))
             pairs = pairs.unionAll(_stars(buckets))
         else:
-            # the centre has met every member of its bucket and leaves it
-            centres = big.groupBy("bucket").agg(F.min(F.struct("ord", "key")).alias("c")).select(F.col("bucket").alias("cb"), F.col("c.key").alias("ck"))
-            rest = big.join(materialize(centres), F.col("bucket") == F.col("cb")).where("key <> ck")
+            # who has been served has met every other component and leaves the bucket
+            gone = served.select(F.col("ob").alias("gb"), F.col("a").alias("ga"))
+            rest = big.join(gone, (F.col("bucket") == F.col("gb")) & (F.col("key") == F.col("ga")), "left_anti")
             buckets = materialize(rest.select("bucket", "key", "n", "ord", "last"))
-            pairs = pairs.unionAll(_stars(buckets))
         depth += 1
         ordered = _possible(pairs, similarity)
         done = tested.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        ordered = ordered.join(done, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
-        pairs = ordered.join(done, (F.col("a") == F.col("y")) & (F.col("b") == F.col("x")), "left_anti")
+        pairs = ordered.join(done, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
 
 
 def near_duplicates(
