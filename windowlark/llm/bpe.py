@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Pieces in one generation of a worker's memory, of which there are up to six (about 200 bytes a piece).
-MEMO_PIECES = 200_000
+MEMO_PIECES = 90_000
 #: Longer pieces (in characters) are not remembered.
 LONG_PIECE = 64
 #: Rows of an Arrow batch are cut so that one holds at most about so many ids before it is handed on.

@@ -25,8 +25,8 @@ from windowlark.session import materialize
 #: Labelled rows per language that a fit may use; the same rows on every run, by hash of their id.
 FIT_ROWS = 1000
 BUCKET_BITS = 13
-#: Trigrams scored at once.
-SLICE = 1 << 20
+#: Trigrams scored at once, and texts folded at once.
+SLICE, TEXTS = 1 << 18, 256
 UNDECIDED = "und"
 
 # fixed values: language codes by family
@@ -247,7 +247,11 @@ def predict_languages(
 
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     def guess(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = shared.value.predict([t if isinstance(t, str) else None for t in texts])
+        langs, scores = [], []
+        for start in range(0, len(texts), TEXTS):
+            part = [t if isinstance(t, str) else None for t in texts.iloc[start : start + TEXTS]]
+            for out, found in zip((langs, scores), shared.value.predict(part), strict=True):
+                out += found
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
     kept = [c for c in df.columns if c not in names]
