@@ -222,7 +222,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     sets = agg.collect_distinct(v.tags(spark, folder), ["doc"], "tag", "tags")
-    found = agg.frequent_itemsets(sets, "tags", support=0.02).where(F.size("items") == 2)
+    found = agg.frequent_itemsets(sets, "tags", support=0.02, max_size=2)
     return found.select(
         F.get("items", F.lit(0)).alias("first_tag"), F.get("items", F.lit(1)).alias("second_tag"), "freq"
     )

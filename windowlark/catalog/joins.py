@@ -170,12 +170,12 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    v.vecs(spark, folder).createOrReplaceTempView("nodes")
     return spark.sql(
-        """WITH totals AS (SELECT truth, count(*) AS n FROM nodes GROUP BY 1),
-                matched AS (SELECT truth, count(*) AS n FROM nodes WHERE truth = guess GROUP BY 1)
+        """WITH totals AS (SELECT truth, count(*) AS n FROM {nodes} GROUP BY 1),
+                matched AS (SELECT truth, count(*) AS n FROM {nodes} WHERE truth = guess GROUP BY 1)
            SELECT truth, round(double(matched.n) / totals.n * 100, 6) AS pct
-           FROM matched JOIN totals USING (truth) ORDER BY pct DESC, truth"""
+           FROM matched JOIN totals USING (truth) ORDER BY pct DESC, truth""",
+        nodes=v.vecs(spark, folder),
     )
 
 

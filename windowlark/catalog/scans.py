@@ -59,5 +59,4 @@ def _(spark, folder):
     v.with_views("vecs", "SELECT truth, count(*) AS n FROM vecs GROUP BY truth"),
 )
 def _(spark, folder):
-    v.vecs(spark, folder).createOrReplaceTempView("nodes")
-    return spark.sql("SELECT truth, count(*) AS n FROM nodes GROUP BY truth ORDER BY n DESC, truth")
+    return spark.sql("SELECT truth, count(*) AS n FROM {nodes} GROUP BY truth ORDER BY n DESC, truth", nodes=v.vecs(spark, folder))

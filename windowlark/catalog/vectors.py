@@ -122,13 +122,12 @@ def _(spark, folder):
     v.with_views("vecs", NEAR + VOTE + " SELECT id, knn_label FROM labeled"),
 )
 def _(spark, folder):
-    knn.edges_long(graph(spark, folder)).createOrReplaceTempView("neighbors")
-    v.vecs(spark, folder).createOrReplaceTempView("nodes")
     return spark.sql(
-        """WITH votes AS (SELECT n.id, guess AS knn_label, count(*) AS votes FROM neighbors n JOIN nodes ON n.neighbor_id = nodes.id GROUP BY 1, 2),
+        """WITH votes AS (SELECT n.id, guess AS knn_label, count(*) AS votes FROM {neighbors} n JOIN {nodes} m ON n.neighbor_id = m.id GROUP BY 1, 2),
                 ranked AS (SELECT id, knn_label, row_number() OVER (PARTITION BY id ORDER BY votes DESC, knn_label) AS place FROM votes)
-           SELECT id, knn_label FROM ranked JOIN nodes USING (id) WHERE place = 1"""
-    )
+           SELECT id, knn_label FROM ranked JOIN {nodes} USING (id) WHERE place = 1""",
+        neighbors=knn.edges_long(graph(spark, folder)), nodes=v.vecs(spark, folder),
+    )
 
 
 @query(

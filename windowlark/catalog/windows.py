@@ -164,10 +164,9 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    v.tags(spark, folder).createOrReplaceTempView("doc_tags")
-    v.table(spark, folder, "orders").createOrReplaceTempView("doc_owner")
     return spark.sql(
-        """WITH votes AS (SELECT o_custkey, tag, count(*) AS n FROM doc_tags JOIN doc_owner ON doc = o_orderkey GROUP BY 1, 2),
+        """WITH votes AS (SELECT o_custkey, tag, count(*) AS n FROM {doc_tags} JOIN {doc_owner} ON doc = o_orderkey GROUP BY 1, 2),
                 ranked AS (SELECT o_custkey, tag, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, tag) AS place FROM votes)
-           SELECT o_custkey, tag FROM ranked WHERE place = 1"""
-    )
+           SELECT o_custkey, tag FROM ranked WHERE place = 1""",
+        doc_tags=v.tags(spark, folder), doc_owner=v.table(spark, folder, "orders"),
+    )

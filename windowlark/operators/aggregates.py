@@ -135,13 +135,31 @@ def cooccurrence(df: DataFrame, by: str, labels: str, name: str = "together") ->
 
 
 def frequent_itemsets(
-    df: DataFrame, items: str, support: float = 0.001, confidence: float = 0.01, min_size: int = 2
+    df: DataFrame, items: str, support: float = 0.001, confidence: float = 0.01, min_size: int = 2, max_size: int | None = None
 ) -> DataFrame:
-    """Item sets of at least ``min_size`` by frequency, from parallel FP-growth."""
+    """Item sets of ``min_size`` to ``max_size`` items by frequency.
+
+    Pairs are counted directly: items that are not frequent go, pairs are made in the row and counted map-side. Larger
+    sets come from parallel FP-growth.
+    """
+    if (min_size, max_size) == (2, 2):
+        return _frequent_pairs(df, items, support)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     growth = FPGrowth(itemsCol=items, minSupport=support, minConfidence=confidence, numPartitions=parts)
     model = growth.fit(df.select(items))
-    return model.freqItemsets.where(F.size("items") >= min_size).withColumn("items", F.array_sort("items"))
+    sizes = F.size("items") >= min_size if max_size is None else F.size("items").between(min_size, max_size)
+    return model.freqItemsets.where(sizes).withColumn("items", F.array_sort("items"))
+
+
+def _frequent_pairs(df: DataFrame, items: str, support: float) -> DataFrame:
+    sets = df.select(F.monotonically_increasing_id().alias("_row"), F.array_distinct(items).alias("_items"))
+    least = sets.agg(F.ceil(F.count("*") * support)).scalar()
+    singles = sets.select("_row", F.explode("_items").alias("_item"))
+    common = singles.groupBy("_item").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("_item")
+    kept = singles.join(common, "_item").groupBy("_row").agg(F.array_sort(F.collect_list("_item")).alias("_items"))
+    later = lambda x, i: F.transform(F.slice("_items", i + 2, F.size("_items")), lambda y: F.array(x, y))
+    pairs = kept.select(F.explode(F.flatten(F.transform("_items", later))).alias("items"))
+    return pairs.groupBy("items").agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
 
 
 def label_prior(df: DataFrame, labels: str) -> DataFrame:

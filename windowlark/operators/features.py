@@ -23,12 +23,12 @@ def standard_scale(df: DataFrame, vec: str, name: str | None = None) -> DataFram
     deviation = F.transform(
         vector_to_array("s.variance"), lambda var: F.sqrt(var * (n - 1) / n)
     )
-    mean = stats.select(vector_to_array("s.mean")).scalar()
-    spread = stats.select(F.transform(deviation, lambda d: F.when(d > 0, d).otherwise(1.0))).scalar()
-    ready = df.withColumns({"_mean": mean, "_spread": spread})
-    centred = F.zip_with(F.col(vec).cast("array<double>"), F.col("_mean"), lambda a, m: a - m)
-    scaled = F.zip_with(centred, F.col("_spread"), lambda c, d: c / d)
-    return ready.withColumn(name or vec, scaled).drop("_mean", "_spread")
+    # one scalar subquery with both vectors
+    steps = F.transform(deviation, lambda d: F.when(d > 0, d).otherwise(1.0))
+    scale = stats.select(F.arrays_zip(vector_to_array("s.mean").alias("mean"), steps.alias("step")).alias("z")).scalar()
+    ready = df.withColumn("_scale", scale)
+    scaled = F.zip_with(F.col(vec).cast("array<double>"), F.col("_scale"), lambda a, z: (a - z["mean"]) / z["step"])
+    return ready.withColumn(name or vec, scaled).drop("_scale")
 
 
 def pca(df: DataFrame, vec: str, name: str = "projected", k: int | None = None, variance: float | None = None) -> DataFrame:

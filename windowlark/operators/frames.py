@@ -141,28 +141,25 @@ def frame_vectors(
 ) -> DataFrame:
     """Both windows of each complete 5 s frame as one vector.
 
-    The pair is taken as the first and last window of the frame, and only frames of exactly two windows
-    count, so nothing is collected. Optionally the mean of a score vector and the best probability.
+    A frame holds two windows, so each is one short list in a hash aggregate, sorted in its row; frames of another
+    number of windows do not count. Optionally the mean of a score vector and the best probability.
 
     The frame key gets an exchange of its own: a join by track before this step may then be split by
     adaptive execution when one track is hot, which it could not if the aggregate reused its partitioning.
     """
     aligned = align_frames(df, start).repartition(*by, "seq_id")
-    order = F.struct(start, vec)
-    aggs = [
-        F.count("*").alias("_n"),
-        F.min(start).alias("start_time"),
-        F.min_by(vec, order).alias("_a"),
-        F.max_by(vec, order).alias("_b"),
-    ]
-    if score_vec:
-        aggs += [F.min_by(score_vec, order).alias("_sa"), F.max_by(score_vec, order).alias("_sb")]
+    window = F.struct(F.col(start).alias("at"), F.col(vec).alias("v"), *([F.col(score_vec).alias("s")] if score_vec else []))
+    aggs = [F.array_sort(F.collect_list(window)).alias("_w")]
     if probability:
         aggs.append(F.max(probability).alias("probability"))
-    frames = aligned.groupBy(*by, "seq_id").agg(*aggs).where(F.col("_n") == 2)
-    columns = [*by, "seq_id", "start_time", *(["probability"] if probability else []), V.concat_vectors("_a", "_b").alias("embedding")]
+    frames = aligned.groupBy(*by, "seq_id").agg(*aggs).where(F.size("_w") == 2)
+    first, second = F.get("_w", F.lit(0)), F.get("_w", F.lit(1))
+    columns = [
+        *by, "seq_id", first["at"].alias("start_time"), *(["probability"] if probability else []),
+        V.concat_vectors(first["v"], second["v"]).alias("embedding"),
+    ]
     if score_vec:
-        columns.append(V.mean_of_vectors("_sa", "_sb").alias("prediction_vec"))
+        columns.append(V.mean_of_vectors(first["s"], second["s"]).alias("prediction_vec"))
     return frames.select(*columns)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -43,12 +44,38 @@ def work_folder(spark: SparkSession) -> str:
     return folder
 
 
+_opened: dict[str, object] = {}
+
+
+def session_folder(spark: SparkSession) -> str:
+    """Own subfolder of this application in the shared folder, deleted when the driver ends or by ``release``."""
+    path = f"{work_folder(spark).rstrip('/')}/windowlark/{spark.sparkContext.applicationId}"
+    if path not in _opened:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        _opened[path] = (hadoop, spark.sparkContext._jsc.hadoopConfiguration())
+    return path
+
+
+def release() -> None:
+    """Delete all that ``materialize`` has written so far; tables read from it are gone too."""
+    while _opened:
+        path, (folder, conf) = _opened.popitem()
+        try:
+            folder.getFileSystem(conf).delete(folder, True)
+        except Exception as problem:  # the gateway may be gone at exit
+            print(f"{path} could not be deleted: {problem}")
+
+
+atexit.register(release)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage with files that outlive executors, and fixes values such as positions that a
-    second evaluation could produce differently. Later passes read only the columns they need.
+    second evaluation could produce differently. Later passes read only the columns they need. The files live as
+    long as the driver, or until ``release``.
     """
-    path = f"{work_folder(df.sparkSession).rstrip('/')}/windowlark/{uuid.uuid4().hex}"
+    path = f"{session_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

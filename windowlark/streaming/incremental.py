@@ -28,6 +28,10 @@ def ingest_new(
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     rows = transform(stream) if transform else stream
+    # progress is kept for every batch of the run, however many
+    retention = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(retention)
+    spark.conf.set(retention, "1000000000")
     run = (
         rows.writeStream.format("parquet")
         .option("path", target)
@@ -35,5 +39,6 @@ def ingest_new(
         .trigger(availableNow=True)
         .start()
     )
+    spark.conf.set(retention, before)
     run.awaitTermination()
     return sum(p["numInputRows"] for p in run.recentProgress)
