@@ -90,3 +90,19 @@ def average_precision(df: DataFrame, score: str, truth: str, by: Sequence[str])
     steps = running_totals(counted, by, [F.desc(score)], {"_tp": F.col("_pos"), "_seen": F.col("_n")})
     gained = F.sum(F.col("_pos") * F.col("_tp") / F.col("_seen"))
     return steps.groupBy(*by).agg(_ratio(gained, F.sum("_pos")).alias("average_precision"))
+
+
+def macro_average_precision(df: DataFrame, scores: str, truth: str, classes: Sequence) -> DataFrame:
+    """One row: mean over the classes that occur of their average precision.
+
+    ``scores`` is a vector in the order of ``classes``; ``truth`` an array of labels, of one for single labels.
+    """
+    names = F.array(*[F.lit(c) for c in classes])
+    item = F.transform(
+        F.arrays_zip(names.alias("label"), F.col(scores).alias("score")),
+        lambda x: F.struct(x["label"].alias("label"), x["score"].alias("score"), F.array_contains(truth, x["label"]).cast("int").alias("hit")),
+    )
+    rows = df.select(F.inline(item)).where("hit IS NOT NULL")
+    per_class = average_precision(rows, "score", "hit", ["label"])
+    occurring = rows.groupBy("label").agg(F.max("hit").alias("_any")).where("_any = 1").select("label")
+    return per_class.join(occurring, "label").agg(F.avg("average_precision").alias("macro_average_precision"), F.count("*").alias("classes"))

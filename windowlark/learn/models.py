@@ -21,11 +21,15 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windowlark.functions.vector import unit_hash
+from windowlark.learn.metrics import macro, macro_average_precision, multilabel_class_metrics
+from windowlark.operators.ordered import group_position
+from windowlark.session import materialize
 
 
 def featurize(df: DataFrame, vec: str) -> DataFrame:
@@ -155,6 +159,60 @@ def predict_per_label(models: dict[str, PipelineModel], df: DataFrame, vec: str,
     return out.withColumn(name, F.array_compact(F.array(*flags))).select(*df.columns, name)
 
 
+def score_labels(models: dict[str, PipelineModel], df: DataFrame, vec: str, name: str = "scores") -> DataFrame:
+    """Probabilities of all labels as one vector, in the order of ``models``: their coefficients make one matrix,
+    so any number of linear models costs one pass and one column (L10)."""
+    fitted = [m.stages[-1] for m in models.values()]
+    weights = np.array([m.coefficients.toArray() for m in fitted])
+    bias = np.array([m.intercept for m in fitted])
+
+    @F.pandas_udf("array<double>")
+    def scores(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(1 / (1 + np.exp(-(np.stack(vectors.to_numpy()).astype(float) @ weights.T + bias)))))
+
+    return df.withColumn(name, scores(F.col(vec).cast("array<double>")))
+
+
+def stratified_folds(df: DataFrame, by: str, key: Sequence[str], folds: int, seed: int = 0, name: str = "fold") -> DataFrame:
+    """Fold of each row by its position in its class in hash order, so that rare classes are in every fold."""
+    placed = group_position(df, [by], [F.xxhash64(*key, F.lit(seed)), *[F.col(k) for k in key]], "_pos")
+    return placed.withColumn(name, (F.col("_pos") % folds).cast("int")).drop("_pos")
+
+
+def search_labels(
+    df: DataFrame, vec: str, labels: str, classes: Sequence[str], points: Sequence[dict], fold: str
+) -> tuple[dict[str, PipelineModel], DataFrame]:
+    """Search over linear models per label, scored by macro average precision and macro F1 on held-out folds.
+
+    Returns models refitted on all rows at the best mean precision, and one row per point and fold.
+    """
+    names, rows = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()], []
+    for p in points:
+        for f in names:
+            fitted = train_per_label(df.where(F.col(fold) != f), vec, labels, classes, lambda p=p: LogisticRegression(**p))
+            scored = score_labels(fitted, df.where(F.col(fold) == f), vec, "_scores")
+            known = F.array(*[F.lit(c) for c in classes])
+            chosen = F.filter(F.arrays_zip(known.alias("label"), F.col("_scores").alias("score")), lambda x: x["score"] > 0.5)["label"]
+            held = materialize(scored.select(F.col(labels).alias("truth"), F.col("_scores").alias("scores"), chosen.alias("chosen")))
+            precision = macro_average_precision(held, "scores", "truth", classes).first()[0]
+            f1 = macro(multilabel_class_metrics(held, "truth", "chosen")).first()["f1"]
+            rows.append((str(p), int(f), float(precision or 0.0), float(f1 or 0.0)))
+    table = df.sparkSession.createDataFrame(rows, "point string, fold int, average_precision double, f1 double")
+    means = {str(p): np.mean([r[2] for r in rows if r[0] == str(p)]) for p in points}
+    best = max(points, key=lambda p: means[str(p)])
+    return train_per_label(df, vec, labels, classes, lambda: LogisticRegression(**best)), table
+
+
+def stack_regression(df: DataFrame, stacked: str, target: str, name: str = "score", max_iter: int = 20) -> tuple[PipelineModel, DataFrame]:
+    """Second level: boosted-tree regression of a 0/1 target on stacked scores; predictions clipped to [0, 1]."""
+    ready = featurize(df, stacked)
+    model = Pipeline(stages=[GBTRegressor(labelCol=target, maxIter=max_iter, maxDepth=3, seed=1)]).fit(ready)
+    out = model.transform(ready).withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction"))))
+    return model, out.drop("features", "prediction")
+
+
 def grid(**choices: Sequence) -> list[dict]:
     return [dict(zip(choices, values, strict=True)) for values in product(*choices.values())]
 
