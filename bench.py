@@ -28,7 +28,8 @@ HEADLINE = [
     "knn_exact", "knn_labels", "label_agreement", "knn_classify", "mean_vector", "frequent_top_classes", "rank_predictions",
     "frame_vectors", "context_vectors", "noise_negatives", "adaptive_threshold", "representative_source", "training_v2",
     "restrict_labels", "training_v6", "training_v7", "relabel_v6", "row_id", "moving_avg3", "split_stratified",
-    "average_precision", "macro_metrics", "freq_pairs", "standard_scale", "anova_f",
+    "average_precision", "macro_metrics", "freq_pairs", "standard_scale", "anova_f", "class_series", "neighbor_table",
+    "dedupe_keys", "knn_probe", "slice_windows", "training_v1",
 ]
 
 
