@@ -233,6 +233,7 @@ def test_training_order(spark, monkeypatch):
     for r in got:
         assert r.ids == stream[r.sequence * 64 : r.sequence * 64 + 64] and r.shard == r.slot // facts["per_shard"]
         assert r.offset == r.slot % facts["per_shard"] * 128
+        assert r.sha256 == hashlib.sha256(np.array(r.ids, dtype="<u2").tobytes()).hexdigest()
     rest = training_order.read_slots(manifest, facts, start=facts["count"] - 10).collect()
     assert sorted(r.slot for r in rest) == list(range(facts["count"] - 10, facts["count"]))
     none, empty = training_order.materialise_order(docs.where("false"), RANKS, public_tokenizers.PATTERN)

@@ -148,6 +148,5 @@ def _(spark, folder):
 def _(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     manifest, facts = training_order.materialise_order(docs, bpe.read_ranks(VOCABULARY), public_tokenizers.PATTERN)
-    read = training_order.read_slots(manifest, facts)
-    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
-    return read.select("slot", "sequence", "shard", "offset", F.sha2(ids, 256).alias("ids_sha256"))
+    read = training_order.read_slots(manifest, facts, with_ids=False)
+    return read.select("slot", "sequence", "shard", "offset", F.col("sha256").alias("ids_sha256"))

@@ -14,6 +14,7 @@ in order; the ids are shuffled once.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -220,8 +221,11 @@ def materialise_order(
     return materialize(placed.mapInArrow(write, MANIFEST)), facts
 
 
-def read_slots(manifest: DataFrame, facts: dict, start: int = 0) -> DataFrame:
-    """(slot, sequence, shard, offset, ids) from slot ``start`` on, one task per shard, read in order."""
+def read_slots(manifest: DataFrame, facts: dict, start: int = 0, with_ids: bool = True) -> DataFrame:
+    """(slot, sequence, shard, offset, ids, sha256) from slot ``start`` on, one task per shard, read in order.
+
+    ``sha256`` is that of the stored bytes; without ``with_ids`` the ids stay null but are read and digested.
+    """
     length, stride = facts["length"], facts["length"] * int(facts["kind"][-1])
     order = Feistel(facts["count"], facts["key"])
 
@@ -236,16 +240,21 @@ def read_slots(manifest: DataFrame, facts: dict, start: int = 0) -> DataFrame:
                     while at < shard["sequences"]:
                         many = min(256, shard["sequences"] - at)
                         source.seek(at * stride)
-                        ids = np.frombuffer(source.read(many * stride), dtype=facts["kind"]).astype(np.int32)
+                        raw = source.read(many * stride)
+                        digests = [hashlib.sha256(raw[i : i + stride]).hexdigest() for i in range(0, len(raw), stride)]
                         slots = shard["first_slot"] + np.arange(at, at + many)
-                        lists = pa.ListArray.from_arrays(pa.array(np.arange(many + 1, dtype=np.int32) * length), pa.array(ids))
+                        if with_ids:
+                            ids = np.frombuffer(raw, dtype=facts["kind"]).astype(np.int32)
+                            lists = pa.ListArray.from_arrays(pa.array(np.arange(many + 1, dtype=np.int32) * length), pa.array(ids))
+                        else:
+                            lists = pa.nulls(many, pa.list_(pa.int32()))
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(slots), pa.array(order.sequence(slots)), pa.array([shard["shard"]] * many, pa.int32()),
-                             pa.array(np.arange(at, at + many) * stride), lists],
-                            ["slot", "sequence", "shard", "offset", "ids"],
+                             pa.array(np.arange(at, at + many) * stride), lists, pa.array(digests)],
+                            ["slot", "sequence", "shard", "offset", "ids", "sha256"],
                         )
                         at += many
 
     wanted = manifest.where(F.col("first_slot") + F.col("sequences") > start)
     spread = wanted.repartitionById(max(1, -(-facts["count"] // facts["per_shard"])), F.col("shard"))
-    return spread.mapInArrow(run, "slot long, sequence long, shard int, offset long, ids array<int>")
+    return spread.mapInArrow(run, "slot long, sequence long, shard int, offset long, ids array<int>, sha256 string")
