@@ -14,16 +14,19 @@ from windowlark.llm import bpe, entropy_mix, language_svm, line_templates, order
 from windowlark.llm.support import table
 from windowlark.session import materialize
 
-#: Documents whose language is less sure than this go, as do those without any letter.
+#: Documents whose language is less sure than this go, as do those without any letter and those whose trigrams lie below
+#: the floor of every learned language (other languages and scripts, noise).
 LEAST_SURE = 0.2
+LEAST_FIT = 0.0
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fit on the labelled rows of ``docs``; drop rows without a letter or without a clear language."""
     model = language_svm.fit_languages(docs)
     # prediction columns get names of their own, so that no column of docs is replaced
-    judged = language_svm.predict_languages(docs, model, names=("_lang_pred", "_score"))
-    return judged.where((F.col("_lang_pred") != language_svm.UNDECIDED) & (F.col("_score") >= LEAST_SURE)).select(*docs.columns)
+    judged = language_svm.predict_languages(docs, model, names=("_lang_pred", "_score", "_fit"))
+    clear = (F.col("_score") >= LEAST_SURE) & (F.col("_fit") >= LEAST_FIT)
+    return judged.where((F.col("_lang_pred") != language_svm.UNDECIDED) & clear).select(*docs.columns)
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,6 +95,31 @@ def test_stages(spark):
     assert sorted(seen[4]) == sorted(seen[3]) and docs.where("NOT round_trip").count() == 0
 
 
+def test_texts_unlike_every_language_go(spark):
+    """Other scripts, unlearned languages and noise go; labelled rows, held out or not, stay."""
+    import base64
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(6)
+    odd = [
+        "съешь же ещё этих мягких французских булок да выпей чаю " * 5,
+        "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。",
+        "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        base64.b64encode(rng.randbytes(600)).decode(),
+        " ".join(f"{rng.getrandbits(32):08x}" for _ in range(40)),
+    ]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    extra = spark.createDataFrame([(-1 - i, t, None, "x", len(t)) for i, t in enumerate(odd)], docs.schema)
+    held = docs.where("doc_id % 3 = 1").withColumn("lang", F.lit(None).cast("string"))
+    given = docs.where("doc_id % 3 <> 1").unionAll(held).unionAll(extra)
+    ids = {r.doc_id for r in cp.keep_known_language(spark, given, "unused").select("doc_id").collect()}
+    assert not ids & {-1 - i for i in range(len(odd))}
+    lettered = docs.where("text RLIKE '[A-Za-z]'")
+    for part in (lettered, lettered.where("doc_id % 3 = 1")):
+        assert part.where(F.col("doc_id").isin(sorted(ids))).count() >= 0.995 * part.count()
+
+
 def test_run_on_tables(spark):
     import corpus_pipeline as cp
 

@@ -4,6 +4,10 @@ Texts become frequencies of hashed byte trigrams, in lower case, with everything
 space. One linear SVM per pair of families picks the family by votes; one per pair of its languages picks the
 language. Models are fitted in parallel, one task per pair, on a bounded sample of labelled rows; prediction
 streams whole texts through Arrow batches and adds up one weight per trigram and model.
+
+Duels only compare languages. Whether a text is like any of them is told apart by its fit: the mean over its trigrams of
+log2(frequency in the language / even chance), above a floor that is set on labelled rows the frequencies were not
+taken from.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ BUCKET_BITS = 13
 #: Trigrams scored at once, and texts folded at once.
 SLICE, TEXTS = 1 << 18, 256
 UNDECIDED = "und"
+#: Share of held-out labelled rows that may lie below a language's floor, and deviations of a mean that short texts are granted.
+FLOOR_SHARE, SHORT_SIGMAS = 0.005, 2.0
 
 # fixed values: language codes by family
 FAMILIES = {
@@ -74,15 +80,20 @@ def _raw(text: str) -> bytes:
 
 @dataclass
 class LanguageModel:
-    """Duels over families and, by family, over its languages; column m of ``weights`` belongs to duel m."""
+    """Duels over families and, by family, over its languages; column m of ``weights`` belongs to duel m.
+
+    The columns after the duels are the log frequencies of the languages, each with a floor and a spread.
+    """
 
     families: dict[str, list[str]]
     duels: dict[tuple[str, str, str], int]
     weights: np.ndarray
     bias: np.ndarray
+    floors: np.ndarray
+    spreads: np.ndarray
 
-    def sums(self, raws: list[bytes]) -> np.ndarray:
-        """Mean trigram weight and bias of each text: (texts, duels)."""
+    def sums(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Mean trigram weight and bias of each text (texts, columns), and its trigrams."""
         joined = b"".join(raws)
         lengths = np.array([len(r) for r in raws], dtype=np.int64)
         ends = np.cumsum(lengths)
@@ -96,7 +107,8 @@ class LanguageModel:
             cuts = np.maximum(ends[first : last + 1] - lengths[first : last + 1] - start, 0)
             totals[first : last + 1] += np.add.reduceat(self.weights[bucket], cuts, axis=0)
             counts[first : last + 1] += np.add.reduceat((bucket < 1 << BUCKET_BITS).astype(np.int64), cuts)
-        return totals / np.maximum(counts, 1)[:, None] + self.bias
+        counts = np.maximum(counts, 1)
+        return totals / counts[:, None] + self.bias, counts
 
     def _winner(self, level: str, names: list[str], margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the name with most votes (then largest sum of margins), and its least sure duel as 0 to 1."""
@@ -113,11 +125,18 @@ class LanguageModel:
         return best, sure[np.arange(len(margins)), best]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores = [UNDECIDED] * len(texts), [0.0] * len(texts)
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score and fit; the fit is that of the best language, in bits a trigram above its floor."""
+        langs, scores, fits = [UNDECIDED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         rows = [i for i, t in enumerate(texts) if t and self.families and _LETTER.search(t)]
         if not rows:
-            return langs, scores
-        margins = self.sums([_raw(texts[i]) for i in rows])
+            return langs, scores, fits
+        margins, counts = self.sums([_raw(texts[i]) for i in rows])
+        above = margins[:, len(self.duels) :] - self.floors + SHORT_SIGMAS * self.spreads / np.sqrt(counts)[:, None]
+        for where, fit in zip(rows, above.max(axis=1), strict=True):
+            fits[where] = float(fit)
         names = sorted(self.families)
         family, sure = self._winner("", names, margins)
         for k, name in enumerate(names):
@@ -127,7 +146,7 @@ class LanguageModel:
                 lang, sure_lang = self._winner(name, inner, margins[at])
                 for where, which, p in zip(at, lang, sure[at] * sure_lang, strict=True):
                     langs[rows[where]], scores[rows[where]] = inner[which], float(p)
-        return langs, scores
+        return langs, scores, fits
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 20) -> np.ndarray:
@@ -153,7 +172,7 @@ _GAIN = 20.0
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        langs, buckets, shares = [], [], []
+        langs, buckets, shares, sizes = [], [], [], []
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
             text = text.as_py()
             if text and _LETTER.search(text):
@@ -162,12 +181,35 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 langs.append(lang)
                 buckets.append(found[inside].astype(np.int32))
                 shares.append((count[inside] / count[inside].sum()).astype(np.float32))
+                sizes.append(int(count[inside].sum()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(buckets, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))],
-            ["lang", "buckets", "shares"],
+            [pa.array(langs, pa.string()), pa.array(buckets, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32())), pa.array(sizes, pa.int64())],
+            ["lang", "buckets", "shares", "size"],
         )
 
 
+def _log_frequency(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies smoothed by the chance of a new trigram, and their log2 over an even chance."""
+    seen, total, even = (counts > 0).sum(), max(counts.sum(), 1), 1 / len(counts)
+    new = seen / (seen + total) if seen else 1.0
+    p = (1 - new) * counts / total + new * even
+    return p, np.log2(p / even)
+
+
+def _profile(group: pd.DataFrame) -> pd.DataFrame:
+    """Log frequencies of a language; each half of its rows is held against the other half for the floor."""
+    rows = [(np.asarray(b), np.asarray(s, dtype=float), n) for b, s, n in zip(group["buckets"], group["shares"], group["size"], strict=True)]
+    counts = np.zeros((2, 1 << BUCKET_BITS))
+    for i, (b, s, n) in enumerate(rows):
+        counts[i % 2, b] += s * n
+    p, logs = _log_frequency(counts.sum(axis=0))
+    spread = float(np.sqrt((p * (logs - p @ logs) ** 2).sum()))
+    held = [_log_frequency(c)[1] for c in counts[::-1]]
+    fits = [held[i % 2][b] @ s + SHORT_SIGMAS * spread / np.sqrt(n) for i, (b, s, n) in enumerate(rows)]
+    floor = min(0.0, float(np.quantile(fits, FLOOR_SHARE))) if len(rows) > 1 else 0.0
+    return pd.DataFrame({"lang": [group["lang"].iloc[0]], "logs": [logs], "floor": [floor], "spread": [spread]})
+
+
 def _fit(group: pd.DataFrame) -> pd.DataFrame:
     """One duel: weights of the pair in ``level``, ``a`` against ``b``."""
     x = np.zeros((len(group), (1 << BUCKET_BITS) + 1))
@@ -186,7 +228,9 @@ def fit_languages(
 
     Rows without a language, or without a letter in their text, take no part. A family duel takes equal shares from
     the languages of a family, ``rows`` in all. With no usable row the model predicts ``und`` for every text. What
-    comes to the driver is one weight vector per pair of languages in a family and per pair of families.
+    comes to the driver is one weight vector per pair of languages in a family and per pair of families, and one of
+    frequencies per language. The floor of a language is an even chance, or lower so that of the sampled rows held out
+    no more than FLOOR_SHARE lie below it.
     """
     keyed = labelled.where(F.col(lang_col).isNotNull()).select(
         F.xxhash64(F.col(id_col), F.lit(3)).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
@@ -202,7 +246,7 @@ def fit_languages(
     chosen = keyed.join(F.broadcast(bounds), "lang").where("h <= bound").select("lang", "text")  # a row per language
     ranked = Window.partitionBy("lang").orderBy(F.xxhash64("buckets"))
     sample = materialize(
-        chosen.mapInArrow(_features, "lang string, buckets array<int>, shares array<float>")
+        chosen.mapInArrow(_features, "lang string, buckets array<int>, shares array<float>, size long")
         .withColumn("n", F.row_number().over(ranked))
         .where(F.col("n") <= rows)
     )
@@ -231,29 +275,35 @@ def fit_languages(
             duels[r.level, r.a, r.b] = len(columns)
             columns.append(np.array(r.w))
     matrix = np.array(columns).T if columns else np.zeros(((1 << BUCKET_BITS) + 1, 0))
-    weights = np.vstack([matrix[:-1] * _GAIN, np.zeros((1, matrix.shape[1]))]).astype(np.float32)
-    return LanguageModel(families, duels, weights, matrix[-1])
+    profiles = sorted(sample.groupBy("lang").applyInPandas(_profile, "lang string, logs array<double>, floor double, spread double").collect())
+    logs = np.array([r.logs for r in profiles]).T if profiles else np.zeros((1 << BUCKET_BITS, 0))
+    weights = np.vstack([np.hstack([matrix[:-1] * _GAIN, logs]), np.zeros((1, matrix.shape[1] + logs.shape[1]))]).astype(np.float32)
+    bias = np.append(matrix[-1], np.zeros(logs.shape[1]))
+    return LanguageModel(families, duels, weights, bias, np.array([r.floor for r in profiles]), np.array([r.spread for r in profiles]))
 
 
 def predict_languages(
-    df: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")
+    df: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, ...] = ("lang_pred", "score")
 ) -> DataFrame:
     """Adds the language and its score, under ``names``, to every row; reads the whole text and no other column.
 
     ``und`` and 0 if the text is null, empty or has no letter. The score, 0 to 1, is the product of the least sure
-    duels that the family and the language won. Columns that have one of the names are replaced.
+    duels that the family and the language won. A third name adds the fit, in bits a trigram: below 0 the text is
+    unlike every language of the model (0 for ``und``). Columns that have one of the names are replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    kinds = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("fit", T.DoubleType())]
+
+    @F.pandas_udf(T.StructType([T.StructField(*k) for k in kinds]))
     def guess(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = [], []
+        columns = [], [], []
         for start in range(0, len(texts), TEXTS):
             part = [t if isinstance(t, str) else None for t in texts.iloc[start : start + TEXTS]]
-            for out, found in zip((langs, scores), shared.value.predict(part), strict=True):
+            for out, found in zip(columns, shared.value.judge(part), strict=True):
                 out += found
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
+        return pd.DataFrame({name: out for (name, _), out in zip(kinds, columns, strict=True)})
 
     kept = [c for c in df.columns if c not in names]
     judged = df.select(*kept, guess(F.col(text_col)).alias("_guess"))
-    return judged.select(*kept, F.col("_guess.lang_pred").alias(names[0]), F.col("_guess.score").alias(names[1]))
+    return judged.select(*kept, *[F.col(f"_guess.{kind}").alias(name) for name, (kind, _) in zip(names, kinds)])
