@@ -31,7 +31,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go; n_chars follows the text; documents of which nothing is left go too."""
-    cleaned = line_templates.drop_recurring_lines(docs, counts=True)
+    cleaned = line_templates.drop_recurring_lines(docs, counts=True, full=True)
     emptied = (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")) == "")
     size = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars")
     return cleaned.where(~F.coalesce(emptied, F.lit(False))).select(*[size if c == "n_chars" else c for c in docs.columns])

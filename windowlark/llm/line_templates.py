@@ -4,7 +4,9 @@ The tree has fixed depth: a line goes to the leaf of its token count and its fir
 as a variable field. In a leaf a token is constant at its position if at least ``min_docs`` lines (one per
 document and wording) have it there; all other tokens are variable fields. The constants of a line, with their
 positions, are its template. Templates that enough documents share, and that are constant enough, are
-recurring: their first line (smallest document, then line) stays, all others are dropped.
+recurring: their first line (smallest document, then line) stays, all others are dropped. That is the rule of the SQL
+beside ``op7_line_templates``. With ``full`` tokens with a digit are no part of the share of constants, of which a line needs
+one at least, and a line that has too few is its own template.
 
 Nothing depends on an order of arrival, so the tree is built by counting: leaves and lines are counted as hashes,
 and tokens are only taken apart for lines, each wording once, whose leaf is common enough to recur.
@@ -55,7 +57,7 @@ def _two_hashes(line: Column) -> list[Column]:
 
 
 def recurring_lines(
-    docs: DataFrame, id_col: str, text_col: str, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT
+    docs: DataFrame, id_col: str, text_col: str, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, full: bool = False
 ) -> DataFrame:
     """(row, line_no) of the lines to drop."""
     # every line as hashes: narrow, written once, read by each count below
@@ -71,7 +73,7 @@ def recurring_lines(
     texts = common.groupBy("leaf", "h1", "h2").agg(F.any_value("tokens").alias("tokens"))
     words = materialize(texts)
     placed = words.select(
-        "leaf", "h1", "h2", F.size("tokens").alias("size"),
+        "leaf", "h1", "h2", (F.size(F.filter("tokens", lambda t: ~t.rlike("[0-9]"))) if full else F.size("tokens")).alias("size"),
         F.posexplode(F.transform("tokens", lambda t: F.when(~t.rlike("[0-9]"), F.xxhash64(t)))).alias("at", "token"),
     ).where("token IS NOT NULL")
     counted = placed.join(wordings, ["leaf", "h1", "h2"])
@@ -87,6 +89,10 @@ def recurring_lines(
         .where(F.col("fixed") >= F.col("size") * min_constant)
         .select("leaf", "h1", "h2", "t1", "t2")
     )
+    if full:
+        # wordings without a template of constants: one that enough documents share recurs all the same
+        own = wordings.where(F.col("docs") >= min_docs).join(templates, ["leaf", "h1", "h2"], "left_anti")
+        templates = templates.unionAll(own.select("leaf", "h1", "h2", F.col("h1").alias("t1"), F.col("h2").alias("t2")))
     hits = materialize(seen.join(templates, ["leaf", "h1", "h2"]).select("leaf", "t1", "t2", "doc", "row", "line_no"))
     key = ["leaf", "t1", "t2"]
     enough = hits.select(*key, "row").distinct().groupBy(*key).count().where(F.col("count") >= min_docs).select(*key)
@@ -104,6 +110,7 @@ def drop_recurring_lines(
     min_docs: int = MIN_DOCS,
     min_constant: float = MIN_CONSTANT,
     counts: bool = False,
+    full: bool = False,
 ) -> DataFrame:
     """``docs`` with the recurring lines taken out of the text; all rows and columns stay.
 
@@ -111,9 +118,9 @@ def drop_recurring_lines(
     included. Blank lines stay and count for nothing. Rows that repeat id and text count as one document and get the
     same result, so ids need not be unique or non-null. Documents are counted once per template however often
     they repeat it; repeats inside one document are dropped as well once it recurs. ``counts`` adds n_lines and
-    n_dropped. An empty table stays empty.
+    n_dropped. ``full`` takes the wider rules above. An empty table stays empty.
     """
-    drops = recurring_lines(docs, id_col, text_col, min_docs, min_constant).distinct()
+    drops = recurring_lines(docs, id_col, text_col, min_docs, min_constant, full).distinct()
     # at most one number per line of a document
     by_row = materialize(drops.groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("_gone")).withColumnRenamed("row", "_row"))
     lines = F.split(whole(text_col), "\n", -1)
