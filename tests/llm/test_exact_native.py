@@ -127,6 +127,16 @@ def test_digit_fields_do_not_count_against_a_template(spark):
         assert got[i] == (text if i == 0 else "\n".join([lines[0], lines[4]]))
 
 
+def test_frequent_values_stay_variable(spark):
+    """Fields whose every value is in many documents; two templates of one leaf stay apart."""
+    word = lambda i: "abcdefghijkl"[i % 12] * 4
+    foot = "this page was made for {} by the branch in {} and checked"
+    rows = [(i, foot.format(word(i), word(i // 12)), "x") for i in range(288)]
+    rows += [(1000 + i, f"this page was sent out from an {word(i)} office of our old company", "x") for i in range(40)]
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(docs_of(spark, rows), full=True).collect()}
+    assert {i for i, text in got.items() if text} == {0, 1000}
+
+
 def test_repeated_rows_are_one_document(spark):
     rows = [(1, "a line that one row repeats often enough", "x")] * 30
     assert line_templates.drop_recurring_lines(docs_of(spark, rows), counts=True).where("n_dropped > 0").count() == 0

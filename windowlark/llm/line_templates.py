@@ -6,7 +6,9 @@ document and wording) have it there; all other tokens are variable fields. The c
 positions, are its template. Templates that enough documents share, and that are constant enough, are
 recurring: their first line (smallest document, then line) stays, all others are dropped. That is the rule of the SQL
 beside ``op7_line_templates``. With ``full`` tokens with a digit are no part of the share of constants, of which a line needs
-one at least, and a line that has too few is its own template.
+one at least, and a line that has too few is its own template. Of the constants of a line only those count that are at
+least half as frequent as its ``min_constant`` most frequent ones, so that values of a variable field stay variable in
+however many documents each of them is.
 
 Nothing depends on an order of arrival, so the tree is built by counting: leaves and lines are counted as hashes,
 and tokens are only taken apart for lines, each wording once, whose leaf is common enough to recur.
@@ -78,17 +80,30 @@ def recurring_lines(
     ).where("token IS NOT NULL")
     counted = placed.join(wordings, ["leaf", "h1", "h2"])
     constants = materialize(
-        counted.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf", "at", "token")
+        counted.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf", "at", "token", "docs")
     )
     # a template is the set of (position, constant): two order-free sums of hashes name it
     part = F.xxhash64("at", "token")
-    templates = materialize(
-        placed.join(constants, ["leaf", "at", "token"])
-        .groupBy("leaf", "h1", "h2", "size")
-        .agg(F.bit_xor(part).alias("t1"), F.bit_xor(F.xxhash64(part, F.lit(5))).alias("t2"), F.count("*").alias("fixed"))
-        .where(F.col("fixed") >= F.col("size") * min_constant)
-        .select("leaf", "h1", "h2", "t1", "t2")
-    )
+    again = F.xxhash64(part, F.lit(5))
+    held = placed.join(constants, ["leaf", "at", "token"])
+    if full:
+        # most frequent first; the last of the share that is asked for sets the level
+        listed = held.groupBy("leaf", "h1", "h2", "size").agg(
+            F.sort_array(F.collect_list(F.struct("docs", part.alias("p1"), again.alias("p2"))), asc=False).alias("held")
+        )
+        least = F.greatest(F.ceil(F.col("size") * min_constant), F.lit(1)).cast("int")
+        level = F.element_at("held", least)["docs"]
+        kept = F.filter("held", lambda c: c["docs"] * 2 >= F.col("level"))
+        named = listed.where(F.size("held") >= least).withColumn("level", level).withColumn("held", kept)
+        one = lambda p: F.aggregate("held", F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(c[p]))
+        templates = materialize(named.select("leaf", "h1", "h2", one("p1").alias("t1"), one("p2").alias("t2")))
+    else:
+        templates = materialize(
+            held.groupBy("leaf", "h1", "h2", "size")
+            .agg(F.bit_xor(part).alias("t1"), F.bit_xor(again).alias("t2"), F.count("*").alias("fixed"))
+            .where(F.col("fixed") >= F.col("size") * min_constant)
+            .select("leaf", "h1", "h2", "t1", "t2")
+        )
     if full:
         # wordings without a template of constants: one that enough documents share recurs all the same
         own = wordings.where(F.col("docs") >= min_docs).join(templates, ["leaf", "h1", "h2"], "left_anti")
