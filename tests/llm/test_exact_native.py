@@ -137,6 +137,20 @@ def test_frequent_values_stay_variable(spark):
     assert {i for i, text in got.items() if text} == {0, 1000}
 
 
+def test_long_lines_recur_from_two_documents(spark):
+    """A passage of more than 50 words in two documents, as it is or with a word changed; short lines and figures stay."""
+    passage, other = own_words("passage", 60), own_words("other", 70)
+    short = own_words("short", 20)
+    figures = lambda i: "sum " + " ".join(str(i * 100 + k) for k in range(60))
+    rows = [(i, f"{own_words(i)}\n{passage}\n{short}\n{figures(i)}", "x") for i in range(3)]
+    rows += [(5 + i, f"{own_words(5 + i)}\n{other} {'xy'[i]}", "x") for i in range(2)]
+    rows += [(10 + i, f"{own_words(10 + i)}\n{figures(99)}", "x") for i in range(2)]
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(docs_of(spark, rows), full=True).collect()}
+    for i, text, _ in rows:
+        lines = text.split("\n")
+        assert got[i] == (text if i in (0, 5, 10) else lines[0] if i in (6, 11) else "\n".join([lines[0], *lines[2:]]))
+
+
 def test_repeated_rows_are_one_document(spark):
     rows = [(1, "a line that one row repeats often enough", "x")] * 30
     assert line_templates.drop_recurring_lines(docs_of(spark, rows), counts=True).where("n_dropped > 0").count() == 0

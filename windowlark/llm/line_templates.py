@@ -8,7 +8,8 @@ recurring: their first line (smallest document, then line) stays, all others are
 beside ``op7_line_templates``. With ``full`` tokens with a digit are no part of the share of constants, of which a line needs
 one at least, and a line that has too few is its own template. Of the constants of a line only those count that are at
 least half as frequent as its ``min_constant`` most frequent ones, so that values of a variable field stay variable in
-however many documents each of them is.
+however many documents each of them is. Lines of more than LONG tokens recur from LONG_DOCS documents on, by their wording, or
+by a template with as many constants as one of LONG words must have.
 
 Nothing depends on an order of arrival, so the tree is built by counting: leaves and lines are counted as hashes,
 and tokens are only taken apart for lines, each wording once, whose leaf is common enough to recur.
@@ -25,6 +26,8 @@ from windowlark.session import materialize
 MIN_DOCS = 10
 MIN_CONSTANT = 0.8
 LEAD = 3
+#: Lines of more tokens do not repeat by chance: with ``full`` they recur from LONG_DOCS documents on.
+LONG, LONG_DOCS = 50, 2
 
 FIELD = "<*>"
 
@@ -64,11 +67,12 @@ def recurring_lines(
     """(row, line_no) of the lines to drop."""
     # every line as hashes: narrow, written once, read by each count below
     seen = materialize(
-        _lines(docs, id_col, text_col).select("doc", "row", "line_no", "leaf", *_two_hashes(F.col("line")))
+        _lines(docs, id_col, text_col).select("doc", "row", "line_no", "leaf", (F.size("tokens") > LONG).alias("long"), *_two_hashes(F.col("line")))
     )
-    per_doc = seen.select("leaf", "h1", "h2", "row").distinct()
-    wordings = materialize(per_doc.groupBy("leaf", "h1", "h2").agg(F.count("*").alias("docs")))
-    leaves = materialize(wordings.groupBy("leaf").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
+    need = F.when(F.col("long"), F.lit(min(LONG_DOCS, min_docs))).otherwise(F.lit(min_docs)) if full else F.lit(min_docs)
+    per_doc = seen.select("leaf", "long", "h1", "h2", "row").distinct()
+    wordings = materialize(per_doc.groupBy("leaf", "long", "h1", "h2").agg(F.count("*").alias("docs")))
+    leaves = materialize(wordings.groupBy("leaf", "long").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= need).select("leaf"))
 
     # tokens of each wording in a common leaf, once
     common = _lines(docs, id_col, text_col).select("leaf", "tokens", *_two_hashes(F.col("line"))).join(leaves, "leaf", "left_semi")
@@ -80,7 +84,7 @@ def recurring_lines(
     ).where("token IS NOT NULL")
     counted = placed.join(wordings, ["leaf", "h1", "h2"])
     constants = materialize(
-        counted.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf", "at", "token", "docs")
+        counted.groupBy("leaf", "long", "at", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= need).select("leaf", "long", "at", "token", "docs")
     )
     # a template is the set of (position, constant): two order-free sums of hashes name it
     part = F.xxhash64("at", "token")
@@ -88,7 +92,7 @@ def recurring_lines(
     held = placed.join(constants, ["leaf", "at", "token"])
     if full:
         # most frequent first; the last of the share that is asked for sets the level
-        listed = held.groupBy("leaf", "h1", "h2", "size").agg(
+        listed = held.groupBy("leaf", "long", "h1", "h2", "size").agg(
             F.sort_array(F.collect_list(F.struct("docs", part.alias("p1"), again.alias("p2"))), asc=False).alias("held")
         )
         least = F.greatest(F.ceil(F.col("size") * min_constant), F.lit(1)).cast("int")
@@ -96,21 +100,24 @@ def recurring_lines(
         kept = F.filter("held", lambda c: c["docs"] * 2 >= F.col("level"))
         named = listed.where(F.size("held") >= least).withColumn("level", level).withColumn("held", kept)
         one = lambda p: F.aggregate("held", F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(c[p]))
-        templates = materialize(named.select("leaf", "h1", "h2", one("p1").alias("t1"), one("p2").alias("t2")))
+        few = F.when(F.size("held") < LONG * min_constant, F.lit(min_docs)).otherwise(need)
+        templates = materialize(named.select("leaf", "h1", "h2", one("p1").alias("t1"), one("p2").alias("t2"), few.alias("need")))
     else:
         templates = materialize(
             held.groupBy("leaf", "h1", "h2", "size")
             .agg(F.bit_xor(part).alias("t1"), F.bit_xor(again).alias("t2"), F.count("*").alias("fixed"))
             .where(F.col("fixed") >= F.col("size") * min_constant)
-            .select("leaf", "h1", "h2", "t1", "t2")
+            .select("leaf", "h1", "h2", "t1", "t2", F.lit(min_docs).alias("need"))
         )
     if full:
-        # wordings without a template of constants: one that enough documents share recurs all the same
-        own = wordings.where(F.col("docs") >= min_docs).join(templates, ["leaf", "h1", "h2"], "left_anti")
-        templates = templates.unionAll(own.select("leaf", "h1", "h2", F.col("h1").alias("t1"), F.col("h2").alias("t2")))
-    hits = materialize(seen.join(templates, ["leaf", "h1", "h2"]).select("leaf", "t1", "t2", "doc", "row", "line_no"))
+        # wordings without a template of constants, or with one that needs more documents, recur by themselves
+        own = wordings.where(F.col("docs") >= need).join(
+            templates.select("leaf", "h1", "h2", F.col("need").alias("asks")), ["leaf", "h1", "h2"], "left"
+        ).where(F.col("asks").isNull() | (F.col("asks") > need))
+        templates = templates.unionAll(own.select("leaf", "h1", "h2", F.col("h1").alias("t1"), F.col("h2").alias("t2"), need.alias("need")))
+    hits = materialize(seen.join(templates, ["leaf", "h1", "h2"]).select("leaf", "t1", "t2", "need", "doc", "row", "line_no"))
     key = ["leaf", "t1", "t2"]
-    enough = hits.select(*key, "row").distinct().groupBy(*key).count().where(F.col("count") >= min_docs).select(*key)
+    enough = hits.select(*key, "need", "row").distinct().groupBy(*key, "need").count().where(F.col("count") >= F.col("need")).select(*key)
     place = F.struct(F.col("doc").isNull().alias("n"), "doc", "row", "line_no")
     first = hits.groupBy(*key).agg(F.min(place).alias("first"))
     recurring = materialize(first.join(enough, key).select(*key, F.col("first.row").alias("first_row"), F.col("first.line_no").alias("first_no")))
