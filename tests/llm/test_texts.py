@@ -238,3 +238,15 @@ def test_training_order(spark, monkeypatch):
     assert sorted(r.slot for r in rest) == list(range(facts["count"] - 10, facts["count"]))
     none, empty = training_order.materialise_order(docs.where("false"), RANKS, public_tokenizers.PATTERN)
     assert training_order.read_slots(none, empty).count() == 0
+
+
+def test_training_order_keeps_copies(spark):
+    """A mixed corpus keeps its copies, next to each other; so do null ids with equal texts."""
+    rows = [(i, f"text {i} " * (i + 1), "en") for i in range(9) for _ in range(i % 3 + 1)] + [(None, "again", "en")] * 4
+    manifest, facts = training_order.materialise_order(docs_of(spark, rows).repartition(5), RANKS, public_tokenizers.PATTERN, length=16, copies=True)
+    stream = [t for _, text, _ in rows for t in [*TIKTOKEN.encode_ordinary(text), 50256]]
+    assert facts["tokens"] == len(stream)
+    stream += [50256] * (-len(stream) % 16)
+    got = training_order.read_slots(manifest, facts).collect()
+    assert sorted(r.slot for r in got) == list(range(len(stream) // 16))
+    assert all(r.ids == stream[r.sequence * 16 : r.sequence * 16 + 16] for r in got)

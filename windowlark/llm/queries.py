@@ -147,6 +147,6 @@ def _(spark, folder):
 @query("op10_training_order")
 def _(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    manifest, facts = training_order.materialise_order(docs, bpe.read_ranks(VOCABULARY), public_tokenizers.PATTERN)
+    manifest, facts = training_order.materialise_order(docs, bpe.read_ranks(VOCABULARY), public_tokenizers.PATTERN, copies=True)
     read = training_order.read_slots(manifest, facts, with_ids=False)
     return read.select("slot", "sequence", "shard", "offset", F.col("sha256").alias("ids_sha256"))

@@ -89,8 +89,11 @@ def _row_key(id_col: str, text_col: str):
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), whole(text_col))
 
 
-def stream_starts(docs: DataFrame, id_col: str, text_col: str, shared) -> DataFrame:
-    """(rk, start, tokens): where in the stream each distinct (id, text) begins; null ids come last."""
+def stream_starts(docs: DataFrame, id_col: str, text_col: str, shared, copies: bool = False) -> DataFrame:
+    """(rk, start, tokens, copies): where in the stream each distinct (id, text) begins; null ids come last.
+
+    With ``copies`` it takes the room of all rows that repeat it, which follow each other; else that of one.
+    """
     rows = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("rk"), whole(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,10 +104,12 @@ def stream_starts(docs: DataFrame, id_col: str, text_col: str, shared) -> DataFr
 
     kind = rows.schema["id"].dataType.simpleString()
     lengths = materialize(rows.mapInArrow(run, f"id {kind}, rk long, tokens long"))
-    once = lengths.groupBy("rk").agg(F.min("id").alias("id"), F.any_value("tokens").alias("tokens"))
+    many = F.count("*") if copies else F.lit(1).cast("long")
+    once = lengths.groupBy("rk").agg(F.min("id").alias("id"), F.any_value("tokens").alias("tokens"), many.alias("copies"))
     once = once.withColumn("late", F.col("id").isNull())
-    total = running_totals(once, [], ["late", "id", "rk"], {"upto": F.col("tokens")})
-    return materialize(total.select("rk", (F.col("upto") - F.col("tokens")).alias("start"), "tokens"))
+    room = F.col("tokens") * F.col("copies")
+    total = running_totals(once, [], ["late", "id", "rk"], {"upto": room})
+    return materialize(total.select("rk", (F.col("upto") - room).alias("start"), "tokens", "copies"))
 
 
 class _Shard:
@@ -134,19 +139,21 @@ def materialise_order(
     text_col: str = "text",
     length: int = LENGTH,
     key: int = KEY,
+    copies: bool = False,
 ) -> tuple[DataFrame, dict]:
     """Write all sequences in training order; returns the manifest of shards and the facts a reader needs.
 
     The end id is the first id the vocabulary leaves free; it also fills the last sequence up. Ids take two bytes if
-    they fit, else four. Null texts are empty documents (one end id). Rows that repeat id and text are written once.
-    Other columns are not read. An empty table gives an empty manifest. Shards have equal numbers of sequences, except
+    they fit, else four. Null texts are empty documents (one end id). Rows that repeat id and text are written once,
+    or with ``copies`` as often as they are there, one after the other. Other columns are not read. An empty table gives an empty manifest. Shards have equal numbers of sequences, except
     the last: SHARD_SEQUENCES, or fewer if that would leave shuffle partitions idle. A lost task writes its shard
     anew under another name; the manifest lists what Spark committed.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((ranks, pattern))
-    starts = stream_starts(docs, id_col, text_col, shared)
-    total = starts.agg(F.max(F.col("start") + F.col("tokens"))).first()[0] or 0
+    starts = stream_starts(docs, id_col, text_col, shared, copies)
+    total, most = starts.agg(F.max(F.col("start") + F.col("tokens") * F.col("copies")), F.max("copies")).first()
+    total = total or 0
     count = -(-total // length)
     end = max(ranks.values(), default=-1) + 1
     kind = "<u2" if end < 1 << 16 else "<u4"
@@ -157,7 +164,14 @@ def materialise_order(
     order = Feistel(count, key)
 
     sent = F.broadcast(starts) if small_enough(starts, START_ROW_BYTES) else starts
-    rows = docs.select(_row_key(id_col, text_col).alias("rk"), whole(text_col).alias("text")).join(sent, "rk").select("start", "text")
+    keyed = docs.select(_row_key(id_col, text_col).alias("rk"), whole(text_col).alias("text"))
+    rows = keyed.join(sent.where("copies = 1"), "rk").select("start", "text")
+    if most and most > 1:
+        # each repeated text once, then one row per copy
+        repeated = keyed.join(sent.where("copies > 1"), "rk").groupBy("rk", "start", "tokens", "copies").agg(F.any_value("text").alias("text"))
+        number = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("number")
+        every = repeated.select("start", "tokens", "text", number)
+        rows = rows.unionAll(every.select((F.col("start") + F.col("tokens") * F.col("number")).alias("start"), "text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(shared).encode_ordinary
