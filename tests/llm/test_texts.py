@@ -131,6 +131,20 @@ def test_near_duplicates_brute(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == {k for _, k, _ in want}
 
 
+def test_large_buckets_meet_all_pairs(spark):
+    """Near texts that agree in one sketch only are linked in a bucket of many unlinked members, as in a small one."""
+    n = order_minhash.SKETCHES
+    rng = random.Random(8)
+    a = words(rng, 60)
+    pair = {b"a": " ".join(a), b"b": " ".join([*a[:-1], "other"])}
+    texts = pair | {f"x{i}".encode(): " ".join(words(rng, 60)) for i in range(3 * order_minhash.CENTRES)}
+    # smallest members of the bucket first, so that its first class is none of the pair
+    rows = [(k, 56, (False, 0 if k[:1] == b"x" else 1, i, i), [7] + [100 + i * n + j for j in range(n - 1)]) for i, (k, _) in enumerate(sorted(texts.items(), reverse=True))]
+    classes = spark.createDataFrame(rows, "key binary, n long, ord struct<z: boolean, id: long, rk: long, row: long>, sk array<long>")
+    labels = order_minhash.links(classes, spark.createDataFrame(list(texts.items()), "key binary, text string"), 0.8)
+    assert labels is not None and {bytes(r.node) for r in labels.collect()} == set(pair)
+
+
 def test_no_near_duplicates(spark):
     docs = docs_of(spark, [(1, "a b c d e f", "en"), (2, "g h i j k l m", "en")])
     assert [r.kept for r in order_minhash.near_duplicates(docs).collect()] == [True, True]

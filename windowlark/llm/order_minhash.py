@@ -12,8 +12,9 @@ shared shingles from below); the rest are aligned in the band that the similarit
 Equal texts are one class from the start. Within a bucket of candidates not all pairs are made: each member meets
 the bucket's first class; after the links found so far are closed into components, only buckets that still hold
 several components go on. Members outside the largest one meet the members of all other components, which decides
-every pair that could still matter; pairs whose 1,024-bit signatures lie too far apart are given up there. Where they are many, the bucket is first cut finer by a further sketch, and
-after REFINE cuts they take turns, CENTRES a round, until all have met. No cap drops a candidate.
+every pair that could still matter; pairs whose 1,024-bit signatures lie too far apart are given up there. Where they are many, the bucket is first cut finer by a further sketch, which only finds
+links early: the bucket itself stays beside its parts, and after REFINE cuts its members outside the largest component
+take turns, CENTRES in the first round and twice as many in each next one, until all have met. No cap drops a candidate.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ SIMILARITY = 0.8
 SKETCHES, PICKS = 20, 3
 #: Members outside a bucket's largest component that meet all others in one round; a bucket with no more is finished.
 CENTRES = 32
-#: Further sketches that may cut a bucket with more before it goes on round by round.
+#: Further sketches that may cut a bucket with more, to find links, before it goes on round by round.
 REFINE = 2
 #: Bits of the signature that cross pairs are held against: one bit of the smallest shingle under each of so many
 #: hashes. Texts of Jaccard index j agree in (1 + j) / 2 of them on average.
@@ -302,7 +303,7 @@ def links(classes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("ord", "key"))
         outside = state.where(F.col("comp") != F.col("main"))
         outside = outside.where(F.col("out") <= CENTRES) if cut_more else outside
-        served = outside.withColumn("place", place).where(F.col("place") <= CENTRES)
+        served = outside.withColumn("place", place).where(F.col("place") <= CENTRES << max(0, depth - REFINE))
         served = materialize(served.select(F.col("bucket").alias("ob"), F.col("key").alias("a"), F.col("n").alias("an"), F.col("comp").alias("oc"), F.col("sign").alias("osign")))
         differ = sum(F.bit_count(F.get("sign", F.lit(i)).bitwiseXOR(F.get("osign", F.lit(i)))) for i in range(SIGN_BITS // 64))
         cross = state.join(served, (F.col("bucket") == F.col("ob")) & (F.col("comp") != F.col("oc")) & (differ <= most_differing(similarity)))
@@ -311,8 +312,10 @@ def links(classes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
         if cut_more:
             cut = big.select("bucket", "key", "n", "ord", "last").join(sk, F.col("key") == F.col("k"))
             cut = cut.select("bucket", "key", "n", "ord", F.col("last").alias("was"), F.posexplode("sk").alias("last", "v")).where("last > was")
-            buckets = materialize(cut.select(F.xxhash64("bucket", "last", "v").alias("bucket"), "key", "n", "ord", "last"))
-            pairs = pairs.unionAll(_stars(buckets))
+            parts = materialize(cut.select(F.xxhash64("bucket", "last", "v").alias("bucket"), "key", "n", "ord", "last"))
+            pairs = pairs.unionAll(_stars(parts))
+            # what a cut parts still has to meet: the bucket stays, past the last sketch so that it is not cut again
+            buckets = materialize(parts.unionAll(big.select("bucket", "key", "n", "ord", F.lit(SKETCHES).alias("last"))))
         else:
             # who has been served has met every other component and leaves the bucket
             gone = served.select(F.col("ob").alias("gb"), F.col("a").alias("ga"))
