@@ -175,6 +175,18 @@ def test_language_edges(spark):
     assert same == model.predict([t for _, t, _ in odd])[0]  # no text influences another
 
 
+def test_fit_sample_is_bounded_by_id_hash(spark, monkeypatch):
+    """Of a language with more than eight times the rows wanted, features are made of those alone, by hash of the id."""
+    made = []
+    keep = language_svm.materialize
+    monkeypatch.setattr(language_svm, "materialize", lambda df: made.append(keep(df)) or made[-1])
+    docs = docs_of(spark, [(i, f"word{'abcdefghij'[i % 10]} " * (i % 7 + 1), "en") for i in range(2000)])
+    language_svm.fit_languages(docs, rows=20)
+    hashed = docs.select(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 1).alias("h"))
+    want = [r.h for r in hashed.orderBy("h").limit(20).collect()]
+    assert sorted(r.h for r in made[0].select("h").collect()) == want
+
+
 def test_language_without_labels(spark):
     docs = docs_of(spark, [(1, "hello there", None)])
     model = language_svm.fit_languages(docs)

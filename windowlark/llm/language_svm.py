@@ -172,19 +172,20 @@ _GAIN = 20.0
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        langs, buckets, shares, sizes = [], [], [], []
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+        hashes, langs, buckets, shares, sizes = [], [], [], [], []
+        for h, lang, text in zip(batch.column("h").to_pylist(), batch.column("lang").to_pylist(), batch.column("text"), strict=True):
             text = text.as_py()
             if text and _LETTER.search(text):
                 found, count = np.unique(_buckets(_raw(text)), return_counts=True)
                 inside = found < 1 << BUCKET_BITS
+                hashes.append(h)
                 langs.append(lang)
                 buckets.append(found[inside].astype(np.int32))
                 shares.append((count[inside] / count[inside].sum()).astype(np.float32))
                 sizes.append(int(count[inside].sum()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(buckets, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32())), pa.array(sizes, pa.int64())],
-            ["lang", "buckets", "shares", "size"],
+            [pa.array(hashes, pa.int64()), pa.array(langs, pa.string()), pa.array(buckets, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32())), pa.array(sizes, pa.int64())],
+            ["h", "lang", "buckets", "shares", "size"],
         )
 
 
@@ -233,20 +234,20 @@ def fit_languages(
     no more than FLOOR_SHARE lie below it.
     """
     keyed = labelled.where(F.col(lang_col).isNotNull()).select(
-        F.xxhash64(F.col(id_col), F.lit(3)).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
+        F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(3)), 1).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     )
     # find the hash bounds on narrow rows first, so that only sampled texts move; a coarse bound by the language's
     # count leaves about four times the rows wanted to the exact one
     counts = keyed.groupBy("lang").agg(F.count("*").alias("total"))
-    coarse = F.shiftrightunsigned("h", 11) <= 4.0 * rows / F.col("total") * (1 << 53)
+    coarse = F.shiftright("h", 10) <= 4.0 * rows / F.col("total") * (1 << 53)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     narrow = keyed.select("lang", "h").join(F.broadcast(counts), "lang").where(coarse)  # a row per language
     narrow = narrow.select("lang", "h").withColumn("n", place).where(F.col("n") <= rows)
     bounds = narrow.groupBy("lang").agg(F.max("h").alias("bound"))
-    chosen = keyed.join(F.broadcast(bounds), "lang").where("h <= bound").select("lang", "text")  # a row per language
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("buckets"))
+    chosen = keyed.join(F.broadcast(bounds), "lang").where("h <= bound").select("h", "lang", "text")  # a row per language
+    ranked = Window.partitionBy("lang").orderBy("h", F.xxhash64("buckets"))
     sample = materialize(
-        chosen.mapInArrow(_features, "lang string, buckets array<int>, shares array<float>, size long")
+        chosen.mapInArrow(_features, "h long, lang string, buckets array<int>, shares array<float>, size long")
         .withColumn("n", F.row_number().over(ranked))
         .where(F.col("n") <= rows)
     )
