@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowlark.llm import bloom_dedup, bpe, entropy_mix, language_svm, line_templates, order_minhash, projected_search, training_order, url_rules, warc
+from windowlark.llm import bloom_dedup, bpe, entropy_mix, language_svm, line_templates, order_minhash, projected_search, speculative_bpe, training_order, url_rules, warc
 from windowlark.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,17 @@ def _(spark, folder):
     manifest, facts = training_order.materialise_order(docs, bpe.read_ranks(VOCABULARY), public_tokenizers.PATTERN, copies=True)
     read = training_order.read_slots(manifest, facts, with_ids=False)
     return read.select("slot", "sequence", "shard", "offset", F.col("sha256").alias("ids_sha256"))
+
+
+@query("op13_speculative_bpe")
+def _(spark, folder):
+    tokenizer = speculative_bpe.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ids = speculative_bpe.encode(docs, "text", tokenizer, carry=["doc_id"], packed=True)
+    decoded = speculative_bpe.decode(ids, "ids", tokenizer)
+    return decoded.select(
+        "doc_id",
+        speculative_bpe.count_ids("ids").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
