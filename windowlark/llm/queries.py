@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowlark.llm import bloom_dedup, bpe, entropy_mix, language_svm, line_templates, order_minhash, projected_search, speculative_bpe, training_order, url_rules, warc
+from windowlark.llm import bloom_dedup, bpe, conversation_repair, entropy_mix, language_svm, line_templates, order_minhash, projected_search, speculative_bpe, training_order, url_rules, warc
 from windowlark.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,54 @@ def _(spark, folder):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+#: Oracle of the repair: the same automaton, with whole audit strings and bodies as carried values.
+_REPAIR_SQL = r"""WITH RECURSIVE
+crc AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(n))),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_concat([4294967295],
+            list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+            lambda c, b: xor(crc.t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS kind FROM conversations, crc),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+            CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM keyed),
+placed AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+            row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM hurt),
+faults AS (SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+            WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault,
+            lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM placed),
+moves AS (SELECT * FROM (VALUES (0, 0, 0, ''), (0, 1, 2, 'user:'), (0, 2, 3, 'user:' || chr(10) || 'assistant:'), (1, 0, 1, ''), (1, 1, 2, 'user:'),
+            (1, 2, 3, 'user:' || chr(10) || 'assistant:'), (2, 0, 2, ''), (2, 1, 3, 'assistant:'), (2, 2, 2, 'assistant:' || chr(10) || 'user:'),
+            (3, 0, 3, ''), (3, 1, 2, 'user:'), (3, 2, 3, 'user:' || chr(10) || 'assistant:')) m(q, k, mid, added)),
+edits AS (SELECT * FROM (VALUES (0, 'K', 's', 1), (0, 'K', 'u', 2), (1, 'K', 'u', 2), (3, 'K', 'u', 2), (2, 'K', 'a', 3),
+            (0, 'R', NULL, 2), (1, 'R', NULL, 2), (2, 'R', NULL, 3), (3, 'R', NULL, 2),
+            (0, 'D', NULL, 0), (1, 'D', NULL, 1), (2, 'D', NULL, 2), (3, 'D', NULL, 3)) e(mid, letter, initial, to_q)),
+states AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0, 'audit': '', 'body': ''} AS best FROM faults
+    UNION ALL
+    SELECT s.conv_id, s.i + 1, e.to_q, min({
+        'cost': s.best.cost + 2 * k + CASE letter WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN letter <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END,
+        'audit': s.best.audit || repeat('I', k) || letter,
+        'body': array_to_string(list_filter([s.best.body, added, CASE letter WHEN 'D' THEN '' WHEN 'K' THEN role || ':' || text
+            ELSE CASE to_q WHEN 3 THEN 'assistant:' ELSE 'user:' END || text END], lambda x: x <> ''), chr(10))})
+    FROM states s JOIN faults f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1 JOIN moves m ON m.q = s.q JOIN edits e ON e.mid = m.mid
+    WHERE (e.initial IS NULL OR e.initial = f.initial) AND (letter = 'D' OR fault IS NULL OR fault = 'truncated') GROUP BY s.conv_id, s.i, e.to_q),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank,
+            count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal
+           FROM faults GROUP BY conv_id),
+ends AS (SELECT s.conv_id, min({'cost': s.best.cost + 2 * k, 'audit': s.best.audit || repeat('I', k),
+            'body': array_to_string(list_filter([s.best.body, added], lambda x: x <> ''), chr(10))}) AS best
+         FROM states s JOIN counts c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.n = s.i JOIN moves m ON m.q = s.q WHERE m.mid IN (0, 3) GROUP BY s.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+    coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(e.best.cost, 0)::BIGINT AS cost,
+    coalesce(e.best.audit, '') AS audit, sha256(coalesce(e.best.body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+    LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
+@query("op12_conversation_repair", _REPAIR_SQL)
+def _(spark, folder):
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    repaired = conversation_repair.repair_conversations(conversation_repair.damaged(rows))
+    return conversation_repair.audit_all(rows, conversation_repair.audit_conversations(repaired))
