@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowlark.llm import bloom_dedup, bpe, conversation_repair, entropy_mix, language_svm, line_templates, order_minhash, projected_search, speculative_bpe, training_order, url_rules, warc
+from windowlark.llm import bloom_dedup, bpe, conversation_repair, entropy_mix, language_svm, line_templates, order_minhash, projected_search, source_divergence, speculative_bpe, training_order, url_rules, warc
 from windowlark.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +215,28 @@ def _(spark, folder):
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     repaired = conversation_repair.repair_conversations(conversation_repair.damaged(rows))
     return conversation_repair.audit_all(rows, conversation_repair.audit_conversations(repaired))
+
+
+@query(
+    "op11_source_divergence",
+    r"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        occurrences AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM occurrences GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+        uses AS (SELECT lang, source, term, count(*) AS n FROM occurrences SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+        groups AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN uses USING (lang, source) GROUP BY ALL),
+        shares AS (SELECT lang, source, term, coalesce(u.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(u.n, 0) + 1)) // (g.total + v) AS p,
+            1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + v) AS q
+            FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN uses u USING (lang, source, term)),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM shares WHERE n > 0 AND p > q)
+        SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM every
+        QUALIFY part = 'pair' OR rank <= 200""",
+)
+def _(spark, folder):
+    return source_divergence.source_divergence(table(spark, folder, "documents"))
