@@ -32,6 +32,9 @@ MEMO_PIECES = 250_000
 #: Characters of text handled at once; longer texts are cut where no word spans the cut.
 BLOCK_CHARS = 1 << 21
 
+#: Rows of an Arrow batch that are taken out of it at once.
+SLICE_ROWS = 1000
+
 _NEVER = np.iinfo(np.int64).max // 4
 #: White space before a space: elsewhere, cuts at single spaces are word borders.
 _RUN = regex.compile(r"\s ")
@@ -359,6 +362,12 @@ def _strings(column: pa.Array) -> list[str]:
         return [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 _held: list = [None, None]
 
 
@@ -400,7 +409,7 @@ def encode(df: DataFrame, text_col: str, tokenizer: Tokenizer, name: str = "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder_of(shared)
-        for batch in batches:
+        for batch in _slices_of(batches):
             start, size = 0, 0
             done: list[list[bytes]] = []
             block: list[tuple[int, str]] = []
@@ -443,7 +452,7 @@ def decode(df: DataFrame, ids_col: str, tokenizer: Tokenizer, name: str = "decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value
         get, size = tokens.__getitem__, len(tokens)
-        for batch in batches:
+        for batch in _slices_of(batches):
             column, out = batch.column(at), []
             for row in range(batch.num_rows):
                 value = column[row]
