@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from windowlark.catalog import query
 from windowlark.functions import vector as vec
-from windowlark.operators import features, knn, labels
+from windowlark.operators import descent, features, knn, labels
 from windowlark.operators.aggregates import histogram
 from windowlark.plans import views as v
 
@@ -49,6 +49,28 @@ def _(spark, folder):
     return near.agg((hits >= 0.9 * F.count("*")).alias("enough"), F.count("*").alias("edges"))
 
 
+@query("knn_descent")
+def _(spark, folder):
+    """Built with 30 neighbours, asked for 50."""
+    near = descent.knn_descent(v.vecs(spark, folder), "id", "emb", 50, build=30)
+    return knn.edges_long(near).withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    "knn_descent_recall",
+    v.with_views("vecs", NEAR + """ SELECT truth, true AS enough, count(*) AS edges, round(max(distance), 6) AS farthest
+        FROM e JOIN vecs USING (id) GROUP BY truth"""),
+)
+def _(spark, folder):
+    """By label: at least nine of ten edges of the exact graph, and the exact graph's edges and longest edge."""
+    nodes = v.vecs(spark, folder)
+    near = knn.edges_long(descent.knn_descent(nodes, "id", "emb", 10)).select("id", "neighbor_id", F.lit(1).alias("hit"))
+    true = knn.edges_long(graph(spark, folder)).join(near, ["id", "neighbor_id"], "left").join(nodes.select("id", "truth"), "id")
+    return true.groupBy("truth").agg(
+        (F.count("hit") >= 0.9 * F.count("*")).alias("enough"), F.count("*").alias("edges"), F.round(F.max("distance"), 6).alias("farthest")
+    )
+
+
 @query(
     "knn_others",
     v.with_views(

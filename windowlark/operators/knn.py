@@ -151,11 +151,12 @@ def _keyed(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     return rows.where("vec is not null").withColumns({"h": F.xxhash64("vec"), "g": F.xxhash64(F.lit(1), "vec")})
 
 
-def _choose_pivots(base: DataFrame, count: int, block: int) -> np.ndarray:
-    """A hash-ordered sample, small enough for the driver and every task by ``PIVOT_BYTES``."""
+def _choose_pivots(base: DataFrame, count: int, block: int, seed: int = 0) -> np.ndarray:
+    """A hash-ordered sample, small enough for the driver and every task by ``PIVOT_BYTES``; other seeds, other samples."""
     width = max(1, base.select(F.size("vec")).first()[0]) if count else 1
     wanted = max(1, min(PIVOT_BYTES // (8 * width), math.ceil(PIVOTS_PER_BLOCK * count / block), 4 * math.isqrt(count) + 1))
-    rows = base.select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(wanted).collect()
+    mixed = F.xxhash64("rep", F.lit(seed)) if seed else F.xxhash64("rep")
+    rows = base.select("rep", "vec").orderBy(mixed, "rep").limit(wanted).collect()
     return np.array([r["vec"] for r in rows], dtype=np.float64)
 
 
@@ -412,6 +413,13 @@ def _neighbors(
     folded = folded_base if alone else materialize(fold_equal(queries, id_col, vec, 1))
     pairs = _search(folded, base_blocks, pivots, want, probes)
 
+    return _open(pairs, queries, folded, folded_base, id_col, vec, want, k, drop_self=alone and not include_self)
+
+
+def _open(
+    pairs: DataFrame, queries: DataFrame, folded: DataFrame, folded_base: DataFrame, id_col: str, vec: str, want: int, k: int, drop_self: bool
+) -> DataFrame:
+    """Neighbour lists of rows from (rep, base_rep, distance) pairs of distinct vectors."""
     nearest = Window.partitionBy("rep").orderBy("distance", "base_rep")
     few = pairs.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= want)
     ids = folded_base.select(F.col("rep").alias("base_rep"), "same")
@@ -425,7 +433,7 @@ def _neighbors(
     # back from distinct vectors to rows, by key only
     owned = folded.select("rep", "h", "g").join(lists, "rep")
     rows = _keyed(queries, id_col, vec).drop("vec").join(owned, ["h", "g"]).select("id", "near")
-    if alone and not include_self:
+    if drop_self:
         rows = rows.withColumn("near", F.filter("near", lambda e: e["neighbor_id"] != F.col("id")))
     # a graph is read several times (votes, distances, gaps) but must be searched once
     return materialize(

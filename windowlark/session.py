@@ -69,6 +69,17 @@ def release() -> None:
 atexit.register(release)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing will read them again: the last round of a loop, say."""
+    for df in tables:
+        own = session_folder(df.sparkSession).split(":", 1)[-1].lstrip("/")
+        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if path.split(":", 1)[-1].lstrip("/").rpartition("/")[0].endswith(own):
+                folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(conf).delete(folder, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
