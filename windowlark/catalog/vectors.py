@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from windowlark.catalog import query
 from windowlark.functions import vector as vec
-from windowlark.operators import descent, features, knn, labels
+from windowlark.operators import descent, features, graphs, knn, labels
 from windowlark.operators.aggregates import histogram
 from windowlark.plans import views as v
 
@@ -339,6 +339,26 @@ def _(spark, folder):
     return features.closeness(tree, "leaf", "grp").select("node", F.round("closeness", 6).alias("closeness"))
 
 
+@query(
+    "closeness_graph",
+    """WITH RECURSIVE e AS (SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+         UNION ALL SELECT 'n' || n_nationkey, 'n' || (n_nationkey + 1) % 25 FROM nation),
+       u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+       walk AS (SELECT DISTINCT a AS s, a AS t, 0 AS d FROM u UNION SELECT w.s, u.b, w.d + 1 FROM walk w JOIN u ON w.t = u.a WHERE w.d < 12),
+       sp AS (SELECT s, t, min(d) AS d FROM walk GROUP BY s, t), n AS (SELECT count(DISTINCT a) AS n FROM u)
+       SELECT s AS node, count(*) AS reach, CAST(sum(d) AS BIGINT) AS distances,
+         round((count(*) - 1) / sum(d) * (count(*) - 1) / (any_value(n) - 1), 9) AS closeness FROM sp, n GROUP BY s""",
+)
+def _(spark, folder):
+    """Suppliers on nations, nations on regions and in a ring: a graph with cycles, small enough to be counted exactly."""
+    supplier, nation = v.table(spark, folder, "supplier"), v.table(spark, folder, "nation")
+    tag = lambda kind, key: F.concat(F.lit(kind), key.cast("string"))
+    edges = supplier.select(tag("s", F.col("s_suppkey")).alias("src"), tag("n", F.col("s_nationkey")).alias("dst"))
+    edges = edges.union(nation.select(tag("n", F.col("n_nationkey")), tag("r", F.col("n_regionkey"))))
+    edges = edges.union(nation.select(tag("n", F.col("n_nationkey")), tag("n", (F.col("n_nationkey") + 1) % 25)))
+    return graphs.closeness_edges(edges, lg_k=16).withColumn("closeness", F.round("closeness", 9))
+
+
 @query(
     "closeness_added",
     v.with_views(
