@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from windowlark.catalog import query
 from windowlark.operators import aggregates as agg
+from windowlark.operators import itemsets
 from windowlark.plans import views as v
 
 
@@ -228,6 +229,44 @@ def _(spark, folder):
     )
 
 
+_SETS = """, n AS (SELECT count(DISTINCT doc) AS docs FROM tags),
+  s AS (SELECT [tag] AS items, count(*) AS freq FROM tags GROUP BY tag
+    UNION ALL SELECT [a.tag, b.tag], count(*) FROM tags a JOIN tags b ON a.doc = b.doc AND a.tag < b.tag GROUP BY a.tag, b.tag
+    UNION ALL SELECT [a.tag, b.tag, c.tag], count(*) FROM tags a JOIN tags b ON a.doc = b.doc AND a.tag < b.tag JOIN tags c ON a.doc = c.doc AND b.tag < c.tag
+      GROUP BY a.tag, b.tag, c.tag
+    UNION ALL SELECT [a.tag, b.tag, c.tag, d.tag], count(*) FROM tags a JOIN tags b ON a.doc = b.doc AND a.tag < b.tag JOIN tags c ON a.doc = c.doc AND b.tag < c.tag
+      JOIN tags d ON a.doc = d.doc AND c.tag < d.tag GROUP BY a.tag, b.tag, c.tag, d.tag),
+  f AS (SELECT items, freq FROM s, n WHERE freq >= 0.001 * docs)"""
+
+
+@query("freq_sets", v.with_views("tags", _SETS + " SELECT array_to_string(items, ',') AS items, CAST(len(items) AS INTEGER) AS size, freq FROM f"))
+def _(spark, folder):
+    """Sets of up to four items in a thousandth of the baskets."""
+    sets = agg.collect_distinct(v.tags(spark, folder), ["doc"], "tag", "tags")
+    found = itemsets.frequent_sets(sets, "tags", 0.001)
+    return found.select(F.array_join("items", ",").alias("items"), F.size("items").alias("size"), "freq")
+
+
+@query(
+    "freq_rules",
+    v.with_views(
+        "tags",
+        _SETS + """, w AS (SELECT items, freq, unnest(items) AS consequent FROM f WHERE len(items) > 1),
+          r AS (SELECT w.consequent, w.freq, p.items, w.freq / p.freq AS confidence, o.freq AS own FROM w
+            JOIN f p ON p.items = list_filter(w.items, lambda x: x <> w.consequent) JOIN f o ON o.items = [w.consequent])
+          SELECT array_to_string(items, ',') AS antecedent, consequent, freq, round(confidence, 9) AS confidence, round(confidence / (own / docs), 9) AS lift
+          FROM r, n WHERE confidence >= 0.2""",
+    ),
+)
+def _(spark, folder):
+    """Rules with one item as consequent, at a confidence of a fifth."""
+    sets = agg.collect_distinct(v.tags(spark, folder), ["doc"], "tag", "tags")
+    rules = itemsets.association_rules(itemsets.frequent_sets(sets, "tags", 0.001), sets.count(), 0.2)
+    return rules.select(
+        F.array_join("antecedent", ",").alias("antecedent"), "consequent", "freq", F.round("confidence", 9).alias("confidence"), F.round("lift", 9).alias("lift")
+    )
+
+
 @query(
     "label_prior",
     v.with_views(

@@ -10,6 +10,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from windowlark.operators.itemsets import frequent_sets
 from windowlark.operators.ordered import group_position
 
 
@@ -139,11 +140,11 @@ def frequent_itemsets(
 ) -> DataFrame:
     """Item sets of ``min_size`` to ``max_size`` items by frequency.
 
-    Pairs are counted directly: items that are not frequent go, pairs are made in the row and counted map-side. Larger
-    sets come from parallel FP-growth.
+    Up to four items they are counted over bitmaps, level by level, so a basket with very many items makes no pairs. Sets without such a
+    bound come from parallel FP-growth.
     """
-    if (min_size, max_size) == (2, 2):
-        return _frequent_pairs(df, items, support)
+    if max_size is not None and max_size <= 4:
+        return frequent_sets(df, items, support, min_size, max_size)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     growth = FPGrowth(itemsCol=items, minSupport=support, minConfidence=confidence, numPartitions=parts)
     model = growth.fit(df.select(items))
@@ -151,17 +152,6 @@ def frequent_itemsets(
     return model.freqItemsets.where(sizes).withColumn("items", F.array_sort("items"))
 
 
-def _frequent_pairs(df: DataFrame, items: str, support: float) -> DataFrame:
-    sets = df.select(F.monotonically_increasing_id().alias("_row"), F.array_distinct(items).alias("_items"))
-    least = sets.agg(F.ceil(F.count("*") * support)).scalar()
-    singles = sets.select("_row", F.explode("_items").alias("_item"))
-    common = singles.groupBy("_item").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("_item")
-    kept = singles.join(common, "_item").groupBy("_row").agg(F.array_sort(F.collect_list("_item")).alias("_items"))
-    later = lambda x, i: F.transform(F.slice("_items", i + 2, F.size("_items")), lambda y: F.array(x, y))
-    pairs = kept.select(F.explode(F.flatten(F.transform("_items", later))).alias("items"))
-    return pairs.groupBy("items").agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
-
-
 def label_prior(df: DataFrame, labels: str) -> DataFrame:
     """Share of each label over all occurrences, a label counted once per row."""
     counts = count_by(df.select(F.explode(F.array_distinct(labels)).alias("label")), ["label"])
