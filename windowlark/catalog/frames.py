@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from windowlark.catalog import query
 from windowlark.functions.vector import energy
 from windowlark.operators import frames as fr
+from windowlark.operators import series
 from windowlark.operators.labels import loudest_channel
 from windowlark.plans import views as v
 
@@ -23,6 +24,19 @@ def _(spark, folder):
     return cut.select("vec_id", "index", "start", "ref_time", F.posexplode("window").alias("pos", "x"))
 
 
+@query(
+    "slice_windows_long",
+    """WITH w AS (SELECT vec_id, embedding, CAST(w AS BIGINT) AS "index", w * 10 AS off FROM embeddings, range(0, 6) t(w))
+       SELECT vec_id, "index", off / 5 AS start, CAST("index" * 3 AS DOUBLE) AS ref_time, CAST(p AS INTEGER) AS pos,
+              COALESCE(CAST(embedding[off + p + 1] AS DOUBLE), 0.0) AS x FROM w, range(0, 15) s(p)""",
+)
+def _(spark, folder):
+    """The same windows from rows of seven samples each, cut across their borders."""
+    chunks = series.chunk_arrays(v.table(spark, folder, "embeddings"), "embedding", ["vec_id"], 7)
+    cut = series.slice_windows_long(chunks, ["vec_id"], rate=5, seconds=3, step=2)
+    return cut.select("vec_id", "index", "start", "ref_time", F.posexplode("window").alias("pos", "x"))
+
+
 @query(
     "build_sequences",
     v.with_views(
@@ -161,7 +175,8 @@ def _(spark, folder):
     v.with_views(
         "clips",
         _TOP.format("DESC")
-        + """ SELECT e.vec_id, e.stem, e.start_time, e."index", round(x, 6) + 0.0 AS score FROM e JOIN k ON e.stem = k.stem AND e."index" = k."index" """,
+        + """ SELECT c.vec_id, c.stem, c.start_time, k."index", round(CAST(c.embedding[k."index" + 1] AS DOUBLE), 6) + 0.0 AS score
+             FROM clips c JOIN k ON c.stem = k.stem""",
     ),
 )
 def _(spark, folder):
