@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from windowlark.catalog import query
 from windowlark.functions import vector as vec
-from windowlark.operators import descent, features, graphs, knn, labels
+from windowlark.operators import descent, features, graphs, knn, labels, projection
 from windowlark.operators.aggregates import histogram
 from windowlark.plans import views as v
 
@@ -322,6 +322,22 @@ def _(spark, folder):
     return out.select("vec_id", F.size("projected").alias("n"), F.round(vec.energy("projected"), 6).alias("energy"))
 
 
+@query(
+    "pca_energy",
+    """WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
+       m AS (SELECT dim, avg(x) AS m, var_samp(x) AS var FROM x GROUP BY dim)
+       SELECT vec_id, round(sum((x - m) * (x - m)), 6) AS energy, (SELECT round(sum(var), 6) FROM m) AS total, true AS explained FROM x JOIN m USING (dim) GROUP BY vec_id""",
+)
+def _(spark, folder):
+    """What a vector has along the components and off them adds up to its distance from the mean; 0.9 of all variance is along them."""
+    e = v.table(spark, folder, "embeddings")
+    found = projection.fit_components(e, "embedding", variance=0.9)
+    return e.select(
+        "vec_id", F.round(vec.energy(found.apply("embedding")) + found.left_over("embedding"), 6).alias("energy"), F.round(F.lit(found.total), 6).alias("total"),
+        F.lit(bool(0.9 <= found.shares.sum() + 1e-9 and found.shares[:-1].sum() < 0.9)).alias("explained"),
+    )
+
+
 _TREE = """, e AS (SELECT leaf AS a, grp AS b FROM taxonomy UNION SELECT grp, 'root' FROM taxonomy),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 walk AS (SELECT DISTINCT a AS s, a AS t, 0 AS d FROM u UNION SELECT w.s, u.b, w.d + 1 FROM walk w JOIN u ON w.t = u.a WHERE w.d < 4),

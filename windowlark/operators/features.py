@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import PCA, UnivariateFeatureSelector
+from pyspark.ml.feature import UnivariateFeatureSelector
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from windowlark.operators.projection import fit_components
+
 
 def as_vector(df: DataFrame, vec: str, name: str = "features") -> DataFrame:
     return df.withColumn(name, array_to_vector(F.col(vec).cast("array<double>")))
@@ -32,23 +34,8 @@ def standard_scale(df: DataFrame, vec: str, name: str | None = None) -> DataFram
 
 
 def pca(df: DataFrame, vec: str, name: str = "projected", k: int | None = None, variance: float | None = None) -> DataFrame:
-    """Projection to ``k`` components, or to the fewest that explain a share of the variance (K8)."""
-    ready = as_vector(df, vec, "_x")
-    if k is None:
-        size = int(ready.select(F.size(vec)).first()[0])
-        model = PCA(k=size, inputCol="_x", outputCol="_y").fit(ready)
-        k, seen = 0, 0.0
-        for share in model.explainedVariance.toArray():
-            k, seen = k + 1, seen + float(share)
-            if seen >= variance:
-                break
-    else:
-        model = PCA(k=k, inputCol="_x", outputCol="_y").fit(ready)
-    projected = model.transform(ready)
-    # centred as in the usual definition; the fitted model only rotates
-    mean = projected.select(Summarizer.mean(F.col("_y")).alias("m")).select(vector_to_array("m")).scalar()
-    centred = F.zip_with(vector_to_array("_y"), F.col("_mean"), lambda a, m: a - m)
-    return projected.withColumn("_mean", mean).withColumn(name, F.slice(centred, 1, k)).drop("_x", "_y", "_mean")
+    """Centred coordinates along ``k`` components, or along the fewest that explain a share of the variance (K8)."""
+    return df.withColumn(name, fit_components(df, vec, k, variance).apply(vec))
 
 
 def anova_f(df: DataFrame, vec: str, label: str) -> DataFrame:
