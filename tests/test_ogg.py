@@ -92,8 +92,9 @@ def test_inventory(spark, tmp_path):
         (tmp_path / species).mkdir()
         for i, s in enumerate((15, 2)):
             (tmp_path / species / f"XC{i}.ogg").write_bytes(stream(granules=(10, 32000 * s)))
+    (tmp_path / "foo" / "a b#1.ogg").write_bytes(stream(granules=(10, 32000)))
     (tmp_path / "foo" / "none.ogg").write_bytes(b"text")
     inventory = media.media_inventory(spark, f"{tmp_path}/*/*.ogg", ".ogg")
     rows = {r.filename: r.duration for r in inventory.collect()}
-    assert rows["bar/XC0.ogg"] == 15.0 and rows["foo/none.ogg"] is None and len(rows) == 7
-    assert media.inventory_summary(inventory).first().total_sec == 51.0
+    assert rows["bar/XC0.ogg"] == 15.0 and rows["foo/none.ogg"] is None and len(rows) == 8 and rows["foo/a b#1.ogg"] == 1.0
+    assert media.inventory_summary(inventory).first().total_sec == 52.0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -170,7 +171,7 @@ def _durations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
         for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
-            where, name = fs.FileSystem.from_uri(path)
+            where, name = fs.FileSystem.from_uri(quote(path, safe="/:="))
             with where.open_input_file(name) as source:
                 found.append(seconds(source, length))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "duration"])
