@@ -239,3 +239,22 @@ def search_penalty(
     best = max(regs, key=lambda r: np.mean([x[2] for x in results if x[0] == r]))
     table = df.sparkSession.createDataFrame(results, "reg double, fold int, average_precision double")
     return fit_labels(df, vec, labels, classes, best, tol=tol), table
+
+
+def search_penalty_held(
+    df: DataFrame, vec: str, labels: str, classes: Sequence[str], regs: Sequence[float], held: str, tol: float = 1e-5, max_passes: int = 100
+) -> tuple[list[LabelModels], list[float]]:
+    """Models of every penalty, fitted in the same passes on rows where ``held`` is not true, and their macro average precision on the others."""
+    rows = materialize(_prepared(df.withColumn("_fold", F.coalesce(F.col(held), F.lit(False)).cast("int")), vec, labels, classes, None, "_fold"))
+    grid = [(float(r), c) for r in regs for c in range(len(classes))]
+    reg, label = np.array([g[0] for g in grid]), np.array([g[1] for g in grid])
+    found, _, passes = _fit_columns(rows, len(classes), label, np.full(len(grid), 1), reg, tol, max_passes)
+    discard(rows)
+    models, scores = [], []
+    for i in range(len(regs)):
+        own = found[i * len(classes) : (i + 1) * len(classes)]
+        models.append(LabelModels(list(classes), own[:, :-1], own[:, -1], passes))
+        test = df.where(held).select(F.col(labels).alias("truth"), models[-1].scores(vec).alias("scores"))
+        precision = macro_average_precision(test, "scores", "truth", list(classes)).first()[0]
+        scores.append(float("nan") if precision is None else float(precision))
+    return models, scores
