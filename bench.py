@@ -30,6 +30,7 @@ HEADLINE = [
     "restrict_labels", "training_v6", "training_v7", "relabel_v6", "row_id", "moving_avg3", "split_stratified",
     "average_precision", "macro_metrics", "freq_pairs", "standard_scale", "anova_f", "class_series", "neighbor_table",
     "dedupe_keys", "knn_probe", "slice_windows", "training_v1",
+    "slice_windows_long", "pca_project", "freq_sets", "closeness_graph", "fit_labels", "boosted_splits", "knn_descent",
 ]
 
 
