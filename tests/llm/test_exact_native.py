@@ -121,7 +121,7 @@ def own_words(i, n=6):
 def test_digit_fields_do_not_count_against_a_template(spark):
     """Lines with many figures recur by their words, and lines of figures only by their wording."""
     rows = [(i, f"{own_words(i)}\nPage {i} of 12\nCopyright 2024 Example Inc.\n030 1234 5678\n7{i} 8{i} 9{i}", "x") for i in range(12)]
-    got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(docs_of(spark, rows), full=True).collect()}
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(docs_of(spark, rows)).collect()}
     for i, text, _ in rows:
         lines = text.split("\n")
         assert got[i] == (text if i == 0 else "\n".join([lines[0], lines[4]]))
@@ -133,7 +133,7 @@ def test_frequent_values_stay_variable(spark):
     foot = "this page was made for {} by the branch in {} and checked"
     rows = [(i, foot.format(word(i), word(i // 12)), "x") for i in range(288)]
     rows += [(1000 + i, f"this page was sent out from an {word(i)} office of our old company", "x") for i in range(40)]
-    got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(docs_of(spark, rows), full=True).collect()}
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(docs_of(spark, rows)).collect()}
     assert {i for i, text in got.items() if text} == {0, 1000}
 
 
@@ -145,7 +145,7 @@ def test_long_lines_recur_from_two_documents(spark):
     rows = [(i, f"{own_words(i)}\n{passage}\n{short}\n{figures(i)}", "x") for i in range(3)]
     rows += [(5 + i, f"{own_words(5 + i)}\n{other} {'xy'[i]}", "x") for i in range(2)]
     rows += [(10 + i, f"{own_words(10 + i)}\n{figures(99)}", "x") for i in range(2)]
-    got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(docs_of(spark, rows), full=True).collect()}
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(docs_of(spark, rows)).collect()}
     for i, text, _ in rows:
         lines = text.split("\n")
         assert got[i] == (text if i in (0, 5, 10) else lines[0] if i in (6, 11) else "\n".join([lines[0], *lines[2:]]))
@@ -156,6 +156,20 @@ def test_repeated_rows_are_one_document(spark):
     assert line_templates.drop_recurring_lines(docs_of(spark, rows), counts=True).where("n_dropped > 0").count() == 0
 
 
+def test_line_columns_may_clash(spark, monkeypatch):
+    """Columns named as the helper columns stay; counts replace theirs. Joins instead of a broadcast change nothing."""
+    monkeypatch.setattr(line_templates, "LEAF_ROW_BYTES", 1 << 40)
+    foot = "Printed on page {} of the annual report by the office"
+    names = ("row", "key", "gone", "_row", "_key", "_gone", "n_lines", "n_dropped", "line", "leaf", "doc")
+    docs = docs_of(spark, [(i, f"{own_words(i)}\n{foot.format(own_words(i, 1))}", "x") for i in range(12)])
+    docs = docs.select("*", *[F.lit(f"kept {n}").alias(n) for n in names])
+    plain = line_templates.drop_recurring_lines(docs)
+    assert plain.columns == docs.columns
+    assert all(r[n] == f"kept {n}" for r in plain.collect() for n in names)
+    counted = line_templates.drop_recurring_lines(docs, counts=True).collect()
+    assert [(r.n_lines, r.n_dropped, r["gone"]) for r in sorted(counted)] == [(2, 0 if i == 0 else 1, "kept gone") for i in range(12)]
+
+
 def targets_by_hand(sizes, weights=(5, 2, 1), most=3):
     names = sorted([s for s in sizes if s is not None]) + ([None] if None in sizes else [])
     weight = {s: weights[i % 3] for i, s in enumerate(names)}

@@ -1,18 +1,17 @@
 """Line deduplication by a log-template tree, in DataFrame operations only.
 
 The tree has fixed depth: a line goes to the leaf of its token count and its first LEAD tokens, tokens with a digit read
-as a variable field. In a leaf a token is constant at its position if at least ``min_docs`` lines (one per
-document and wording) have it there; all other tokens are variable fields. The constants of a line, with their
-positions, are its template. Templates that enough documents share, and that are constant enough, are
-recurring: their first line (smallest document, then line) stays, all others are dropped. That is the rule of the SQL
-beside ``op7_line_templates``. With ``full`` tokens with a digit are no part of the share of constants, of which a line needs
-one at least, and a line that has too few is its own template. Of the constants of a line only those count that are at
-least half as frequent as its ``min_constant`` most frequent ones, so that values of a variable field stay variable in
-however many documents each of them is. Lines of more than LONG tokens recur from LONG_DOCS documents on, by their wording, or
-by a template with as many constants as one of LONG words must have.
-
-Nothing depends on an order of arrival, so the tree is built by counting: leaves and lines are counted as hashes,
-and tokens are only taken apart for lines, each wording once, whose leaf is common enough to recur.
+as a variable field. In a leaf a token without a digit is constant at its position if at least ``min_docs`` lines (one per
+document and wording) have it there. Of the constants of a line only those count that are at least half as frequent as
+its ``min_constant`` most frequent ones, so that values of a variable field stay variable in however many documents each of
+them is; with their positions they are its template. Digit tokens are no part of the share of constants, of which a
+line needs one at least; a line that has too few is its own template. Lines of more than LONG tokens recur from LONG_DOCS
+documents on, by their wording, or by a template with as many constants as one of LONG words must have. Of a recurring
+template the first line (smallest document, then line) stays, all others are dropped.
+
+Nothing depends on an order of arrival, so the tree is built by counting: leaves and lines are counted as hashes, and
+tokens are only taken apart for lines, each wording once, whose leaf is common enough to recur and holds another
+wording: alone in its leaf a wording can only recur as it stands, which its count decides.
 """
 
 from __future__ import annotations
@@ -20,16 +19,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windowlark.llm.support import whole
-from windowlark.session import materialize
+from windowlark.llm.support import fresh, small_enough, whole
+from windowlark.session import discard, materialize
 
 MIN_DOCS = 10
 MIN_CONSTANT = 0.8
 LEAD = 3
-#: Lines of more tokens do not repeat by chance: with ``full`` they recur from LONG_DOCS documents on.
+#: Lines of more tokens do not repeat by chance: they recur from LONG_DOCS documents on.
 LONG, LONG_DOCS = 50, 2
 
 FIELD = "<*>"
+#: Row of a leaf, as a hash relation holds it.
+LEAF_ROW_BYTES = 32
 
 
 def _tokens(line: Column) -> Column:
@@ -41,8 +42,9 @@ def _generalised(token: Column) -> Column:
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
-    """Names a row by id and text; rows alike in both are treated alike."""
-    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), whole(text_col))
+    """Names a row by 128 bits of id and text; rows alike in both are treated alike."""
+    named = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n"))
+    return F.unhex(F.md5(F.concat(named, F.lit("\0"), whole(text_col)).cast("binary")))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -62,67 +64,60 @@ def _two_hashes(line: Column) -> list[Column]:
 
 
 def recurring_lines(
-    docs: DataFrame, id_col: str, text_col: str, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, full: bool = False
+    docs: DataFrame, id_col: str, text_col: str, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT
 ) -> DataFrame:
     """(row, line_no) of the lines to drop."""
     # every line as hashes: narrow, written once, read by each count below
     seen = materialize(
         _lines(docs, id_col, text_col).select("doc", "row", "line_no", "leaf", (F.size("tokens") > LONG).alias("long"), *_two_hashes(F.col("line")))
     )
-    need = F.when(F.col("long"), F.lit(min(LONG_DOCS, min_docs))).otherwise(F.lit(min_docs)) if full else F.lit(min_docs)
-    per_doc = seen.select("leaf", "long", "h1", "h2", "row").distinct()
-    wordings = materialize(per_doc.groupBy("leaf", "long", "h1", "h2").agg(F.count("*").alias("docs")))
-    leaves = materialize(wordings.groupBy("leaf", "long").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= need).select("leaf"))
-
-    # tokens of each wording in a common leaf, once
-    common = _lines(docs, id_col, text_col).select("leaf", "tokens", *_two_hashes(F.col("line"))).join(leaves, "leaf", "left_semi")
-    texts = common.groupBy("leaf", "h1", "h2").agg(F.any_value("tokens").alias("tokens"))
-    words = materialize(texts)
+    need = F.when(F.col("long"), F.lit(min(LONG_DOCS, min_docs))).otherwise(F.lit(min_docs))
+    line = ["leaf", "h1", "h2"]
+    per_doc = seen.select(*line, "long", "row").distinct()
+    wordings = materialize(per_doc.groupBy(*line, "long").agg(F.count("*").alias("docs")))
+    per_leaf = wordings.groupBy("leaf", "long").agg(F.sum("docs").alias("docs"), F.count("*").alias("n"))
+    leaves = materialize(per_leaf.where((F.col("docs") >= need) & (F.col("n") > 1)).select("leaf"))
+
+    # each wording in such a leaf once; lines travel as they are and are taken apart where they arrive
+    sent = F.broadcast(leaves) if small_enough(leaves, LEAF_ROW_BYTES) else leaves
+    common = _lines(docs, id_col, text_col).select("leaf", "line", *_two_hashes(F.col("line"))).join(sent, "leaf", "left_semi")
+    texts = common.groupBy(*line).agg(F.any_value("line").alias("line"))
+    fixed = F.transform(_tokens(F.col("line")), lambda t: F.when(~t.rlike("[0-9]"), F.xxhash64(t)))
+    words = materialize(texts.join(wordings, line).select(*line, "long", "docs", fixed.alias("tokens")))
     placed = words.select(
-        "leaf", "h1", "h2", (F.size(F.filter("tokens", lambda t: ~t.rlike("[0-9]"))) if full else F.size("tokens")).alias("size"),
-        F.posexplode(F.transform("tokens", lambda t: F.when(~t.rlike("[0-9]"), F.xxhash64(t)))).alias("at", "token"),
-    ).where("token IS NOT NULL")
-    counted = placed.join(wordings, ["leaf", "h1", "h2"])
-    constants = materialize(
-        counted.groupBy("leaf", "long", "at", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= need).select("leaf", "long", "at", "token", "docs")
-    )
-    # a template is the set of (position, constant): two order-free sums of hashes name it
+        *line, "long", "docs", F.size(F.filter("tokens", lambda t: t.isNotNull())).alias("size"), F.posexplode("tokens").alias("at", "token")
+    ).where("token IS NOT NULL")
+    place = ["leaf", "at", "token"]
+    counted = placed.groupBy(*place, "long").agg(F.sum("docs").alias("seen_in")).where(F.col("seen_in") >= need)
+    constants = materialize(counted.select(*place, "seen_in"))
+    # most frequent first; the last of the share that is asked for sets the level
     part = F.xxhash64("at", "token")
-    again = F.xxhash64(part, F.lit(5))
-    held = placed.join(constants, ["leaf", "at", "token"])
-    if full:
-        # most frequent first; the last of the share that is asked for sets the level
-        listed = held.groupBy("leaf", "long", "h1", "h2", "size").agg(
-            F.sort_array(F.collect_list(F.struct("docs", part.alias("p1"), again.alias("p2"))), asc=False).alias("held")
-        )
-        least = F.greatest(F.ceil(F.col("size") * min_constant), F.lit(1)).cast("int")
-        level = F.element_at("held", least)["docs"]
-        kept = F.filter("held", lambda c: c["docs"] * 2 >= F.col("level"))
-        named = listed.where(F.size("held") >= least).withColumn("level", level).withColumn("held", kept)
-        one = lambda p: F.aggregate("held", F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(c[p]))
-        few = F.when(F.size("held") < LONG * min_constant, F.lit(min_docs)).otherwise(need)
-        templates = materialize(named.select("leaf", "h1", "h2", one("p1").alias("t1"), one("p2").alias("t2"), few.alias("need")))
-    else:
-        templates = materialize(
-            held.groupBy("leaf", "h1", "h2", "size")
-            .agg(F.bit_xor(part).alias("t1"), F.bit_xor(again).alias("t2"), F.count("*").alias("fixed"))
-            .where(F.col("fixed") >= F.col("size") * min_constant)
-            .select("leaf", "h1", "h2", "t1", "t2", F.lit(min_docs).alias("need"))
-        )
-    if full:
-        # wordings without a template of constants, or with one that needs more documents, recur by themselves
-        own = wordings.where(F.col("docs") >= need).join(
-            templates.select("leaf", "h1", "h2", F.col("need").alias("asks")), ["leaf", "h1", "h2"], "left"
-        ).where(F.col("asks").isNull() | (F.col("asks") > need))
-        templates = templates.unionAll(own.select("leaf", "h1", "h2", F.col("h1").alias("t1"), F.col("h2").alias("t2"), need.alias("need")))
-    hits = materialize(seen.join(templates, ["leaf", "h1", "h2"]).select("leaf", "t1", "t2", "need", "doc", "row", "line_no"))
+    held = placed.select(*line, "long", "size", "at", "token").join(constants, place)
+    listed = held.groupBy(*line, "long", "size").agg(F.sort_array(F.collect_list(F.struct("seen_in", part.alias("part"))), asc=False).alias("held"))
+    least = F.greatest(F.ceil(F.col("size") * min_constant), F.lit(1)).cast("int")
+    level = F.element_at("held", least)["seen_in"]
+    kept = F.filter("held", lambda c: c["seen_in"] * 2 >= F.col("level"))
+    named = listed.where(F.size("held") >= least).withColumn("level", level).withColumn("held", kept)
+    # a template is the set of (position, constant): two order-free sums of hashes name it
+    one = lambda of: F.aggregate("held", F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(of(c["part"])))
+    few = F.when(F.size("held") < LONG * min_constant, F.lit(min_docs)).otherwise(need)
+    shared = materialize(
+        named.select(*line, one(lambda p: p).alias("t1"), one(lambda p: F.xxhash64(p, F.lit(5))).alias("t2"), few.alias("need"))
+    )
+    # wordings without a template of constants, or with one that needs more documents, recur by themselves
+    asks = shared.select(*line, F.col("need").alias("asks"))
+    own = wordings.where(F.col("docs") >= need).join(asks, line, "left").where(F.col("asks").isNull() | (F.col("asks") > need))
+    templates = shared.unionAll(own.select(*line, F.col("h1").alias("t1"), F.col("h2").alias("t2"), need.alias("need")))
+    hits = materialize(seen.join(templates, line).select("leaf", "t1", "t2", "need", "doc", "row", "line_no"))
     key = ["leaf", "t1", "t2"]
     enough = hits.select(*key, "need", "row").distinct().groupBy(*key, "need").count().where(F.col("count") >= F.col("need")).select(*key)
-    place = F.struct(F.col("doc").isNull().alias("n"), "doc", "row", "line_no")
-    first = hits.groupBy(*key).agg(F.min(place).alias("first"))
+    at = F.struct(F.col("doc").isNull().alias("n"), "doc", "row", "line_no")
+    first = hits.groupBy(*key).agg(F.min(at).alias("first"))
     recurring = materialize(first.join(enough, key).select(*key, F.col("first.row").alias("first_row"), F.col("first.line_no").alias("first_no")))
-    stays = F.col("row").eqNullSafe(F.col("first_row")) & (F.col("line_no") == F.col("first_no"))
-    return hits.join(recurring, key).where(~stays).select("row", "line_no")
+    stays = (F.col("row") == F.col("first_row")) & (F.col("line_no") == F.col("first_no"))
+    dropped = materialize(hits.join(recurring, key).where(~stays).select("row", "line_no").distinct())
+    discard(seen, wordings, leaves, words, constants, shared, hits, recurring)
+    return dropped
 
 
 def drop_recurring_lines(
@@ -132,25 +127,29 @@ def drop_recurring_lines(
     min_docs: int = MIN_DOCS,
     min_constant: float = MIN_CONSTANT,
     counts: bool = False,
-    full: bool = False,
+    names: tuple[str, str] = ("n_lines", "n_dropped"),
 ) -> DataFrame:
     """``docs`` with the recurring lines taken out of the text; all rows and columns stay.
 
     Lines end at newlines; what is left is joined by newlines. A text without dropped lines is returned as it was, null
     included. Blank lines stay and count for nothing. Rows that repeat id and text count as one document and get the
     same result, so ids need not be unique or non-null. Documents are counted once per template however often
-    they repeat it; repeats inside one document are dropped as well once it recurs. ``counts`` adds n_lines and
-    n_dropped. ``full`` takes the wider rules above. An empty table stays empty.
+    they repeat it; repeats inside one document are dropped as well once it recurs. ``counts`` adds two columns called
+    ``names``, the lines of the text and those dropped, which replace columns of these names. Others may have any name.
+    An empty table stays empty.
     """
-    drops = recurring_lines(docs, id_col, text_col, min_docs, min_constant, full).distinct()
+    drops = recurring_lines(docs, id_col, text_col, min_docs, min_constant)
+    key, row, gone = fresh(docs, "key", "row", "gone")
     # at most one number per line of a document
-    by_row = materialize(drops.groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("_gone")).withColumnRenamed("row", "_row"))
+    by_row = materialize(drops.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_list("line_no")).alias(gone)))
+    discard(drops)
     lines = F.split(whole(text_col), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    joined = docs.withColumn("_key", _row_key(id_col, text_col)).join(by_row, F.col("_key") == F.col("_row"), "left")
-    extra = [
-        F.size(lines).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
-    ]
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept).alias(text_col)
-    return joined.select(*[text if c == text_col else F.col(c) for c in docs.columns], *(extra if counts else []))
+    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col(gone), i)), "\n")
+    joined = docs.withColumn(key, _row_key(id_col, text_col)).join(by_row, F.col(key) == F.col(row), "left")
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept).alias(text_col)
+    if not counts:
+        return joined.select(*[text if c == text_col else F.col(c) for c in docs.columns])
+    found = (F.size(lines), F.coalesce(F.size(gone), F.lit(0)))
+    extra = [n.cast("bigint").alias(name) for n, name in zip(found, names, strict=True)]
+    replaced = {c.lower() for c in names}
+    return joined.select(*[text if c == text_col else F.col(c) for c in docs.columns if c.lower() not in replaced], *extra)

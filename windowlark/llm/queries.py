@@ -112,14 +112,21 @@ lines AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10)))
                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM docs),
 filled AS (SELECT *, regexp_split_to_array(trim({_FOLDED}), ' +') AS tokens FROM lines WHERE trim({_FOLDED}) <> ''),
 seen AS (SELECT *, (len(tokens), list_transform(tokens[1:3], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END)) AS leaf FROM filled),
-wordings AS (SELECT leaf, line, any_value(tokens) AS tokens, count(DISTINCT (doc_id, text)) AS docs FROM seen GROUP BY leaf, line),
-placed AS (SELECT leaf, line, docs, len(tokens) AS size, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM wordings
-           WHERE leaf IN (SELECT leaf FROM wordings GROUP BY leaf HAVING sum(docs) >= 10)),
-constants AS (SELECT leaf, place, token FROM placed WHERE NOT regexp_matches(token, '[0-9]') GROUP BY ALL HAVING sum(docs) >= 10),
-templates AS (SELECT leaf, line, list((place, token) ORDER BY place) AS template FROM placed SEMI JOIN constants USING (leaf, place, token)
-              GROUP BY leaf, line, size HAVING count(*) >= size * 0.8),
-hits AS (SELECT leaf, template, doc_id, text, line_no FROM seen JOIN templates USING (leaf, line)),
-recurring AS (SELECT leaf, template, min((doc_id, line_no)) AS first FROM hits GROUP BY leaf, template HAVING count(DISTINCT (doc_id, text)) >= 10),
+wordings AS (SELECT leaf, line, any_value(tokens) AS tokens, count(DISTINCT (doc_id, text)) AS docs, CASE WHEN leaf[1] > 50 THEN 2 ELSE 10 END AS need
+             FROM seen GROUP BY leaf, line),
+placed AS (SELECT * FROM (SELECT leaf, line, docs, need, len(list_filter(tokens, lambda t: NOT regexp_matches(t, '[0-9]'))) AS size,
+           unnest(tokens) AS token, generate_subscripts(tokens, 1)::BIGINT AS place FROM wordings
+           WHERE leaf IN (SELECT leaf FROM wordings GROUP BY leaf, need HAVING sum(docs) >= need)) WHERE NOT regexp_matches(token, '[0-9]')),
+constants AS (SELECT leaf, place, token, sum(docs) AS n FROM placed GROUP BY leaf, place, token, need HAVING sum(docs) >= need),
+held AS (SELECT *, row_number() OVER (PARTITION BY leaf, line ORDER BY n DESC) AS nth FROM placed JOIN constants USING (leaf, place, token)),
+levelled AS (SELECT *, max(CASE WHEN nth = greatest(ceil(size * 0.8::DOUBLE), 1) THEN n END) OVER (PARTITION BY leaf, line) AS level FROM held),
+named AS (SELECT leaf, line, list((place, token) ORDER BY place) AS template, CASE WHEN count(*) < 40 THEN 10 ELSE need END AS asks
+          FROM levelled WHERE n * 2 >= level GROUP BY leaf, line, need),
+templates AS (SELECT leaf, line, template, asks FROM named
+              UNION ALL SELECT leaf, line, [(0::BIGINT, line)], need FROM wordings LEFT JOIN named USING (leaf, line)
+              WHERE docs >= need AND (asks IS NULL OR asks > need)),
+hits AS (SELECT leaf, template, asks, doc_id, text, line_no FROM seen JOIN templates USING (leaf, line)),
+recurring AS (SELECT leaf, template, min((doc_id, line_no)) AS first FROM hits GROUP BY leaf, template, asks HAVING count(DISTINCT (doc_id, text)) >= asks),
 gone AS (SELECT doc_id, text, list(line_no) AS lines FROM (SELECT DISTINCT doc_id, text, line_no FROM hits JOIN recurring USING (leaf, template)
          WHERE (doc_id, line_no) <> first) GROUP BY doc_id, text),
 cleaned AS (SELECT d.doc_id, CASE WHEN g.lines IS NULL THEN d.text ELSE

@@ -21,3 +21,15 @@ def whole(text: Column | str) -> Column:
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a written table stays under the limit; an aggregate over its file footers."""
     return df.count() * row_bytes <= limit
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``df`` has it."""
+    held = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        found.append(name)
+        held.add(name.lower())
+    return found
