@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windowlark.llm import bpe, entropy_mix, language_svm, line_templates, order_minhash
-from windowlark.llm.support import table
+from windowlark.llm.support import fresh, table
 from windowlark.session import materialize
 
 #: Documents whose language is less sure than this go, as do those without any letter and those whose trigrams lie below
@@ -31,9 +31,10 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go; n_chars follows the text; documents of which nothing is left go too."""
-    cleaned = line_templates.drop_recurring_lines(docs, counts=True, full=True)
-    emptied = (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")) == "")
-    size = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars")
+    lines, dropped = fresh(docs, "n_lines", "n_dropped")
+    cleaned = line_templates.drop_recurring_lines(docs, counts=True, names=(lines, dropped))
+    emptied = (F.col(dropped) > 0) & (F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")) == "")
+    size = F.when(F.col(dropped) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars")
     return cleaned.where(~F.coalesce(emptied, F.lit(False))).select(*[size if c == "n_chars" else c for c in docs.columns])
 
 
