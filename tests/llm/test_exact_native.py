@@ -84,6 +84,16 @@ def test_url_rules_brute(spark, many_parts):
         assert (r.rule, r.verdict) == ((best[0] + best[1], best[2]) if best else (None, "allow")), url
 
 
+def test_hosts_of_many_labels(spark):
+    """Work does not grow with the square of the labels; only as many as the deepest rule has are looked at."""
+    many = "a." * 100_000
+    rows = [(1, f"https://{many}example.net/en/x"), (2, f"https://{many}org/fr/"), (3, f"https://{many}/en/"), (4, "https://net")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = spark.createDataFrame([("example.net", "/en/", "allow"), ("net", "", "block"), ("org", "/fr/", "allow")], "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(pages, rules, default="block").collect()}
+    assert got == {1: ("example.net/en/", "allow"), 2: ("org/fr/", "allow"), 3: (None, "block"), 4: ("net", "block")}
+
+
 def test_no_rules_or_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.b/")], "page_id long, url string")
     none = spark.createDataFrame([], "host string, path string, verdict string")

@@ -1,6 +1,7 @@
 """URL allow and block rules by a sort-merge range join, in DataFrame operations only.
 
-Every host is taken apart into its levels, top label first (``net``, ``net.example``, ...). A level and the
+Every host is taken apart into its levels, top label first (``net``, ``net.example``, ...), down to the deepest level
+that has a rule. A level and the
 path make one canonical key, ``net.example#/en/``; a rule is then the interval of keys that start with its
 own key, and the rules of one level are nested intervals. Rule starts, rule ends and URL keys are sorted
 together by range partitions. The sweep pushes a rule at its start, pops it at its end, and a URL key
@@ -73,7 +74,7 @@ def judge_urls(
     A rule fits its host and every subdomain if the path starts with the rule's path. The rule with most
     characters in host and path wins, then the one on the deeper host. No rule: null and ``default``. Null urls and
     urls without ``://`` have empty host and path and fit no rule. Repeated pages are judged one by one.
-    Other columns are not read. With no rules every page gets the default.
+    Other columns are not read. With no rules every page gets the default. Hosts may have any number of labels.
     """
     url = F.col(url_col)
     base = materialize(
@@ -83,10 +84,12 @@ def judge_urls(
         )
     )
     steps = materialize(stack_steps(rules))
-    labels = _turned(F.col("host"))
-    count = F.size(labels)
-    chain = F.transform(F.sequence(F.lit(1), count), lambda i: F.concat_ws(".", F.slice(labels, F.lit(1), i)))
-    levels = base.where("host <> ''").select("row", "path", F.explode(chain).alias("level"))
+    # no rule fits a level deeper than the deepest rule, so a host of any length has no more prefixes than that
+    deepest = steps.agg(F.max(F.size(F.split("level", r"\.", -1)))).first()[0] or 0
+    top_labels = F.slice(_turned(F.col("host")), 1, deepest)
+    hosts = base.where("host <> ''").select("row", "path", top_labels.alias("labels")).where(F.size("labels") > 0)
+    chain = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.concat_ws(".", F.slice("labels", F.lit(1), i)))
+    levels = hosts.select("row", "path", F.explode(chain).alias("level"))
     # levels without any rule cannot be inside an interval
     wanted = levels.join(steps.select("level").distinct(), "level", "left_semi")
     points = wanted.select(
