@@ -58,6 +58,18 @@ def test_warc_round_trip(spark, monkeypatch):
     assert max(len(c.data) for c in chunks) <= warc.CHUNK
 
 
+def test_warc_shares_are_read_in_parallel(spark, monkeypatch):
+    """A task per share, though adaptive execution would merge so small a manifest; numbers do not follow a shuffle."""
+    pages = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "repeat(md5(string(id)), 40) AS html")
+    manifest = warc.archive_pages(pages)
+    assert manifest.count() == 8
+    read = warc.read_archives(manifest, payload=False)
+    spread = read.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in spread) == 400 and len(spread) == 8
+    first, second = (warc.chunk_rows(pages, "page_id", "url", "html").select("row", "page_id").collect() for _ in range(2))
+    assert sorted(first) == sorted(second) and len({r.row for r in first}) == 400
+
+
 def test_warc_without_broadcast_and_empty(spark, monkeypatch):
     monkeypatch.setattr(warc, "small_enough", lambda *a: False)
     pages = spark.createDataFrame([(i, "u", f"{i % 3}") for i in range(9)], "page_id long, url string, html string")

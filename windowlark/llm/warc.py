@@ -28,6 +28,8 @@ from windowlark.session import materialize, work_folder
 CHUNK = 1 << 20
 #: A file is closed past this size and a reader's share of a file is about so large.
 FILE_BYTES, SHARE_BYTES = 1 << 30, 32 << 20
+#: Most read tasks; with more shares than that a task reads several.
+READERS = 20_000
 GZIP_LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 #: Row of a repeated payload: digest, its first page and two counts.
@@ -51,13 +53,14 @@ def chunk_rows(pages: DataFrame, id_col: str, url_col: str, payload_col: str) ->
     """The record table to write: one row per chunk, revisits with one empty chunk.
 
     Pages with equal payloads: the one with the smallest id is the response, pages with other ids (null ids too, if
-    any has an id) are revisits of it. Rows that repeat id and payload are all responses. The table of repeated
+    any has an id) are revisits of it. Rows that repeat id and payload are all responses. Rows are numbered where they are
+    read, before any shuffle, so that a task that runs again gives its records the same numbers. The table of repeated
     payloads is broadcast only if its measured size is under the bound; else it is joined by digest, where
     adaptive execution splits a hot digest.
     """
     payload = F.encode(whole(payload_col), "utf-8")
     base = pages.select(
-        F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("target"), payload.alias("payload"),
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("target"), payload.alias("payload"),
         F.unhex(F.sha1(payload)).alias("digest"),
     )
     firsts = base.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -65,7 +68,7 @@ def chunk_rows(pages: DataFrame, id_col: str, url_col: str, payload_col: str) ->
     sent = F.broadcast(repeats) if small_enough(repeats, REPEAT_ROW_BYTES) else repeats
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     typed = base.join(sent, "digest", "left").select(
-        F.monotonically_increasing_id().alias("row"), "page_id", "target", "digest",
+        "row", "page_id", "target", "digest",
         F.octet_length("payload").cast("bigint").alias("size"), F.when(again, F.col("first")).alias("refers_to"),
         F.when(~again, F.col("payload")).alias("payload"),
     )
@@ -254,7 +257,8 @@ def _records(source, stop: int) -> Iterator[tuple]:
 def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
     """The chunk table of all listed archives; ``payload`` false leaves data null but still digests it.
 
-    A batch holds at most about eight chunks, however long the records. Damaged records and payloads that do
+    There is a task per share (up to READERS), whatever the size of the manifest. A batch holds at most about eight chunks,
+    however long the records. Damaged records and payloads that do
     not match their digest raise an error.
     """
     schema = manifest.sparkSession.createDataFrame([], CHUNKS).schema
@@ -281,7 +285,9 @@ def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
                     if rows:
                         yield table(rows)
 
-    return manifest.select("file", "start", "stop").repartition("file", "start").mapInArrow(run, schema)
+    # a stated number is kept by adaptive execution, which would merge the few bytes of a manifest into one task
+    readers = min(max(manifest.count(), 1), READERS)
+    return manifest.select("file", "start", "stop").repartitionByRange(readers, "file", "start").mapInArrow(run, schema)
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
