@@ -104,8 +104,8 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a pre-token that is not itself a token: lowest rank first, leftmost among equals.
 
     Node i starts at byte i; ``stop[i]`` is where it ends, which is also its right neighbour, and ``left[i]`` its
-    left neighbour. A heap entry packs (rank, i, end of the pair) into one integer. It still stands if the
-    right neighbour of i ends at that end; nodes merged away point at n, whose stop is never an end.
+    left neighbour, ``held[i]`` its token. A heap entry packs (rank, i, end of the pair) into one integer. It still stands
+    if the right neighbour of i ends at that end; nodes merged away point at n, whose stop is never an end.
     """
     n = len(piece)
     bits = n.bit_length()
@@ -113,11 +113,12 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     stop = [*range(1, n + 1), 0]
     left = list(range(-1, n))
     rank_of = ranks.get
-    heap = []
-    for i in range(n - 1):
-        rank = rank_of(piece[i : i + 2])
-        if rank is not None:
-            heap.append(rank << up | i << bits | i + 2)
+    held = [None] * n
+    heap = [
+        rank << up | i << bits | i + 2
+        for i in range(n - 1)
+        if (rank := rank_of(piece[i : i + 2])) is not None
+    ]
     heapify(heap)
     while heap:
         entry = heappop(heap)
@@ -126,7 +127,7 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         mid = stop[i]
         if stop[mid] != end:
             continue
-        stop[i], stop[mid] = end, n
+        stop[i], stop[mid], held[i] = end, n, entry >> up
         if end < n:
             left[end] = i
             rank = rank_of(piece[i : stop[end]])
@@ -139,7 +140,8 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 heappush(heap, rank << up | i << bits | end)
     ids, at = [], 0
     while at < n:
-        ids.append(ranks[piece[at : stop[at]]])
+        rank = held[at]
+        ids.append(ranks[piece[at : at + 1]] if rank is None else rank)
         at = stop[at]
     return ids
 
@@ -160,8 +162,9 @@ class Encoder:
         return array("i", [rank] if rank is not None else merge_bytes(raw, self.merges)).tobytes()
 
     def _piece(self, piece: str) -> bytes:
+        # a piece of one pre-token is remembered as a piece, not as a word too
         found = self.find(piece)
-        return self.words[found[0]] if len(found) == 1 else b"".join(map(self.words.__getitem__, found))
+        return self._word(found[0]) if len(found) == 1 else b"".join(map(self.words.__getitem__, found))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian int32 bytes.
