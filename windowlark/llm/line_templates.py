@@ -33,12 +33,16 @@ FIELD = "<*>"
 LEAF_ROW_BYTES = 32
 
 
-def _tokens(line: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(line, r"[\x09-\x0D]", " ")), " +")
+def _spaced(line: Column) -> Column:
+    """The line with one space between tokens and none around; empty for a blank line."""
+    plain = F.trim(F.translate(line, "\t\n\x0b\x0c\r", " " * 5))
+    # most lines have no run of spaces, and a look for one is cheaper than a pattern
+    return F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain)
 
 
-def _generalised(token: Column) -> Column:
-    return F.when(token.rlike("[0-9]"), F.lit(FIELD)).otherwise(token)
+def _leaf(spaced: Column, n_tokens: Column) -> Column:
+    lead = F.substring_index(spaced, " ", LEAD)
+    return F.xxhash64(n_tokens, F.regexp_replace(lead, "[^ ]*[0-9][^ ]*", FIELD))
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -48,15 +52,15 @@ def _row_key(id_col: str, text_col: str) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per non-blank line: doc, row, line_no, line, its tokens and leaf. Blank lines are never dropped."""
+    """One row per non-blank line: doc, row, line_no, line, spaced, n_tokens and leaf. Blank lines are never dropped."""
     cut = docs.select(
         F.col(id_col).alias("doc"), _row_key(id_col, text_col).alias("row"),
         F.posexplode(F.split(whole(text_col), "\n", -1)).alias("line_no", "line"),
     )
-    kept = cut.where(F.trim(F.regexp_replace("line", r"[\x09-\x0D]", " ")) != "")
-    tokens = kept.withColumn("tokens", _tokens(F.col("line")))
-    lead = F.transform(F.slice("tokens", 1, LEAD), _generalised)
-    return tokens.select("*", F.xxhash64(F.size("tokens"), F.array_join(lead, " ")).alias("leaf"))
+    kept = cut.where(F.col("line").rlike(r"[^ \x09-\x0D]")).withColumn("spaced", _spaced(F.col("line")))
+    # tokens are counted by their spaces, without taking the line apart
+    counted = kept.withColumn("n_tokens", F.octet_length("spaced") - F.octet_length(F.replace("spaced", F.lit(" "), F.lit(""))) + 1)
+    return counted.withColumn("leaf", _leaf(F.col("spaced"), F.col("n_tokens")))
 
 
 def _two_hashes(line: Column) -> list[Column]:
@@ -69,7 +73,7 @@ def recurring_lines(
     """(row, line_no) of the lines to drop."""
     # every line as hashes: narrow, written once, read by each count below
     seen = materialize(
-        _lines(docs, id_col, text_col).select("doc", "row", "line_no", "leaf", (F.size("tokens") > LONG).alias("long"), *_two_hashes(F.col("line")))
+        _lines(docs, id_col, text_col).select("doc", "row", "line_no", "leaf", (F.col("n_tokens") > LONG).alias("long"), *_two_hashes(F.col("line")))
     )
     need = F.when(F.col("long"), F.lit(min(LONG_DOCS, min_docs))).otherwise(F.lit(min_docs))
     line = ["leaf", "h1", "h2"]
@@ -82,7 +86,7 @@ def recurring_lines(
     sent = F.broadcast(leaves) if small_enough(leaves, LEAF_ROW_BYTES) else leaves
     common = _lines(docs, id_col, text_col).select("leaf", "line", *_two_hashes(F.col("line"))).join(sent, "leaf", "left_semi")
     texts = common.groupBy(*line).agg(F.any_value("line").alias("line"))
-    fixed = F.transform(_tokens(F.col("line")), lambda t: F.when(~t.rlike("[0-9]"), F.xxhash64(t)))
+    fixed = F.transform(F.split(_spaced(F.col("line")), " "), lambda t: F.when(~t.rlike("[0-9]"), F.xxhash64(t)))
     words = materialize(texts.join(wordings, line).select(*line, "long", "docs", fixed.alias("tokens")))
     placed = words.select(
         *line, "long", "docs", F.size(F.filter("tokens", lambda t: t.isNotNull())).alias("size"), F.posexplode("tokens").alias("at", "token")
