@@ -114,3 +114,35 @@ def test_no_product_in_the_plan(spark, clustered, capsys):
     graph.explain()
     plan = capsys.readouterr().out
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_exact_search_moves_no_row_per_query_and_block(spark, monkeypatch):
+    """Vectors without structure: every query needs every block, but no written table has a row for each such pair."""
+    written = []
+
+    def counted(df, keep=knn.materialize):
+        table = keep(df)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(knn, "materialize", counted)
+    x = np.random.default_rng(4).normal(size=(600, 32))
+    whole = brute(x, range(600), x, range(600), 5)
+    assert got(knn.knn_exact(frame(spark, x), "id", "emb", 5, block=8)) == whole
+    assert got(knn.knn_probe(frame(spark, x), "id", "emb", 5, probes=10_000, block=8)) == whole
+    assert max(written) <= 600 * 5
+
+
+def test_many_tiles(spark, monkeypatch, clustered):
+    monkeypatch.setattr(knn, "TILE", 16)
+    monkeypatch.setattr(knn, "RUN", 20)
+    monkeypatch.setattr(knn, "MEASURED", 7)
+    ids = np.random.default_rng(2).permutation(len(clustered))
+    assert got(knn.knn_exact(frame(spark, clustered, ids), "id", "emb", 4, False, 16)) == brute(clustered, ids, clustered, ids, 4, False)
+
+
+def test_probes_take_the_nearest_rings(spark):
+    """Two far groups, and as many probes as one has blocks: each row finds its own group whole."""
+    x = np.random.default_rng(6).normal(size=(120, 4)) + np.repeat([[0.0], [500.0]], 60, axis=0)
+    near = got(knn.knn_probe(frame(spark, x), "id", "emb", 5, probes=60, block=4))
+    assert near == brute(x, range(120), x, range(120), 5)

@@ -10,12 +10,14 @@ Shape of the job:
 3. Every query bounds its k-th distance twice: by the pivots whose cells together hold k vectors, then by searching
    the one block whose ring it falls in.
 4. By the triangle inequality a cell, and in it a ring, can only hold a closer vector if its lower bound is within
-   that distance. The query, never a block, is sent to the blocks that pass; blocks are found by an equi-join on the
-   cell, so no list of blocks passes the driver and their number has no limit. A block that many queries visit
-   is copied once per ``VISITS`` of them.
-
-No cross join is planned and no pair of vectors is materialised. What is broadcast are pivots, at most ``PIVOT_BYTES``,
-and three numbers per pivot.
+   that distance. Queries that lie together form a tile; a block is sent once to every tile that has a query for it, and there
+   meets only the queries that still need it, in matrix products. A bound shrinks as blocks are met, and a tile hands on
+   the k nearest of each query only. With ``probes`` a query is sent to the few blocks that it chose instead; a block
+   that many queries choose is copied once per ``VISITS`` of them.
+
+So the exact search moves each vector at most once per tile, however little there is to prune: the number of tiles follows the cores,
+until a tile is full at ``TILE`` queries. No cross join is planned and no pair of vectors is materialised. What is
+broadcast are pivots, at most ``PIVOT_BYTES``, and four numbers per block (28 bytes for up to ``block`` vectors).
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,15 @@ VISITS = 4096
 TOGETHER = 512
 # pivots for each block that the base rows fill: more give tighter rings but smaller blocks
 PIVOTS_PER_BLOCK = 4
-# entries of one distance matrix in a task (32 MB of doubles)
-MATRIX_CELLS = 4_000_000
+# entries of one distance matrix in a task (8 MB of doubles)
+MATRIX_CELLS = 1_000_000
+# queries of one tile of the exact search at most, and at least before there are more tiles than cores
+TILE = 65_536
+SMALL_TILE = 256
+# base vectors that meet a tile in one matrix product
+RUN = 2048
+# vectors that are measured by differences at once
+MEASURED = 16_384
 # relative slack that covers rounding in the distance bounds and in the matrix product
 SLACK = 1e-9
 
@@ -80,32 +89,41 @@ class _Best:
     """The k nearest base vectors so far for every query of a block."""
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, bound: np.ndarray):
-        self.ids, self.q, self.k = ids, q, k
+        self.ids, self.k = ids, k
+        # a last entry of -1/2 meets the square of a base vector: one product then ranks and needs no further pass
+        self.wide = np.hstack([q, np.full((len(q), 1), -0.5)])
+        self.q = self.wide[:, :-1]
+        self.square = np.einsum("ij,ij->i", self.q, self.q)
         self.bound = bound.copy()
         self.dist = np.full((len(ids), k), np.inf)
         self.near = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def meet(self, b_ids: np.ndarray, x: np.ndarray, live: np.ndarray) -> None:
         """Search a base block for the queries in ``live``, a slice at a time."""
+        square = np.einsum("ij,ij->i", x, x)
+        wide = np.hstack([x, square[:, None]])
         step = max(1, MATRIX_CELLS // len(x))
         for a in range(0, len(live), step):
-            self._meet(b_ids, x, live[a : a + step])
+            self._meet(b_ids, x, wide, square.max(), live[a : a + step])
 
-    def _meet(self, b_ids: np.ndarray, x: np.ndarray, live: np.ndarray) -> None:
+    def _meet(self, b_ids: np.ndarray, x: np.ndarray, wide: np.ndarray, largest: float, live: np.ndarray) -> None:
         # the matrix product only preselects; what is near the cut is measured again by differences
-        q = self.q[live]
-        square, room = _squares(q, x)
-        cut = np.square(self.bound[live])[:, None]
-        hit = square <= cut + room
-        if len(x) > self.k and hit.sum() > 4 * self.k * len(live):
-            kth = np.partition(square, self.k - 1, axis=1)[:, self.k - 1 : self.k]
-            hit &= square <= kth + 2 * room
+        together = live[-1] - live[0] + 1 == len(live)
+        score = (self.wide[live[0] : live[-1] + 1] if together else self.wide[live]) @ wide.T
+        own = self.square[live]
+        room = 1e-10 * (own + largest + 1.0)
+        hit = score >= ((own - np.square(self.bound[live]) - room) / 2)[:, None]
+        if len(x) > self.k and np.count_nonzero(hit) > 4 * self.k * len(live):
+            kth = np.partition(score, len(x) - self.k, axis=1)[:, len(x) - self.k]
+            hit &= score >= (kth - room)[:, None]
         at = np.flatnonzero(hit)
         if not len(at):
             return
         rows, cols = at // len(x), at % len(x)
-        d = q[rows] - x[cols]
-        dist = np.sqrt(np.einsum("ij,ij->i", d, d))
+        dist = np.empty(len(at))
+        for a in range(0, len(at), MEASURED):
+            d = self.q[live[rows[a : a + MEASURED]]] - x[cols[a : a + MEASURED]]
+            dist[a : a + MEASURED] = np.sqrt(np.einsum("ij,ij->i", d, d))
         keep = dist <= self.bound[live][rows]
         rows, cols, dist = rows[keep], cols[keep], dist[keep]
         touched, slot = np.unique(rows, return_inverse=True)
@@ -258,13 +276,19 @@ def _cut_blocks(df: DataFrame, pivots: Broadcast, block: int) -> DataFrame:
 
 @dataclass
 class _Cells:
-    """The pivots that have vectors, with the count and the distances of those: one row per pivot."""
+    """The pivots that have vectors, with the count and the distances of those, and the rings of each in order of distance."""
 
     cell: np.ndarray
     pivots: np.ndarray
     n: np.ndarray
     low: np.ndarray
     high: np.ndarray
+    # one entry per ring (a block): its place in the arrays above; rings of cell i start at first[i]
+    first: np.ndarray
+    place: np.ndarray
+    block: np.ndarray
+    ring_low: np.ndarray
+    ring_high: np.ndarray
 
     def upper(self, far: np.ndarray, k: int) -> np.ndarray:
         """For each query a distance within which cells hold k vectors; infinite if there are fewer."""
@@ -274,12 +298,35 @@ class _Cells:
         at = np.take_along_axis(order, enough.argmax(axis=1)[:, None], axis=1)
         return np.where(enough[:, -1], np.take_along_axis(reach, at, axis=1)[:, 0], np.inf)
 
+    def home(self, own: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """The ring of cell ``own`` that holds the distance ``r``: the last that starts at or below it, else the first."""
+        out = np.empty(len(own), dtype=np.int64)
+        for c in np.unique(own):
+            at = np.flatnonzero(own == c)
+            starts = self.ring_low[self.first[c] : self.first[c + 1]]
+            out[at] = self.first[c] + np.maximum(np.searchsorted(starts, r[at], side="right") - 1, 0)
+        return out
+
+    def gap(self, q: np.ndarray, rings: np.ndarray) -> np.ndarray:
+        """Lower bounds of the distances of queries to the vectors of some rings."""
+        cells, at = np.unique(self.place[rings], return_inverse=True)
+        near, far = _pivot_range(q, self.pivots[cells])
+        return np.maximum(near[:, at] - self.ring_high[rings], self.ring_low[rings] - far[:, at])
+
 
 def _cells(blocks: DataFrame, pivots: np.ndarray) -> _Cells:
-    """At most one row per pivot reaches the driver."""
-    rows = blocks.groupBy("cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).toPandas().sort_values("cell")
-    cell = rows["cell"].to_numpy(dtype=np.int64)
-    return _Cells(cell, pivots[cell], *[rows[c].to_numpy() for c in ("n", "low", "high")])
+    """One row per block, without its vectors, reaches the driver."""
+    rows = blocks.select("block", "cell", "low", "high", "n").toPandas().sort_values(["cell", "low", "block"])
+    block, every, low, high, n = (rows[c].to_numpy() for c in ("block", "cell", "low", "high", "n"))
+    cell, first, place = np.unique(every.astype(np.int64), return_index=True, return_inverse=True)
+    return _Cells(
+        cell, pivots[cell], np.add.reduceat(n.astype(np.int64), first), np.fmin.reduceat(low, first), np.maximum.reduceat(high, first),
+        np.append(first, len(block)), place.astype(np.int32), block, low, high,
+    )
+
+
+def _width(queries: DataFrame) -> int:
+    return 3 * queries.sparkSession.sparkContext.defaultParallelism
 
 
 def _visit(base: DataFrame, queries: DataFrame, visits: DataFrame, k: int) -> DataFrame:
@@ -323,71 +370,172 @@ def _visit(base: DataFrame, queries: DataFrame, visits: DataFrame, k: int) -> Da
     return ordered.mapInArrow(stream, "rep bigint, base_rep bigint, distance double")
 
 
+def _sweep(base: DataFrame, bounded: DataFrame, shared: Broadcast, count: int, k: int) -> DataFrame:
+    """(rep, base_rep, distance): the k nearest within the bound of every query in ``bounded`` (rep, vec, ring, bound).
+
+    Queries are cut into tiles along the rings; a tile gets, once, each block that one of its queries may need.
+    """
+    tiles = max(1, -(-count // TILE), min(_width(bounded), -(-count // SMALL_TILE)))
+    tiled = bounded.repartitionByRange(tiles, "ring", "rep").select(F.spark_partition_id().alias("tile"), "rep", "vec", "bound")
+    tiled = materialize(tiled)
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The (tile, block) pairs in which a ring may hold a vector within the bound of a query."""
+        cells = None
+        needed: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = cells or _Cells(*shared.value)
+            tile, bound = batch.column("tile").to_numpy(), batch.column("bound").to_numpy()
+            vectors = _lists(batch.column("vec"))
+            for t in np.unique(tile).tolist():
+                at = np.flatnonzero(tile == t)
+                known = needed.setdefault(t, np.zeros(len(cells.block), dtype=bool))
+                while len(at) and not known.all():
+                    todo = np.flatnonzero(~known)
+                    # without structure a few queries need everything
+                    some, at = np.split(at, [min(512, max(1, MATRIX_CELLS // len(todo)))])
+                    gap = cells.gap(np.array([vectors[i] for i in some], dtype=np.float64), todo)
+                    known[todo] = (gap <= bound[some, None]).any(axis=0)
+        for t, known in needed.items():
+            found = cells.block[known]
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), t, dtype=np.int32))], ["block", "tile"])
+
+    wanted = tiled.mapInArrow(reach, "block bigint, tile int").groupBy("block").agg(F.collect_set("tile").alias("tiles"))
+    asked = tiled.select(
+        "tile", F.lit(0).alias("kind"), F.lit(-1).cast("bigint").alias("block"), F.lit(-1).alias("cell"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"),
+        F.array("rep").alias("ids"), F.col("vec").alias("flat"), "bound",
+    )
+    copies = base.join(wanted, "block").select(
+        F.explode("tiles").alias("tile"), F.lit(1).alias("kind"), "block", "cell", "low", "high", "ids", "flat", F.lit(0.0).alias("bound")
+    )
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The queries of a tile, then the blocks sent to it."""
+        cells = tile = best = seen = near = far = None
+        held: list[tuple] = []
+        run: list[tuple] = []
+
+        def meet() -> None:
+            if run:
+                best.meet(np.concatenate([r[0] for r in run]), np.concatenate([r[1] for r in run]), np.arange(len(best.ids)))
+                run.clear()
+
+        def edges() -> Iterator[pa.RecordBatch]:
+            meet()
+            table = best.edges()
+            for a in range(0, table.num_rows, 100_000):
+                yield table.slice(a, 100_000)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = cells or _Cells(*shared.value)
+            tiles, kinds, bounds = batch.column("tile").to_pylist(), batch.column("kind").to_pylist(), batch.column("bound").to_pylist()
+            owner, low, high = batch.column("cell").to_numpy(), batch.column("low").to_numpy(), batch.column("high").to_numpy()
+            ids, flat = _lists(batch.column("ids")), _lists(batch.column("flat"))
+            for i, kind in enumerate(kinds):
+                if tiles[i] != tile:
+                    if best:
+                        yield from edges()
+                    tile, best, seen = tiles[i], None, None
+                    held.clear()
+                if kind == 0:
+                    held.append((ids[i], np.array(flat[i]), bounds[i]))
+                    continue
+                if best is None:
+                    vectors = np.array([h[1] for h in held], dtype=np.float64)
+                    best = _Best(np.concatenate([h[0] for h in held]), vectors, k, np.array([h[2] for h in held]))
+                    del vectors
+                    held.clear()
+                if seen != owner[i]:
+                    seen = owner[i]
+                    pivot = cells.pivots[np.searchsorted(cells.cell, seen)][None]
+                    near, far = (x[:, 0] for x in _pivot_range(best.q, pivot))
+                live = np.flatnonzero(np.maximum(near - high[i], low[i] - far) <= best.bound)
+                if 2 * len(live) > len(best.ids):
+                    # most queries need it: it meets all of them, with its neighbours
+                    run.append((ids[i].copy(), _matrix(flat[i], len(ids[i]))))
+                    if sum(len(r[0]) for r in run) >= RUN:
+                        meet()
+                elif len(live):
+                    best.meet(ids[i], _matrix(flat[i], len(ids[i])), live)
+        if best:
+            yield from edges()
+
+    ordered = asked.unionByName(copies).repartition(2 * tiles, "tile").sortWithinPartitions("tile", "kind", "block")
+    return ordered.mapInArrow(stream, "rep bigint, base_rep bigint, distance double")
+
+
 def _search(queries: DataFrame, base: DataFrame, pivots: np.ndarray, k: int, probes: int | None) -> DataFrame:
     """(rep, base_rep, distance): at least the k nearest distinct base vectors of every query vector.
 
     With ``probes`` a query visits its home block and so many more, nearest ring first (approximate).
     """
-    shared = queries.sparkSession.sparkContext.broadcast(_cells(base, pivots))
-    by_ring = Window.partitionBy("cell").orderBy("low", "block")
-    # rings of a cell, from -infinity to infinity without gaps: a row per block, never on the driver
-    rings = materialize(
-        base.select(
-            "block", "cell", "low", "high", F.when(F.row_number().over(by_ring) == 1, -1.0).otherwise(F.col("low")).alias("start"),
-            F.coalesce(F.lead("low").over(by_ring), F.lit(float("inf"))).alias("stop"),
-        )
-    )
+    known = _cells(base, pivots)
+    if probes is not None and probes >= len(known.block):
+        probes = None
+    # as plain arrays, so that executors need no installed package
+    shared = queries.sparkSession.sparkContext.broadcast(tuple(getattr(known, f.name) for f in fields(known)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The nearest cell, the distance to its pivot, and the first bound."""
-        cells = shared.value
+        """The ring of the nearest cell that a query falls in, and the first bound."""
+        cells = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = cells or _Cells(*shared.value)
             q = np.array(_lists(batch.column("vec")), dtype=np.float64)
             step = max(1, MATRIX_CELLS // len(cells.cell))
-            out = []
             for a in range(0, len(q), step):
                 near, far = _pivot_range(q[a : a + step], cells.pivots)
                 own = near.argmin(axis=1)
-                out.append((cells.cell[own], near[np.arange(len(own)), own], cells.upper(far, k) * (1 + SLACK) + SLACK))
-            if out:
-                cell, r, bound = (np.concatenate([o[i] for o in out]) for i in range(3))
-                columns = [batch.column("rep"), pa.array(cell.astype(np.int32)), pa.array(r), pa.array(bound)]
-                yield pa.RecordBatch.from_arrays(columns, ["rep", "cell", "r", "bound"])
+                r = near[np.arange(len(own)), own]
+                # a vector that is not a number lies in no ring
+                there = np.flatnonzero(~np.isnan(r))
+                bound = cells.upper(far, k)[there] * (1 + SLACK) + SLACK
+                ring = cells.home(own[there], r[there])
+                columns = batch.select(["rep", "vec"]).take(pa.array(there + a)).columns
+                names = ["rep", "vec", "ring", "block", "bound"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(ring), pa.array(cells.block[ring]), pa.array(bound)], names)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The cells that may hold a vector within the bound."""
-        cells = shared.value
-        names = ["rep", "bound", "home", "cell", "near", "far"]
+        """The ``probes`` nearest rings within the bound, apart from the home ring; equally near ones by block."""
+        cells = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = cells or _Cells(*shared.value)
             q = np.array(_lists(batch.column("vec")), dtype=np.float64)
-            bound = batch.column("bound").to_numpy(zero_copy_only=False)
-            step = max(1, MATRIX_CELLS // len(cells.cell))
+            bound, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bound", "ring"))
+            every = np.arange(len(cells.block))
+            step = max(1, MATRIX_CELLS // len(every))
             for a in range(0, len(q), step):
-                near, far = _pivot_range(q[a : a + step], cells.pivots)
-                low = np.maximum(near - cells.high, cells.low - far)
-                row, col = np.nonzero(low <= bound[a : a + step, None])
-                own = batch.select(["rep", "bound", "home"]).take(pa.array(row + a))
-                found = [pa.array(cells.cell[col].astype(np.int32)), pa.array(near[row, col]), pa.array(far[row, col])]
-                yield pa.RecordBatch.from_arrays([*own.columns, *found], names)
-
-    placed = queries.select("rep", "vec").mapInArrow(place, "rep bigint, cell int, r double, bound double")
-    inside = (F.col("r") >= F.col("start")) & (F.col("r") < F.col("stop"))
-    home = materialize(placed.join(rings.select("cell", "block", "start", "stop"), "cell").where(inside).select("rep", "bound", "block"))
-    first = materialize(_visit(base, queries, home, k))
+                gap = cells.gap(q[a : a + step], every)
+                gap[~(gap <= bound[a : a + step, None])] = np.inf
+                gap[np.arange(len(gap)), home[a : a + step]] = np.inf
+                cut = np.partition(gap, probes - 1, axis=1)[:, probes - 1 : probes] if probes else np.full((len(gap), 1), -np.inf)
+                row, ring = np.nonzero((gap <= cut) & (gap < np.inf))
+                order = np.lexsort((cells.block[ring], gap[row, ring], row))
+                row, ring = row[order], ring[order]
+                few = np.arange(len(row)) - np.searchsorted(row, row) < probes
+                row, ring = row[few], ring[few]
+                columns = batch.select(["rep", "bound"]).take(pa.array(row + a)).columns
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(cells.block[ring])], ["rep", "bound", "block"])
+
+    kind = dict(queries.dtypes)["vec"]
+    spread = queries.select("rep", "vec").repartition(_width(queries))
+    home = materialize(spread.mapInArrow(place, f"rep bigint, vec {kind}, ring bigint, block bigint, bound double"))
+    first = materialize(_visit(base, home, home.select("rep", "bound", "block"), k))
     # k found: the k-th distance bounds the rest
     kth = first.groupBy("rep").agg(F.count("*").alias("found"), F.max("distance").alias("kth"))
     tighter = F.when(F.col("found") >= k, F.least("bound", F.col("kth") * (1 + SLACK) + SLACK)).otherwise(F.col("bound"))
-    bounded = home.join(kth, "rep", "left").select("rep", tighter.alias("bound"), F.col("block").alias("home"))
-    reached = bounded.join(queries.select("rep", "vec"), "rep").mapInArrow(
-        route, "rep bigint, bound double, home bigint, cell int, near double, far double"
-    )
-    gap = F.greatest(F.col("near") - F.col("high"), F.col("low") - F.col("far"))
-    more = reached.join(rings.select("cell", "block", "low", "high"), "cell").withColumn("gap", gap)
-    more = more.where((F.col("gap") <= F.col("bound")) & (F.col("block") != F.col("home")))
-    if probes is not None:
-        nearest = Window.partitionBy("rep").orderBy("gap", "block")
-        more = more.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= probes)
-    return first.unionByName(_visit(base, queries, materialize(more.select("rep", "bound", "block")), k))
+    bounded = home.join(kth, "rep", "left").select("rep", "vec", "ring", tighter.alias("bound"))
+    if probes is None:
+        return _sweep(base, bounded, shared, home.count(), k)
+    more = materialize(bounded.mapInArrow(route, "rep bigint, bound double, block bigint"))
+    return first.unionByName(_visit(base, home, more, k))
 
 
 def _neighbors(
