@@ -62,3 +62,26 @@ def test_rounds_end_and_nothing(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long")
     assert {r["reach"] for r in graphs.closeness_edges(edges, max_rounds=2).collect()} == {3, 4, 5}
     assert graphs.closeness_edges(edges.limit(0)).collect() == []
+
+
+def test_leaves_of_a_hub_share_a_sketch(spark, monkeypatch):
+    """Many leaves on few hubs: what a round writes follows the hubs."""
+    written = []
+
+    def counted(df, keep=graphs.materialize):
+        table = keep(df)
+        written.append(table.count() if "sketch" in table.columns else 0)
+        return table
+
+    monkeypatch.setattr(graphs, "materialize", counted)
+    edges = [(i % 4, 10 + i) for i in range(300)] + [(0, 1), (1, 2), (2, 3), (3, 0)]
+    found = graphs.closeness_edges(spark.createDataFrame(edges, "src long, dst long"))
+    assert rows(found) == search(edges, [*range(4), *range(10, 310)])
+    assert max(written) <= 8
+
+
+def test_twins_ask_for_both_directions(spark):
+    # 1 and 2 reach the same nodes but are reached by others; 5, 6 and 7 are twins, 5 to 7 come back to themselves over 3 and 8
+    edges = [(0, 1), (4, 2), (1, 3), (2, 3), (3, 5), (3, 6), (3, 7), (5, 8), (6, 8), (7, 8), (8, 3), (9, 10), (9, 11)]
+    found = graphs.closeness_edges(spark.createDataFrame(edges, "src long, dst long"), directed=True)
+    assert rows(found) == search(edges, range(12), True)
