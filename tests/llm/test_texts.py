@@ -157,6 +157,21 @@ def test_large_buckets_meet_all_pairs(spark):
     assert labels is not None and {bytes(r.node) for r in labels.collect()} == set(pair)
 
 
+def test_cuts_do_not_multiply_rows(spark, monkeypatch):
+    """A member of large buckets is in one part of each, so no table has more rows than its buckets and their parts."""
+    n, members = order_minhash.SKETCHES, 2 * order_minhash.CENTRES
+    rng = random.Random(9)
+    texts = {f"x{i}".encode(): " ".join(words(rng, 30)) for i in range(members)}
+    rows = [(k, 26, (False, i, i, i), [100 + j for j in range(n)]) for i, k in enumerate(texts)]
+    classes = spark.createDataFrame(rows, "key binary, n long, ord struct<z: boolean, id: long, rk: long, row: long>, sk array<long>")
+    made, write = [], order_minhash.materialize
+    monkeypatch.setattr(order_minhash, "materialize", lambda df: made.append(write(df)) or made[-1])
+    sizes = []
+    monkeypatch.setattr(order_minhash, "discard", lambda *tables: sizes.extend(t.count() for t in tables))
+    assert order_minhash.links(classes, spark.createDataFrame(list(texts.items()), "key binary, text string"), 0.8) is None
+    assert sizes and max(t.count() for t in made) <= 2 * members * n
+
+
 def test_no_near_duplicates(spark):
     docs = docs_of(spark, [(1, "a b c d e f", "en"), (2, "g h i j k l m", "en")])
     assert [r.kept for r in order_minhash.near_duplicates(docs).collect()] == [True, True]

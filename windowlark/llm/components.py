@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windowlark.session import materialize
+from windowlark.session import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,6 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         jumped = lower.join(up, F.col("comp") == F.col("n"), "left").select("node", F.coalesce("c", "comp").alias("comp"))
         old = labels.withColumnsRenamed({"node": "n", "comp": "c"})
         marked = materialize(jumped.join(old, F.col("node") == F.col("n")).select("node", "comp", (F.col("comp") != F.col("c")).alias("new")))
+        discard(labels, lower)
         labels = marked.select("node", "comp")
         if not marked.where("new").head(1):
+            discard(both)
             return labels

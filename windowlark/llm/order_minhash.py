@@ -12,8 +12,8 @@ shared shingles from below); the rest are aligned in the band that the similarit
 Equal texts are one class from the start. Within a bucket of candidates not all pairs are made: each member meets
 the bucket's first class; after the links found so far are closed into components, only buckets that still hold
 several components go on. Members outside the largest one meet the members of all other components, which decides
-every pair that could still matter; pairs whose 1,024-bit signatures lie too far apart are given up there. Where they are many, the bucket is first cut finer by a further sketch, which only finds
-links early: the bucket itself stays beside its parts, and after REFINE cuts its members outside the largest component
+every pair that could still matter; pairs whose 1,024-bit signatures lie too far apart are given up there. Where they are many, the bucket is first cut finer, by one further sketch a round, which only finds
+links early: a member is in one part of its bucket, so rows do not multiply, and the bucket itself stays beside its parts. After REFINE cuts its members outside the largest component
 take turns, CENTRES in the first round and twice as many in each next one, until all have met. No cap drops a candidate.
 """
 
@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 
 from windowlark.llm.components import components
 from windowlark.llm.support import small_enough, whole
-from windowlark.session import materialize
+from windowlark.session import discard, materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES, PICKS = 20, 3
 #: Members outside a bucket's largest component that meet all others in one round; a bucket with no more is finished.
 CENTRES = 32
-#: Further sketches that may cut a bucket with more, to find links, before it goes on round by round.
+#: Cuts of a bucket with more, each by another sketch, to find links before it goes on round by round.
 REFINE = 2
 #: Bits of the signature that cross pairs are held against: one bit of the smallest shingle under each of so many
 #: hashes. Texts of Jaccard index j agree in (1 + j) / 2 of them on average.
@@ -244,14 +244,15 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    """(a, b): the first class of every bucket with each other member, of lengths that can be alike."""
-    first = F.min(F.struct("ord", "key", "n"))
+def _stars(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): the first class of every bucket with each other member not yet linked to it; and the written first classes."""
+    first = F.min(F.struct("ord", "key", "n", "comp"))
+    most, least = F.max("comp"), F.min("comp")
     centres = materialize(
-        buckets.groupBy("bucket").agg(first.alias("c"), F.count("*").alias("m")).where("m > 1").select("bucket", "c.key", "c.n")
-    ).withColumnsRenamed({"bucket": "cb", "key": "a", "n": "an"})
-    met = buckets.join(centres, F.col("bucket") == F.col("cb")).where("key <> a")
-    return met.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"), "an", "n")
+        buckets.groupBy("bucket").agg(first.alias("c"), most.alias("most"), least.alias("least")).where("least <> most").select("bucket", "c.key", "c.n", "c.comp")
+    ).withColumnsRenamed({"bucket": "cb", "key": "a", "n": "an", "comp": "ac"})
+    met = buckets.join(centres, F.col("bucket") == F.col("cb")).where("comp <> ac")
+    return met.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"), "an", "n"), centres
 
 
 def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -259,25 +260,30 @@ def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.where(F.least("an", "n") >= F.greatest("an", "n") * similarity - 1e-9).select("a", "b").distinct()
 
 
-def links(classes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame | None:
-    """(node, comp) of all classes that have a link, or None if there is none."""
+def links(classes: DataFrame, texts: DataFrame, similarity: float, shared: DataFrame | None = None) -> DataFrame | None:
+    """(node, comp) of all classes that have a link, or None if there is none. ``shared``: the buckets of several classes, if known."""
     spread = classes.select("key", "n", "ord", F.posexplode("sk").alias("last", "v"))
-    buckets = materialize(spread.select(F.xxhash64("last", "v").alias("bucket"), "key", "n", "ord", "last"))
+    buckets = spread.select(F.xxhash64("last", "v").alias("bucket"), "key", "n", "ord", "last")
+    if shared is not None:
+        buckets = buckets.join(F.broadcast(shared) if small_enough(shared, KEY_ROW_BYTES) else shared, "bucket", "left_semi")
+    buckets = materialize(buckets)
     sk = classes.select(F.col("key").alias("k"), "sk")
-    edges = tested = signs = None
-    labels = None
+    edges = tested = signs = labels = None
     depth = 0
-    pairs = _possible(_stars(buckets), similarity)
+    stars, centres = _stars(buckets.withColumn("comp", F.col("key")))
+    pairs = _possible(stars, similarity)
+    spent = [centres]
     while True:
         pairs = materialize(pairs)
+        # the pairs are written: what they were made from is not read again
+        discard(*spent)
         found = materialize(_verify(pairs, texts, similarity))
         tested = pairs if tested is None else tested.unionAll(pairs)
         edges = found if edges is None else edges.unionAll(found)
-        if found.head(1) or labels is None:
-            if not edges.head(1):
-                labels = None
-            else:
-                labels = components(edges)
+        if found.head(1):
+            if labels is not None:
+                discard(labels)
+            labels = components(edges)
         state = buckets
         if labels is not None:
             state = buckets.join(labels.withColumnRenamed("node", "k"), F.col("key") == F.col("k"), "left").drop("k")
@@ -293,29 +299,35 @@ def links(classes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
         )
         sizes = materialize(sizes)
         if not sizes.head(1):
+            discard(sizes, buckets, edges, tested, *([] if signs is None else [signs]))
             return labels
         if signs is None:
             signs = materialize(signed_texts(texts)).withColumnRenamed("key", "k")
         state = state.join(sizes, F.col("bucket") == F.col("sb")).drop("sb")
         state = materialize(state.join(signs, F.col("key") == F.col("k")).drop("k"))
+        discard(sizes, buckets)
         cut_more = depth < REFINE
         # members outside the largest component meet all members of other components: then every cross pair is decided
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("ord", "key"))
         outside = state.where(F.col("comp") != F.col("main"))
-        outside = outside.where(F.col("out") <= CENTRES) if cut_more else outside
+        few = F.col("out") <= CENTRES
+        outside = outside.where(few if cut_more else few | (F.col("last") < SKETCHES))
         served = outside.withColumn("place", place).where(F.col("place") <= CENTRES << max(0, depth - REFINE))
         served = materialize(served.select(F.col("bucket").alias("ob"), F.col("key").alias("a"), F.col("n").alias("an"), F.col("comp").alias("oc"), F.col("sign").alias("osign")))
         differ = sum(F.bit_count(F.get("sign", F.lit(i)).bitwiseXOR(F.get("osign", F.lit(i)))) for i in range(SIGN_BITS // 64))
         cross = state.join(served, (F.col("bucket") == F.col("ob")) & (F.col("comp") != F.col("oc")) & (differ <= most_differing(similarity)))
         pairs = cross.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"), "an", "n")
-        big = state.where(F.col("out") > CENTRES)
+        spent = [state, served]
+        # the members of large buckets; a part of an earlier cut (past the last sketch) has been searched, its bucket is there itself
+        big = state.where((F.col("out") > CENTRES) & (F.col("last") < SKETCHES)).select("bucket", "key", "n", "ord", "last", "comp")
         if cut_more:
-            cut = big.select("bucket", "key", "n", "ord", "last").join(sk, F.col("key") == F.col("k"))
-            cut = cut.select("bucket", "key", "n", "ord", F.col("last").alias("was"), F.posexplode("sk").alias("last", "v")).where("last > was")
-            parts = materialize(cut.select(F.xxhash64("bucket", "last", "v").alias("bucket"), "key", "n", "ord", "last"))
-            pairs = pairs.unionAll(_stars(parts))
-            # what a cut parts still has to meet: the bucket stays, past the last sketch so that it is not cut again
-            buckets = materialize(parts.unionAll(big.select("bucket", "key", "n", "ord", F.lit(SKETCHES).alias("last"))))
+            by = (F.col("last") + (depth + 1)) % SKETCHES
+            cut = big.join(sk, F.col("key") == F.col("k"))
+            cut = materialize(cut.select(F.xxhash64("bucket", by, F.get("sk", by)).alias("bucket"), "key", "n", "ord", F.lit(SKETCHES).alias("last"), "comp"))
+            stars, centres = _stars(cut)
+            pairs = pairs.unionAll(stars)
+            spent += [cut, centres]
+            buckets = materialize(cut.unionAll(big).drop("comp"))
         else:
             # who has been served has met every other component and leaves the bucket
             gone = served.select(F.col("ob").alias("gb"), F.col("a").alias("ga"))
@@ -344,12 +356,13 @@ def near_duplicates(
     )
     # texts of the classes that share a bucket with another
     spread = classes.select("key", F.col("ord.rk").alias("rk"), F.posexplode("sk").alias("last", "v")).select("key", "rk", F.xxhash64("last", "v").alias("bucket"))
-    shared = spread.groupBy("bucket").count().where("count > 1").select("bucket")
-    wanted = materialize(spread.join(materialize(shared), "bucket", "left_semi").select("key", "rk").distinct())
+    shared = materialize(spread.groupBy("bucket").count().where("count > 1").select("bucket"))
+    wanted = materialize(spread.join(shared, "bucket", "left_semi").select("key", "rk").distinct())
     sent = F.broadcast(wanted) if small_enough(wanted, KEY_ROW_BYTES) else wanted
     keyed = docs.select(_row_key(id_col, text_col).alias("rk"), whole(text_col).alias("text"))
     texts = materialize(keyed.join(sent, "rk").groupBy("key").agg(F.any_value("text").alias("text")))
-    labels = links(classes.select("key", "n", "ord", "sk"), texts, similarity)
+    labels = links(classes.select("key", "n", "ord", "sk"), texts, similarity, shared)
+    discard(shared, wanted, texts)
     grouped = classes.select("key", "ord", "copies")
     if labels is None:
         grouped = grouped.withColumn("comp", F.col("key"))
@@ -358,6 +371,7 @@ def near_duplicates(
         grouped = grouped.withColumn("comp", F.coalesce("comp", "key"))
     heads = materialize(grouped.groupBy("comp").agg(F.min("ord").alias("head"), F.sum("copies").alias("group_size")))
     named = materialize(grouped.select("key", "comp").join(heads, "comp").select(F.col("key").alias("k"), "head", "group_size"))
+    discard(classes, heads)
     return rows.join(named, F.col("key") == F.col("k")).select(
         F.col("id").alias(id_col), F.col("head.id").alias("keep_id"), "group_size", (F.col("head.row") == F.col("row")).alias("kept"), "rk"
     )
