@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -242,6 +243,27 @@ def test_bpe_matches_tiktoken(spark):
         bpe.bpe_encode(docs, "text", RANKS, public_tokenizers.PATTERN, name="lang")
 
 
+def test_short_merges_are_the_same():
+    rng = random.Random(4)
+    for _ in range(3000):
+        piece = bytes(rng.choice(b" thenaio\xc3\xa9") for _ in range(rng.randrange(1, 20)))
+        assert bpe.merge_short(piece, RANKS) == bpe.merge_bytes(piece, RANKS)
+
+
+def test_batches_handed_on_are_bounded(spark, monkeypatch):
+    """Rows of one Arrow batch are handed on in shares, so that a worker never holds all their decoded texts."""
+    monkeypatch.setattr(bpe, "BATCH_BYTES", 1000)
+    seen = []
+    monkeypatch.setattr(bpe, "_with_column", lambda batch, *rest: seen.append(batch.num_rows))
+    ids = pa.RecordBatch.from_arrays([pa.array([TIKTOKEN.encode_ordinary("word " * 40)] * 50, pa.list_(pa.int32()))], ["ids"])
+    runs = []
+    df = spark.sql("SELECT array(1) AS ids")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: runs.append(run))
+    bpe.bpe_decode(df, "ids", RANKS)
+    list(runs[0](iter([ids])))
+    assert sum(seen) == 50 and max(seen) == 5
+
+
 def test_perfect_hash_is_minimal():
     table = bpe.PerfectHash(RANKS)
     assert all(table.get(k) == v for k, v in RANKS.items())

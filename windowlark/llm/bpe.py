@@ -3,7 +3,8 @@
 Tier 1 is a minimal perfect hash over the vocabulary (hash and displace: one displacement per bucket of
 keys, singletons stored by slot), so a pre-token that is a token costs one hash, one slot and one comparison.
 Tier 2 merges a miss over a linked list of its bytes; a heap keeps the adjacent pairs by rank, leftmost
-first, and drops entries whose nodes have changed since. Its pair ranks come from a plain merge table.
+first, and drops entries whose nodes have changed since. Short misses need no heap: a list of their pairs is searched.
+Pair ranks come from a plain merge table.
 Both run inside Arrow batches; each Python worker remembers the ids of pieces it has met, within a bound.
 """
 
@@ -25,10 +26,14 @@ from pyspark.sql import types as T
 MEMO_PIECES = 90_000
 #: Longer pieces (in characters) are not remembered.
 LONG_PIECE = 64
-#: Rows of an Arrow batch are cut so that one holds at most about so many ids before it is handed on.
+#: Pieces of at most so many bytes are merged without a heap.
+SHORT_BYTES = 14
+#: Rows of an Arrow batch are cut so that one holds at most about so many ids, or bytes of text, before it is handed on.
 BATCH_IDS = 1 << 20
+BATCH_BYTES = 4 << 20
 
 _MASK = (1 << 64) - 1
+_NO_RANK = 1 << 64
 _ODD = 0x9E3779B97F4A7C15
 #: A white-space character before a space: only then do cuts at single spaces need the slower rule.
 _RUN = regex.compile(r"\s ")
@@ -146,20 +151,49 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same ids as ``merge_bytes``, in fewer steps for a piece of a few bytes.
+
+    ``cuts`` are the ends of the tokens so far, ``pairs`` the rank of each with its right neighbour.
+    """
+    rank_of, none = ranks.get, _NO_RANK
+    cuts = list(range(len(piece) + 1))
+    pairs = [rank_of(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs:
+        least = min(pairs)
+        if least == none:
+            break
+        i = pairs.index(least)
+        del cuts[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = rank_of(piece[cuts[i] : cuts[i + 2]], none)
+        if i:
+            pairs[i - 1] = rank_of(piece[cuts[i - 1] : cuts[i + 1]], none)
+    return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 class Encoder:
     """Encodes whole texts by a perfect hash and a pre-token pattern."""
 
     def __init__(self, table: PerfectHash, pattern: str):
         self.table, self.pattern, self.find = table, pattern, regex.compile(pattern).findall
         self.merges = dict(zip(table.key, table.rank, strict=True))
-        self.words = _Memo(self._word)
+        self.words = _Memo(self._known)
         self.pieces = _Memo(self._piece)
         self.spaced = _Memo(lambda piece: self._piece(" " + piece))
 
+    def _known(self, word: str) -> bytes:
+        # a word met before with a mark at its end may have been met without one, as a piece
+        ids = self.spaced.get(word[1:]) or self.spaced.old.get(word[1:]) if word[0] == " " else None
+        return self._word(word) if ids is None else ids
+
     def _word(self, word: str) -> bytes:
         raw = word.encode("utf-8", "surrogatepass")
         rank = self.table.get(raw)
-        return array("i", [rank] if rank is not None else merge_bytes(raw, self.merges)).tobytes()
+        if rank is not None:
+            return array("i", [rank]).tobytes()
+        merge = merge_short if len(raw) <= SHORT_BYTES else merge_bytes
+        return array("i", merge(raw, self.merges)).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         # a piece of one pre-token is remembered as a piece, not as a word too
@@ -238,17 +272,19 @@ def bpe_encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder_of(shared, pattern).encode
         for batch in batches:
-            start, parts, total = 0, [], 0
+            start, parts, total, size = 0, [], 0, 0
             for i, text in enumerate(batch.column(at)):
-                ids = encode(text.as_py() or "")
+                text = text.as_py() or ""
+                ids = encode(text)
                 parts.append(ids)
                 total += len(ids) >> 2
-                if total >= BATCH_IDS or i == batch.num_rows - 1:
+                size += len(text)
+                if total >= BATCH_IDS or size >= BATCH_BYTES or i == batch.num_rows - 1:
                     ends = np.cumsum([0, *[len(p) >> 2 for p in parts]]).astype(np.int32)
                     flat = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))
                     lists = pa.ListArray.from_arrays(pa.array(ends), flat)
                     yield _with_column(batch.slice(start, i + 1 - start), kept, name, lists)
-                    start, parts, total = i + 1, [], 0
+                    start, parts, total, size = i + 1, [], 0, 0
 
     schema = T.StructType([*[df.schema.fields[i] for i in kept], T.StructField(name, T.ArrayType(T.IntegerType()))])
     return df.mapInArrow(run, schema)
@@ -277,7 +313,7 @@ def bpe_decode(
         begin = np.concatenate([[0], np.cumsum(width)[:-1]]) if len(width) else width
         for batch in batches:
             lists = batch.column(at)
-            out = []
+            start, out, held = 0, [], 0
             for row in range(batch.num_rows):
                 ids = np.asarray(lists[row].values if lists[row].is_valid else [], dtype=np.int64)
                 if len(ids) and (ids.min() < 0 or ids.max() >= size or not known[ids].all()):
@@ -287,7 +323,10 @@ def bpe_decode(
                 # position in the pool = begin of the token + offset inside it
                 step = np.repeat(begin[ids] - (np.cumsum(wide) - wide), wide) + np.arange(total)
                 out.append(pool[step].tobytes())
-            yield _with_column(batch, kept, name, pa.array(out, pa.binary()))
+                held += total
+                if held >= BATCH_BYTES or row == batch.num_rows - 1:
+                    yield _with_column(batch.slice(start, row + 1 - start), kept, name, pa.array(out, pa.binary()))
+                    start, out, held = row + 1, [], 0
 
     schema = T.StructType([*[df.schema.fields[i] for i in kept], T.StructField(name, T.BinaryType())])
     return df.mapInArrow(run, schema)
